@@ -1,0 +1 @@
+"""Left empty on purpose: every operator of this engine is a batch operator."""
