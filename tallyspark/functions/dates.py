@@ -34,7 +34,9 @@ def _dotted(s: Column, pattern: str, order: tuple[int, int, int]) -> Column:
 
 def _micros(s: Column) -> Column:
     """Microseconds of an ISO text; without an offset it is read as UTC."""
-    # a bare date or a date with a clock time gets an explicit UTC offset, so the session time zone has no say
+    # seconds are filled in, "+0200" becomes "+02:00", and a value without an offset gets one, so the session zone has no say
+    s = F.regexp_replace(s, r"([ T]\d{1,2}:\d{2})(\s*(?:Z|[+-]\d{2}:?\d{2}))?$", "$1:00$2")
+    s = F.regexp_replace(s, r"(:\d{2}\s*[+-]\d{2})(\d{2})$", "$1:$2")
     with_zone = F.when(s.rlike(CLOCK_TIME) & ~s.rlike(OFFSET), F.concat(s, F.lit("Z"))).when(
         ~s.rlike(CLOCK_TIME), F.concat(s, F.lit(" 00:00:00Z"))
     ).otherwise(s)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("describe", "order_stats")
+MODULES = ("describe", "order_stats", "hypothesis", "rank_tests", "correlate")
 
 
 def load_all() -> None:

@@ -75,6 +75,17 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weights: di
     return running_counts(df, value, by, weights).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
 
 
+def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Number the rows of every group in the given order, also when one group is too large for one task."""
+    by, order = list(by), list(order)
+    ranged = materialize(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "rows")
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))
+    return ranged.join(offsets, [*by, "_part"]).withColumn(name, (inside + F.col("_offset")).cast("int")).drop("_part", "_offset")
+
+
 def quantile_at(p: float) -> Column:
     """Aggregate over ``running_counts`` rows of one group: linear interpolation between order statistics."""
     h = (F.col("total") - 1) * F.lit(float(p))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from tallyspark.operators.order_stats import row_numbers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,11 +130,13 @@ CODING = """v_coding AS (SELECT conv_id AS case_id, CASE WHEN length(text) < 200
   CAST(DATE '2024-01-01' + CAST(conv_id % 300 + turn AS INTEGER) AS VARCHAR) AS event_date FROM conversations)"""
 
 
+LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
 def ordered_lines(spark, d) -> DataFrame:
     """Lines of an order numbered in a fixed order; the pair (order, line number) of the table is not unique."""
-    w = W.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, d, "lineitem").withColumn("ln", F.row_number().over(w))
+    return row_numbers(table(spark, d, "lineitem"), ["l_orderkey"], LINE_ORDER, "ln")
 
 
-ORDERED_LINES = """v_ol AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey
-  ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM lineitem)"""
+ORDERED_LINES = f"""v_ol AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY {', '.join(LINE_ORDER)}) AS ln FROM lineitem)"""
