@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("describe", "order_stats", "hypothesis", "rank_tests", "correlate")
+MODULES = ("describe", "order_stats", "hypothesis", "rank_tests", "correlate", "linear", "scales", "agreement", "sets", "coding")
 
 
 def load_all() -> None:
