@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted spellings.
@@ -16,6 +16,11 @@ OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 CLOCK_TIME = r"\d{1,2}:\d{2}"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``; keeps nested text expressions small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _text(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.trim(c.cast("string"))
@@ -44,20 +49,39 @@ def _micros(s: Column) -> Column:
     return F.when(ok, F.unix_micros(with_zone.try_cast("timestamp")))
 
 
-def parse_days(col: str | Column) -> Column:
-    """Days since 1970-01-01 as a double; null for a blank or an unreadable value."""
-    s = _text(col)
+def _parse_text(s: Column) -> Column:
     serial = s.try_cast("double")
     ok_serial = s.rlike(SERIAL) & serial.between(*SERIAL_RANGE)
     iso = F.coalesce(_dotted(s, DAY_FIRST, (3, 2, 1)), _dotted(s, YEAR_FIRST, (1, 2, 3)), s)
     return (
-        F.when(s.isNull() | (s == ""), F.lit(None).cast("double"))
+        F.when(s == "", F.lit(None).cast("double"))
         .when(ok_serial, serial - SERIAL_EPOCH_DAYS)
         .when(s.rlike(SERIAL) | s.rlike(SLASHED), F.lit(None).cast("double"))
-        .otherwise(_micros(iso) / F.lit(86400e6))
+        .otherwise(_let(iso, _micros) / F.lit(86400e6))
     )
 
 
+def parse_days(col: str | Column) -> Column:
+    """Days since 1970-01-01 as a double; null for a blank or an unreadable value."""
+    return _let(_text(col), lambda s: F.when(s.isNotNull(), _parse_text(s)))
+
+
+def days_of(df: DataFrame, name: str) -> Column:
+    """Days of a column that holds timestamps, or dates written as text."""
+    return timestamp_days(name) if dict(df.dtypes)[name] in ("timestamp", "timestamp_ntz", "date") else parse_days(name)
+
+
+def problem_of(df: DataFrame, name: str) -> Column:
+    return F.lit(None).cast("string") if dict(df.dtypes)[name] in ("timestamp", "timestamp_ntz", "date") else days_problem(name)
+
+
+def offset_of(df: DataFrame, name: str) -> Column:
+    """As :func:`has_offset`; a timestamp column never carries an offset."""
+    if dict(df.dtypes)[name] in ("timestamp", "timestamp_ntz", "date"):
+        return F.when(F.col(name).isNotNull(), F.lit(False))
+    return has_offset(name)
+
+
 def days_problem(col: str | Column) -> Column:
     """Why a value could not be read as a date; null when it could, or when it is blank."""
     s = _text(col)

@@ -3,11 +3,11 @@
 Every step has a clock (who controls it), predecessors, a documented finish interval and
 possibly an expected duration. An episode is late when its required step finishes after the
 window; a clock binds when correcting its steps to their expected durations would have been
-enough. Finish times of all scenarios travel through the network together, one topological
-level per round: a round joins the steps settled last with their outgoing edges and keeps,
-per step, the latest ready time of each scenario. The work of all rounds together is one
-pass over the edges, no episode is ever gathered in one task, and a large episode only means
-more rows. The number of rounds is the longest chain.
+enough. Episodes are independent, so Spark partitions them and each block of whole episodes is
+propagated level by level on arrays, all scenarios side by side. An episode too large for one
+block goes through level rounds instead: a round joins the steps settled last with their outgoing
+edges and keeps, per step, the latest ready time of each scenario, so that a large episode only
+means more rows. The rounds together are one pass over the edges; their number is the longest chain.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -69,9 +71,9 @@ def clock_set(institutional: bool = False, merge_institutional: bool = False) ->
     return {**CLOCK_LABELS, "institutional": INSTITUTIONAL_LABEL}, synonyms
 
 
-def _first_days(low: str, high: str) -> tuple[Column, Column]:
-    a = dates.parse_days(low)
-    return a, F.coalesce(dates.parse_days(high), a)
+def _first_days(df: DataFrame, low: str, high: str) -> tuple[Column, Column]:
+    a = dates.days_of(df, low)
+    return a, F.coalesce(dates.days_of(df, high), a)
 
 
 def read_episodes(episodes: DataFrame, steps: DataFrame, labels: Mapping[str, str], synonyms: Mapping[str, str], zero_as_documented: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -85,11 +87,11 @@ def read_episodes(episodes: DataFrame, steps: DataFrame, labels: Mapping[str, st
     ep = optional(episodes, ["anchor_latest", "tw_latest"]).withColumns({"episode": blank_to_null("episode"), "r_step": normalize_text("r_step")}).where("episode is not null")
     st = optional(steps, ["predecessors", "finish_latest", "expected_days", "zero_documented"]).withColumns({"episode": blank_to_null("episode"), "step": blank_to_null("step")})
     st = st.where("episode is not null and step is not null")
-    a, b = _first_days("anchor_earliest", "anchor_latest")
-    c, d = _first_days("tw_earliest", "tw_latest")
+    a, b = _first_days(ep, "anchor_earliest", "anchor_latest")
+    c, d = _first_days(ep, "tw_earliest", "tw_latest")
     ep_cols = ["anchor_earliest", "anchor_latest", "tw_earliest", "tw_latest"]
     typed_ep = ep.select("episode", "r_step", a.alias("anchor_lo"), b.alias("anchor_hi"), c.alias("tw_lo"), d.alias("tw_hi"))
-    lo, hi = _first_days("finish_earliest", "finish_latest")
+    lo, hi = _first_days(st, "finish_earliest", "finish_latest")
     clock = alias_value("clock", synonyms)
     exp = number("expected_days")
     zero = (F.abs(exp) < EPS) & ~F.coalesce(F.lower(F.trim(F.col("zero_documented").cast("string"))).isin(*YES), F.lit(False)) & F.lit(not zero_as_documented)
@@ -100,8 +102,8 @@ def read_episodes(episodes: DataFrame, steps: DataFrame, labels: Mapping[str, st
     say = lambda text: F.concat(F.lit("step "), F.col("step"), F.lit(f": {text}"))
     raw_exp = blank_to_null("expected_days")
     row_checks = st.select("episode", F.array_compact(F.array(
-        F.when(dates.days_problem("finish_earliest").isNotNull(), F.concat(say(""), dates.days_problem("finish_earliest"))),
-        F.when(dates.days_problem("finish_latest").isNotNull(), F.concat(say(""), dates.days_problem("finish_latest"))),
+        F.concat(say(""), dates.problem_of(st, "finish_earliest")),
+        F.concat(say(""), dates.problem_of(st, "finish_latest")),
         F.when(raw_exp.isNotNull() & exp.isNull(), say("expected_days is not a number")),
         F.when(hi < lo, say("latest finish is before earliest finish")),
         F.when(exp < 0, say("negative expected duration")),
@@ -109,9 +111,9 @@ def read_episodes(episodes: DataFrame, steps: DataFrame, labels: Mapping[str, st
     )).alias("p")).select("episode", F.explode("p").alias("problem"))
     dup_steps = st.groupBy("episode", "step").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("episode", F.concat(F.lit("duplicate step name "), "step").alias("problem"))
     dup_ep = ep.groupBy("episode").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("episode", F.concat(F.lit("episode code "), "episode", F.lit(" appears more than once")).alias("problem"))
-    ep_dates = ep.select("episode", F.explode(F.array_compact(F.array(*[dates.days_problem(x) for x in ep_cols]))).alias("problem"))
-    zones = ep.select("episode", F.explode(F.array(*[dates.has_offset(x) for x in ep_cols])).alias("z")).unionByName(
-        st.select("episode", F.explode(F.array(dates.has_offset("finish_earliest"), dates.has_offset("finish_latest"))).alias("z")))
+    ep_dates = ep.select("episode", F.explode(F.array_compact(F.array(*[dates.problem_of(ep, x) for x in ep_cols]))).alias("problem"))
+    zones = ep.select("episode", F.explode(F.array(*[dates.offset_of(ep, x) for x in ep_cols])).alias("z")).unionByName(
+        st.select("episode", F.explode(F.array(dates.offset_of(st, "finish_earliest"), dates.offset_of(st, "finish_latest"))).alias("z")))
     mixed = zones.groupBy("episode").agg(F.bool_or("z").alias("any"), F.bool_and("z").alias("all")).where("any and not all").select(
         "episode", F.lit("some times have a time-zone offset and others do not").alias("problem"))
     problems = reduce(DataFrame.unionByName, [row_checks, dup_steps, dup_ep, ep_dates, mixed.join(ep.select("episode").distinct(), "episode", "left_semi")])
@@ -266,53 +268,162 @@ def _verdict(b: str, clocks: Sequence[str], labels: Mapping[str, str]) -> Column
 
 def _slacks(paths: DataFrame, n: int) -> DataFrame:
     """Slack of the required step per scenario: window minus finish."""
-    return paths.withColumns({f"s_{b}_{k}": F.col(f"tw_{b}") - F.col("fin")[j * n + k] for j, b in enumerate(("lo", "hi")) for k in range(n)}).drop("fin")
+    return paths.withColumns({f"s_{b}_{k}": F.col(f"tw_{b}") - F.get("fin", F.lit(j * n + k)) for j, b in enumerate(("lo", "hi")) for k in range(n)}).drop("fin")
 
 
 def _same(a: Column, b: Column) -> Column:
     return (a["verdict"] == b["verdict"]) & (F.array_sort(a["clocks"]) == F.array_sort(b["clocks"]))
 
 
-def evaluate(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes: DataFrame, labels: Mapping[str, str], reactive: bool = True) -> DataFrame:
+def _durations(rows: pd.DataFrame, masks: np.ndarray, seen: np.ndarray, reactive: bool) -> np.ndarray:
+    """Duration of each step under each scenario, earliest bounds first (rows x 2 scenarios)."""
+    own = rows["own"].to_numpy(np.int64)[:, None]
+    hit = (own & masks) != 0
+    if reactive:
+        hit |= (seen[:, None] & masks) != 0
+    exp = rows["expected"].to_numpy(float)[:, None]
+    out = []
+    for b in ("lo", "hi"):
+        real = rows[f"real_{b}"].to_numpy(float)[:, None]
+        out.append(np.where(hit & ~np.isnan(exp), np.fmin(real, exp), real))
+    return np.concatenate(out, axis=1)
+
+
+def _solve_block(rows: pd.DataFrame, masks: np.ndarray, reactive: bool) -> pd.DataFrame:
+    """Forward and backward propagation over the whole episodes of one block, level by level, on arrays."""
+    n, width = len(rows), 2 * len(masks)
+    eid = pd.factorize(rows["episode"])[0]
+    preds = rows["preds"].map(len).to_numpy()
+    dst = np.repeat(np.arange(n), preds)
+    names = np.concatenate([rows["step"].to_numpy(object), *[np.asarray(p, object) for p in rows["preds"] if len(p)]])
+    code = pd.factorize(names)[0].astype(np.int64)
+    size = code.max() + 1
+    key, want = eid * size + code[:n], eid[dst] * size + code[n:]
+    order = np.argsort(key, kind="stable")
+    at = np.minimum(np.searchsorted(key[order], want), n - 1)
+    src = order[at]
+    known = key[src] == want
+    src, dst = src[known], dst[known]
+    level, got = np.full(n, -1), np.zeros(n, int)
+    seen, ready = np.zeros(n, np.int64), np.full((n, width), -np.inf)
+    own = rows["own"].to_numpy(np.int64)
+    root = preds == 0
+    ready[root] = np.repeat(rows.loc[root, ["ready_lo", "ready_hi"]].to_numpy(float), len(masks), axis=1)
+    fin, now = np.full((n, width), np.nan), root
+    rounds = 0
+    while now.any():
+        level[now] = rounds
+        fin[now] = ready[now] + _durations(rows[now], masks, seen[now], reactive)
+        out = now[src]
+        np.fmax.at(ready, dst[out], fin[src[out]])
+        np.bitwise_or.at(seen, dst[out], seen[src[out]] | own[src[out]])
+        np.add.at(got, dst[out], 1)
+        now = (level < 0) & (got == preds)
+        rounds += 1
+    exp = rows["expected"].to_numpy(float)
+    goal = rows["is_goal"].to_numpy(bool) & (level >= 0)
+    lf = np.where(goal[:, None], rows[["tw_lo", "tw_hi"]].to_numpy(float), np.inf)
+    on, open_ = goal.copy(), np.zeros(n, bool)
+    for k in range(rounds - 1, 0, -1):
+        e = (level[dst] == k) & on[dst]
+        s, t = src[e], dst[e]
+        need = open_[t] | np.isnan(exp[t])
+        np.fmin.at(lf, s, np.where(need[:, None], np.inf, lf[t] - exp[t][:, None]))
+        np.logical_or.at(open_, s, need)
+        on[s] = True
+    res = rows[PASS_COLUMNS].copy()
+    res["level"], res["on_path"], res["lf_open"] = np.where(level < 0, -1, level), on, open_
+    lf = np.where(np.isfinite(lf) & on[:, None] & ~open_[:, None], lf, np.nan)
+    res["lf_lo"], res["lf_hi"] = lf[:, 0], lf[:, 1]
+    res["fin"] = [list(fin[i]) if goal[i] else None for i in range(n)]
+    return res
+
+
+PASS_COLUMNS = ["episode", "step", "clock", "f_lo", "f_hi", "expected", "early_lo", "early_hi"]
+PROPAGATED = ("episode string, step string, clock string, f_lo double, f_hi double, expected double, early_lo boolean, early_hi boolean, "
+              "level int, on_path boolean, lf_open boolean, lf_lo double, lf_hi double, fin array<double>")
+
+#: Episodes with more steps than this are not laid out in one block; they go through the level rounds.
+BLOCK_STEPS = 2000
+
+
+def propagate(episodes: DataFrame, real: DataFrame, clocks: Sequence[str], reactive: bool = False, block_steps: int = BLOCK_STEPS) -> DataFrame:
+    """Level, path membership and latest finish of every step, and the scenario finishes of the required step.
+
+    Episodes of ordinary size are solved in blocks of whole episodes; larger ones, which must not sit in
+    one task, in level rounds. Steps that cannot be ordered have level -1.
+    """
+    goal = episodes.select("episode", F.col("r_step"), "tw_lo", "tw_hi")
+    sizes = real.groupBy("episode").agg(F.count(F.lit(1)).alias("n"))
+    big = sizes.where(F.col("n") > block_steps).select("episode")
+    parts = []
+    any_big = not big.isEmpty()
+    small = real.join(big, "episode", "left_anti") if any_big else real
+    own = F.lit(0)
+    for i, c in enumerate(sorted(clocks)):
+        own = F.when(F.col("clock") == c, F.lit(1 << i)).otherwise(own)
+    masks = np.array([_mask(s, clocks) for s in scenarios(clocks)], np.int64)
+    flat = small.join(goal, "episode").select(
+        *PASS_COLUMNS, F.array_distinct("preds").alias("preds"), "ready_lo", "ready_hi", "real_lo", "real_hi", own.alias("own"),
+        (F.col("step") == F.col("r_step")).alias("is_goal"), "tw_lo", "tw_hi")
+
+    def solve(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            tail = pdf["episode"] == pdf["episode"].iloc[-1]  # the last episode may go on in the next batch
+            rest, whole = pdf[tail].reset_index(drop=True), pdf[~tail].reset_index(drop=True)
+            if len(whole):
+                yield _solve_block(whole, masks, reactive)
+        if rest is not None and len(rest):
+            yield _solve_block(rest, masks, reactive)
+
+    parts.append(flat.repartition("episode").sortWithinPartitions("episode").mapInPandas(solve, PROPAGATED))
+    if any_big:
+        large = real.join(big, "episode", "left_semi")
+        ep = episodes.join(big, "episode", "left_semi")
+        settled, rounds = forward(large, clocks, reactive)
+        back = backward(ep, large, settled, rounds).select("episode", "step", "lf_lo", "lf_hi", "lf_open", F.lit(True).alias("on_path"))
+        at_goal = ep.select("episode", F.col("r_step").alias("step"), F.lit(True).alias("g"))
+        fins = settled.join(at_goal, ["episode", "step"], "left").select("episode", "step", "level", F.when(F.col("g"), F.col("fin")).alias("fin"))
+        rows = large.select(*PASS_COLUMNS).join(fins, ["episode", "step"], "left").join(back, ["episode", "step"], "left")
+        parts.append(rows.select(*PASS_COLUMNS, F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("on_path", F.lit(False)).alias("on_path"),
+                                 F.coalesce("lf_open", F.lit(False)).alias("lf_open"), "lf_lo", "lf_hi", "fin"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _episode_rows(episodes: DataFrame, moved: DataFrame, clocks: Sequence[str]) -> DataFrame:
+    """One row per episode: sanity counts, path clocks, finance slack and the scenario slacks."""
+    on, fin = F.col("on_path"), F.col("clock") == "finance"
+    cs = sorted(clocks)
+    hit = lambda c: F.count_if(on & (F.col("clock") == c))
+    gap = lambda c: F.count_if(on & (F.col("clock") == c) & F.col("expected").isNull())
+    listed = lambda f: F.array_compact(F.array(*[F.when(f(c) > 0, F.lit(c)) for c in cs]))
+    per = moved.groupBy("episode").agg(
+        F.count(F.lit(1)).alias("n_steps"), F.bool_and(F.col("level") >= 0).alias("acyclic"), F.first("fin", ignorenulls=True).alias("fin"),
+        listed(hit).alias("clocks"), listed(gap).alias("untestable"), F.count_if(on & F.col("f_lo").isNull()).alias("undated"), F.count_if(on & fin).alias("finance_steps"),
+        F.bool_or(on & F.col("lf_open")).alias("open"), F.min(F.when(on & fin, F.col("lf_lo") - F.col("f_lo"))).alias("fs_lo"), F.min(F.when(on & fin, F.col("lf_hi") - F.col("f_hi"))).alias("fs_hi"))
+    return _slacks(episodes.join(per, "episode", "left"), len(scenarios(clocks)))
+
+
+def evaluate(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes: DataFrame, labels: Mapping[str, str], reactive: bool = True, block_steps: int = BLOCK_STEPS) -> DataFrame:
     """Verdict row per episode from typed tables (see :func:`read_episodes`)."""
     clocks = sorted(labels)
-    n = len(scenarios(clocks))
     once = episodes.groupBy("episode").agg(*[F.first(c).alias(c) for c in episodes.columns if c != "episode"])
-    once = materialize(once, "episodes")
-    bad = problems.groupBy("episode").agg(F.count(F.lit(1)).alias("n_problems"))
-    dup = steps.groupBy("episode", "step").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("episode").distinct()
+    dup = steps.groupBy("episode", "step").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("episode").distinct().withColumn("dup", F.lit(True))
     unique = steps.join(dup, "episode", "left_anti")
     real = materialize(realised_durations(once, unique), "steps")
-    settled, rounds = forward(real, clocks)
-    settled = materialize(settled, "settled")
-    counts = real.groupBy("episode").agg(F.count(F.lit(1)).alias("n_steps"))
-    ok_counts = settled.groupBy("episode").agg(F.count(F.lit(1)).alias("n_settled"))
     has_r = once.select("episode", F.col("r_step").alias("step")).join(real.select("episode", "step"), ["episode", "step"], "left_semi").select("episode", F.lit(True).alias("has_r"))
-    sound = counts.join(ok_counts, "episode", "left").join(has_r, "episode", "left").select(
-        "episode", "n_steps", (F.col("n_steps") == F.coalesce("n_settled", F.lit(0))).alias("acyclic"), F.coalesce("has_r", F.lit(False)).alias("has_r"))
-    good = sound.where("acyclic and has_r").select("episode")
-    back = backward(once.join(good, "episode", "left_semi"), real, settled, rounds)
-    path = materialize(back.join(real.select("episode", "step", "clock", "f_lo", "f_hi", "early_lo", "early_hi"), ["episode", "step"]), "path")
-    fin = F.col("clock") == "finance"
-    by_clock = path.groupBy("episode", "clock").agg(F.bool_and(F.col("expected").isNotNull()).alias("testable"))
-    cl = by_clock.groupBy("episode").agg(F.array_sort(F.collect_set("clock")).alias("clocks"), F.array_sort(F.collect_set(F.when(~F.col("testable"), F.col("clock")))).alias("untestable"))
-    per = path.groupBy("episode").agg(
-        F.count_if(F.col("f_lo").isNull()).alias("undated"), F.count_if(fin).alias("finance_steps"),
-        # a finance step whose latest finish cannot be computed makes the slack not computable; so does any open step on the path
-        F.bool_or("lf_open").alias("open"), F.min(F.when(fin, F.col("lf_lo") - F.col("f_lo"))).alias("fs_lo"), F.min(F.when(fin, F.col("lf_hi") - F.col("f_hi"))).alias("fs_hi"),
-        F.count_if("early_lo").alias("early_lo"), F.count_if("early_hi").alias("early_hi"))
-    goal = once.select("episode", F.col("r_step").alias("step"), "tw_lo", "tw_hi").join(settled.select("episode", "step", "fin"), ["episode", "step"]).join(good, "episode", "left_semi")
-    s = _slacks(goal, n).join(cl, "episode").join(per, "episode")
-    known = [c for c in clocks]
-    s = s.withColumn("clocks", F.filter("clocks", lambda c: c.isin(*known)))
-    s = s.withColumns({"v_lo": _verdict("lo", clocks, labels), "v_hi": _verdict("hi", clocks, labels)})
-    core = s.select("episode", "v_lo", "v_hi", F.col("s_lo_0").alias("base_lo"), F.col("s_hi_0").alias("base_hi"), "undated", "finance_steps", "open", "fs_lo", "fs_hi", "early_lo", "early_hi",
-                    F.col("clocks").alias("v_clocks"), F.col("untestable").alias("v_untestable"))
-    core = materialize(core, "core")
-    t = once.select("episode", "tw_lo", "anchor_lo").join(sound, "episode", "left").join(bad, "episode", "left").join(core, "episode", "left").join(
-        notes.groupBy("episode").agg(F.count(F.lit(1)).alias("zero_notes")), "episode", "left").join(dup.withColumn("dup", F.lit(True)), "episode", "left")
-    halted = (F.when(F.col("n_steps").isNull() & F.col("dup").isNull(), "no steps recorded").when(F.col("dup"), "input problems")
-              .when(~F.col("has_r"), "required event step is not among the steps").when(~F.col("acyclic"), "dependency cycle or unknown predecessor")
+    s = _episode_rows(once, materialize(propagate(once, real, clocks, False, block_steps), "moved"), clocks)
+    counts = lambda d, name: d.groupBy("episode").agg(F.count(F.lit(1)).alias(name))
+    t = s.withColumns({"v_lo": _verdict("lo", clocks, labels), "v_hi": _verdict("hi", clocks, labels), "base_lo": F.col("s_lo_0"), "base_hi": F.col("s_hi_0")})
+    t = t.drop(*[c for c in t.columns if c.startswith(("s_lo_", "s_hi_"))])
+    for other in (counts(problems, "n_problems"), counts(notes, "zero_notes"), dup, has_r):
+        t = t.join(other, "episode", "left")
+    halted = (F.when(F.col("dup"), "input problems").when(F.col("n_steps").isNull(), "no steps recorded").when(F.col("has_r").isNull(), "required event step is not among the steps")
+              .when(~F.col("acyclic"), "dependency cycle or unknown predecessor")
               .when(F.col("tw_lo").isNull() | F.col("anchor_lo").isNull() | (F.col("undated") > 0), "not documented").when(F.col("n_problems") > 0, "input problems"))
     t = t.withColumn("halted", halted)
     stable = _same(F.col("v_lo"), F.col("v_hi"))
@@ -336,22 +447,22 @@ def evaluate(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes:
         "finance_actionable": act, "fragile": F.when(run, F.when(near("decisive_slack_earliest") | near("decisive_slack_latest"), "Yes").otherwise("No")).otherwise(""),
         "reason": F.coalesce(F.col("halted"), F.when(verdict == "Indeterminate", why), F.lit("")), "n_flags": F.coalesce("n_problems", F.lit(0)) + F.coalesce("zero_notes", F.lit(0))})
     if reactive:
-        t = _reactive(t, once, real, labels, n)
-    cols = ["episode", "verdict", "engine_outcome", "binding_clocks", "sign_stable", "indeterminate_reason", "reason", "decisive_slack_earliest", "decisive_slack_latest",
-            "baseline_slack_earliest", "baseline_slack_latest", "finance_slack_earliest", "finance_slack_latest", "finance_actionable", "fragile", "n_flags"]
-    return t.select(*cols, *(["reactive_sensitivity"] if reactive else []))
+        t = _reactive(t, once, real, labels, block_steps)
+    return t.select(*VERDICT_COLUMNS, *(["reactive_sensitivity"] if reactive else []))
+
+
+VERDICT_COLUMNS = ["episode", "verdict", "engine_outcome", "binding_clocks", "sign_stable", "indeterminate_reason", "reason", "decisive_slack_earliest", "decisive_slack_latest",
+                   "baseline_slack_earliest", "baseline_slack_latest", "finance_slack_earliest", "finance_slack_latest", "finance_actionable", "fragile", "n_flags"]
 
 
-def _reactive(t: DataFrame, episodes: DataFrame, real: DataFrame, labels: Mapping[str, str], n: int) -> DataFrame:
+def _reactive(t: DataFrame, episodes: DataFrame, real: DataFrame, labels: Mapping[str, str], block_steps: int) -> DataFrame:
     """Whether the verdict stays when steps downstream of a corrected one are corrected too; only binding episodes are re-run."""
     clocks = sorted(labels)
     t = materialize(t, "verdicts")
-    need = t.where("sign_stable = 'Yes' and verdict not in ('Non-binding', 'Indeterminate')").select("episode", "v_lo", "v_hi")
-    settled, _ = forward(real.join(need, "episode", "left_semi"), clocks, reactive=True)
-    goal = episodes.select("episode", F.col("r_step").alias("step"), "tw_lo", "tw_hi").join(settled.select("episode", "step", "fin"), ["episode", "step"])
-    lists = t.select("episode", F.col("v_clocks").alias("clocks"), F.col("v_untestable").alias("untestable"))
-    s = _slacks(goal, n).join(lists, "episode").join(need.select("episode", F.col("v_lo").alias("o_lo"), F.col("v_hi").alias("o_hi")), "episode")
-    s = s.withColumns({"w_lo": _verdict("lo", clocks, labels), "w_hi": _verdict("hi", clocks, labels)})
+    need = t.where("sign_stable = 'Yes' and verdict not in ('Non-binding', 'Indeterminate')").select("episode", F.col("v_lo").alias("o_lo"), F.col("v_hi").alias("o_hi"))
+    ep = episodes.join(need, "episode", "left_semi")
+    s = _episode_rows(ep, propagate(ep, real.join(need, "episode", "left_semi"), clocks, True, block_steps), clocks)
+    s = s.withColumns({"w_lo": _verdict("lo", clocks, labels), "w_hi": _verdict("hi", clocks, labels)}).join(need, "episode")
     same = _same(F.col("w_lo"), F.col("o_lo")) & _same(F.col("w_hi"), F.col("o_hi"))
     r = s.select("episode", F.when(same, "Unchanged").otherwise(F.concat(F.lit("Changes to "), F.col("w_lo.verdict"))).alias("reactive_sensitivity"))
     return t.join(r, "episode", "left").withColumn("reactive_sensitivity", F.coalesce("reactive_sensitivity", F.lit("Not applicable")))
