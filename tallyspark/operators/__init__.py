@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("describe", "order_stats", "hypothesis", "rank_tests", "correlate", "linear", "scales", "agreement", "sets", "coding", "bounds", "network")
+MODULES = ("describe", "order_stats", "hypothesis", "rank_tests", "correlate", "linear", "scales", "agreement", "sets", "coding", "bounds", "network", "screening")
 
 
 def load_all() -> None:
