@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("describe", "order_stats", "hypothesis", "rank_tests", "correlate", "linear", "scales", "agreement", "sets", "coding", "bounds", "network", "screening")
+MODULES = (
+    "describe", "order_stats", "hypothesis", "rank_tests", "correlate", "linear", "scales", "agreement", "sets", "coding", "bounds", "network", "screening", "audit", "quality", "report",
+)
 
 
 def load_all() -> None:

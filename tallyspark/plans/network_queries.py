@@ -243,3 +243,118 @@ def orphan_steps(spark, d):
 @query("verdicts_reactive")
 def verdicts_reactive(spark, d):
     return N.verdicts(*network(spark, d))["verdicts"].groupBy("verdict", "reactive_sensitivity").agg(F.count(F.lit(1)).alias("episodes"))
+
+
+@query("timeline_intervals", f"""WITH {NETWORK} SELECT CAST(k AS VARCHAR) AS episode, 's' || ln AS step, clock, CAST(ready_lo - anchor AS DOUBLE) AS ready_day, CAST(f_lo - anchor AS DOUBLE) AS finish_day, CAST(f_hi - anchor AS DOUBLE) AS finish_day_latest,
+  CAST(f_hi - f_lo AS DOUBLE) AS uncertainty_days FROM v_real JOIN v_ep USING (k)""")
+def timeline_intervals(spark, d):
+    (ep, st, _, _), _ = _typed(spark, d)
+    return N.timeline_intervals(ep, st).drop("expected")
+
+
+@query("zero_rule_sensitivity")
+def zero_rule_sensitivity(spark, d):
+    return N.zero_rule_sensitivity(*network(spark, d))["summary"]
+
+
+@query("corner_check")
+def corner_check(spark, d):
+    (ep, st, problems, notes), labels = _typed(spark, d)
+    return N.corner_check(ep, st, problems, notes, labels).groupBy("corner_check").agg(F.count(F.lit(1)).alias("episodes"))
+
+
+def network_v4(spark, d):
+    """The same network with ex-ante status, source class and direct record taken from the line flags."""
+    ol = V.ordered_lines(spark, d)
+    ep, st = network(spark, d)
+    flags = ol.select(F.col("l_orderkey").cast("string").alias("episode"), F.concat(F.lit("s"), "ln").alias("step"), "l_returnflag", "l_linestatus", "l_shipdate", "l_tax", "l_linenumber")
+    st = st.join(flags, ["episode", "step"])
+    rev = (F.col("l_returnflag") == "R") & (F.col("expected_days").isNull())
+    st = st.withColumns({
+        "clock": F.when(F.col("l_linenumber") == 7, "customs").otherwise(F.col("clock")), "ex_ante_status": F.when(rev, "revealed").when(F.col("l_returnflag") == "N", "S-D").otherwise(F.lit(None)),
+        "revealed_at": F.when(rev & (F.col("l_tax") > 0), F.expr("timestampadd(DAY, -30, l_shipdate)")), "actionable_from": F.when(rev & (F.col("l_tax") > 0.02), F.expr("timestampadd(DAY, -40, l_shipdate)")),
+        "source_class": F.when(F.col("l_linestatus") == "F", "third party").otherwise("Internal"), "direct_record": F.when(F.col("l_tax") > 0.03, "yes").when(F.col("l_tax") > 0.01, "no")})
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("episode"), F.when(F.col("o_orderpriority") == "1-URGENT", "yes").when(F.col("o_orderpriority") == "2-HIGH", "no").alias("related_party"))
+    return ep.join(o, "episode", "left"), st.drop("l_returnflag", "l_linestatus", "l_shipdate", "l_tax", "l_linenumber")
+
+
+@query("step_status", f"""WITH {V.ORDERED_LINES}, s AS (SELECT *, l_returnflag = 'R' AND (l_discount = 0 AND l_quantity NOT IN (1, 2)) AS rev, NOT (l_discount = 0 AND l_quantity NOT IN (1, 2)) AS has FROM v_ol),
+  t AS (SELECT *, CASE WHEN rev THEN CASE WHEN l_tax > 0 THEN 'revealed' ELSE 'undocumented' END WHEN l_returnflag = 'N' THEN 'documented' WHEN has THEN 'documented' ELSE 'undocumented' END AS st FROM s)
+  SELECT CAST(l_orderkey AS VARCHAR) AS episode, 's' || ln AS step, st AS status, CASE WHEN l_linestatus = 'F' THEN 'third-party' ELSE 'internal' END AS source_class, CASE WHEN l_tax > 0.03 THEN true WHEN l_tax > 0.01 THEN false END AS direct_record,
+   CASE WHEN st = 'revealed' THEN CAST({_DAY.format('l_shipdate')} - 30 AS DOUBLE) END AS revealed_at FROM t""")
+def step_status(spark, d):
+    meta, _ = N.step_status(network_v4(spark, d)[1])
+    return meta.select("episode", "step", "status", "source_class", "direct_record", "revealed_at")
+
+
+@query("verdicts_v4")
+def verdicts_v4(spark, d):
+    return N.verdicts_v4(*network_v4(spark, d))["verdicts"].groupBy("verdict", "revelation_bounds", "claim_cap").agg(F.count(F.lit(1)).alias("episodes"))
+
+
+@query("merge_institutional")
+def merge_institutional(spark, d):
+    return N.verdicts_v4(*network_v4(spark, d), merge_institutional=True)["verdicts"].groupBy("verdict").agg(F.count(F.lit(1)).alias("episodes"))
+
+
+@query("exclude_related", f"""WITH {NETWORK} SELECT CAST(e.k AS VARCHAR) AS episode, count(s.ln) AS steps FROM v_ep e JOIN orders ON o_orderkey = e.k LEFT JOIN v_st s ON s.k = e.k WHERE o_orderpriority <> '1-URGENT' GROUP BY 1""")
+def exclude_related(spark, d):
+    ep, st = N.exclude_related(*network_v4(spark, d))
+    return ep.select("episode").join(st.groupBy("episode").agg(F.count(F.lit(1)).alias("steps")), "episode", "left").fillna(0, ["steps"])
+
+
+def _two_studies(spark, d):
+    o = V.table(spark, d, "orders")
+    v1 = F.when(F.col("o_orderstatus") == "F", "Non-binding").when(F.col("o_orderstatus") == "O", "Logistics-binding").otherwise("Indeterminate")
+    v2 = F.when(F.col("o_orderpriority") == "1-URGENT", "Institution-binding").when(F.col("o_orderpriority") == "2-HIGH", "Indeterminate").otherwise(v1)
+    a = o.where("o_totalprice > 30000").select(F.col("o_orderkey").alias("episode"), v1.alias("verdict"))
+    b = o.where("o_totalprice < 450000").select(F.col("o_orderkey").alias("episode"), v2.alias("verdict"), F.when(F.col("o_orderpriority") == "1-URGENT", "institutional").otherwise("").alias("binding_clocks"),
+                                               F.when(F.col("o_orderpriority") == "2-HIGH", "revelation-sensitive").otherwise("").alias("indeterminate_reason"))
+    return a, b
+
+
+_STUDIES = """s AS (SELECT o_orderkey AS episode, o_orderpriority AS p, CASE WHEN o_totalprice > 30000 THEN CASE o_orderstatus WHEN 'F' THEN 'Non-binding' WHEN 'O' THEN 'Logistics-binding' ELSE 'Indeterminate' END END AS v1,
+  CASE WHEN o_totalprice < 450000 THEN CASE WHEN o_orderpriority = '1-URGENT' THEN 'Institution-binding' WHEN o_orderpriority = '2-HIGH' THEN 'Indeterminate' ELSE CASE o_orderstatus WHEN 'F' THEN 'Non-binding' WHEN 'O' THEN 'Logistics-binding' ELSE 'Indeterminate' END END END AS v2 FROM orders)"""
+
+
+@query("concordance", f"""WITH {_STUDIES} SELECT episode, v1, v2, coalesce(v1, '(absent)') <> coalesce(v2, '(absent)') AS changed, CASE WHEN coalesce(v1, '(absent)') = coalesce(v2, '(absent)') THEN '' WHEN v1 IS NULL OR v2 IS NULL THEN 'present in one study only'
+  WHEN p = '2-HIGH' THEN 'revealed-in-process rule' WHEN p = '1-URGENT' THEN 'institutional clock separated from logistics' ELSE 're-coded inputs' END AS attribution FROM s WHERE v1 IS NOT NULL OR v2 IS NOT NULL""")
+def concordance(spark, d):
+    return N.concordance(*_two_studies(spark, d))["episodes"]
+
+
+@query("concordance_crosstab", f"WITH {_STUDIES} SELECT coalesce(v1, '(absent)') AS study1, coalesce(v2, '(absent)') AS study2, count(*) AS episodes FROM s WHERE v1 IS NOT NULL OR v2 IS NOT NULL GROUP BY 1, 2")
+def concordance_crosstab(spark, d):
+    return N.concordance(*_two_studies(spark, d))["crosstab"]
+
+
+def _layers(spark, d):
+    li = V.table(spark, d, "lineitem")
+    lay = F.element_at(F.array(*[F.lit(x) for x in ("Focal firm", "counterparty", "Intermediary", "institutional", "environmental", "galactic")]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    st = F.element_at(F.array(*[F.lit(x) for x in ("A", "exposed", "N", "Unknown", "odd")]), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    return li.select(F.col("l_orderkey").alias("episode"), lay.alias("layer"), st.alias("state"), F.when(F.col("l_discount") > 0.02, "doc").alias("evidence"))
+
+
+_LAYERS = """s AS (SELECT l_orderkey AS e, ['focal-firm', 'counterparty', 'intermediary', 'institutional', 'environmental', 'galactic'][l_linenumber % 6 + 1] AS layer, ['Activated', 'Exposed', 'Not present', 'Unknown', NULL][l_suppkey % 5 + 1] AS state, l_discount > 0.02 AS ev FROM lineitem)"""
+
+
+@query("layer_summary", f"""WITH {_LAYERS}, k(position, layer) AS (VALUES (0, 'focal-firm'), (1, 'counterparty'), (2, 'intermediary'), (3, 'institutional'), (4, 'environmental'))
+  SELECT position, layer, count(*) FILTER (state = 'Activated') AS activated, count(*) FILTER (state = 'Exposed') AS exposed, count(*) FILTER (state = 'Not present') AS not_present, count(*) FILTER (state = 'Unknown') AS unknown FROM k LEFT JOIN s USING (layer) GROUP BY 1, 2""")
+def layer_summary(spark, d):
+    return N.layer_summary(_layers(spark, d))["counts"]
+
+
+@query("layer_problems", f"""WITH {_LAYERS}, p AS (SELECT 'unknown layer' AS kind FROM s WHERE layer = 'galactic' UNION ALL SELECT 'unknown state' FROM s WHERE layer <> 'galactic' AND state IS NULL UNION ALL SELECT 'evidence' FROM s WHERE layer <> 'galactic' AND state = 'Activated' AND NOT ev
+  UNION ALL SELECT 'twice' FROM (SELECT e, layer FROM s WHERE layer <> 'galactic' AND state IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)) SELECT kind, count(*) AS n FROM p GROUP BY 1""")
+def layer_problems(spark, d):
+    p = F.col("problem")
+    kind = F.when(p.startswith("unknown layer"), "unknown layer").when(p.startswith("unknown state"), "unknown state").when(p.startswith("Activated"), "evidence").otherwise("twice")
+    return N.layer_summary(_layers(spark, d))["problems"].groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("blind_packet", """SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS codes, count(DISTINCT o_orderstatus) AS statuses FROM orders""")
+def blind_packet(spark, d):
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("episode"), "o_orderstatus", F.lit("x").alias("verdict_note"))
+    p = N.blind_packet({"orders": o}, "episode", seed=7)["orders"]
+    assert p.columns == ["episode", "o_orderstatus"]
+    return p.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("episode").alias("codes"), F.count_distinct("o_orderstatus").alias("statuses"))
