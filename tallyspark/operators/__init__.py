@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "describe", "order_stats", "hypothesis", "rank_tests", "correlate", "linear", "scales", "agreement", "sets", "coding", "bounds", "network", "screening", "audit", "quality", "report",
+    "glm", "overlap", "survival", "choice",
 )
 
 

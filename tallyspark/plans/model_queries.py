@@ -177,3 +177,182 @@ def performance(spark, d):
                  F.when(F.col("e") / F.col("s") > 60, 0.0).otherwise(1.0).alias("p"), F.lit(0.05).alias("truth"))
     t = L.performance(r, "e", "s", "lo", "hi", "p", "truth", ["scenario"])
     return rounded(t.select("scenario", "replicates", *[F.round(c, 8).alias(c) for c in ("bias", "empirical_se", "model_se", "rmse")], "coverage", F.round("coverage_mcse", 8).alias("coverage_mcse"), "rejection"), 8)
+
+
+# ---------------------------------------------------------------- maximum likelihood
+from tallyspark.operators import choice as CH  # noqa: E402
+from tallyspark.operators import glm as G  # noqa: E402
+from tallyspark.operators import overlap as O  # noqa: E402
+from tallyspark.operators import survival as SV  # noqa: E402
+
+
+# with one binary predictor the logistic model is saturated: odds ratios follow from the four counts
+@query("logistic_binary", """WITH c AS (SELECT CAST(count(*) FILTER (toxic = 0 AND quality = 0) AS DOUBLE) AS a, count(*) FILTER (toxic = 0 AND quality = 1) AS b, count(*) FILTER (toxic = 1 AND quality = 0) AS c, count(*) FILTER (toxic = 1 AND quality = 1) AS d FROM labels)
+  SELECT '(Intercept)' AS term, round(ln(b / a), 5) AS b, round(sqrt(1 / a + 1.0 / b), 5) AS se FROM c UNION ALL SELECT 'toxic', round(ln((a * d) / (b * c)), 5), round(sqrt(1 / a + 1.0 / b + 1.0 / c + 1.0 / d), 5) FROM c""")
+def logistic_binary(spark, d):
+    return rounded(G.regression_logistic(V.table(spark, d, "labels"), "quality", "toxic")["coefficients"].select("term", F.round("b", 5).alias("b"), F.round("se", 5).alias("se")), 5)
+
+
+@query("logistic_model", """WITH g AS (SELECT toxic, CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality) AS DOUBLE) AS k FROM labels GROUP BY 1), t AS (SELECT sum(n) AS n, sum(k) AS k, sum(k * ln(k / n) + (n - k) * ln(1 - k / n)) AS l1 FROM g), m AS (SELECT n, k, l1, k * ln(k / n) + (n - k) * ln(1 - k / n) AS l0 FROM t)
+  SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS events, round(-2 * l1, 5) AS minus_2ll, round(2 * (l1 - l0), 5) AS lr, round(1 - l1 / l0, 6) AS mcfadden, round(1 - exp(2 * (l0 - l1) / n), 6) AS cox_snell, round((1 - exp(2 * (l0 - l1) / n)) / (1 - exp(2 * l0 / n)), 6) AS nagelkerke FROM m""")
+def logistic_model(spark, d):
+    m = G.regression_logistic(V.table(spark, d, "labels"), "quality", "toxic")["model"]
+    return rounded(m.select("n", "events", F.round("minus_2ll", 5).alias("minus_2ll"), F.round("lr", 5).alias("lr"), "mcfadden", "cox_snell", "nagelkerke"))
+
+
+@query("logistic_classification", "SELECT quality AS observed, 1 AS predicted, count(*) AS n FROM labels GROUP BY 1")
+def logistic_classification(spark, d):
+    return G.regression_logistic(V.table(spark, d, "labels"), "quality", "toxic")["classification"]
+
+
+@query("logistic_clustered")
+def logistic_clustered(spark, d):
+    t = V.customers(spark, d).withColumn("rich", (F.col("c_acctbal") > 5000).cast("int"))
+    return G.regression_logistic(t, "rich", "n_orders,mean_price", "c_mktsegment", cluster="c_nationkey")["coefficients"]
+
+
+@query("multinomial_binary", f"""WITH {V.CUSTOMERS}, g AS (SELECT c_mktsegment AS s, CAST(count(*) FILTER (c_acctbal > 5000) AS DOUBLE) AS r, CAST(count(*) FILTER (NOT c_acctbal > 5000) AS DOUBLE) AS p FROM v_cust GROUP BY 1), b AS (SELECT r AS r0, p AS p0 FROM g WHERE s = 'AUTOMOBILE')
+  SELECT s AS outcome, '(Intercept)' AS term, round(ln(p / p0), 5) AS b FROM g, b WHERE s <> 'AUTOMOBILE' UNION ALL SELECT s, 'rich', round(ln(r / r0) - ln(p / p0), 5) FROM g, b WHERE s <> 'AUTOMOBILE'""")
+def multinomial_binary(spark, d):
+    t = V.customers(spark, d).withColumn("rich", (F.col("c_acctbal") > 5000).cast("int"))
+    return rounded(G.regression_multinomial(t, "c_mktsegment", "rich")["coefficients"].select("outcome", "term", "b"), 5)
+
+
+@query("ordinal_regression")
+def ordinal_regression(spark, d):
+    return G.regression_ordinal(V.items(spark, d), "q1", "r1,r2")["coefficients"]
+
+
+@query("ordinal_thresholds", f"""WITH {V.ITEMS}, c AS (SELECT q1, CAST(count(*) AS DOUBLE) AS n FROM v_items GROUP BY 1), p AS (SELECT q1, lead(q1) OVER (ORDER BY q1) AS nx, sum(n) OVER (ORDER BY q1) / sum(n) OVER () AS f FROM c)
+  SELECT CAST(q1 AS VARCHAR) || ' | ' || CAST(nx AS VARCHAR) AS threshold, round(ln(f / (1 - f)), 4) AS tau FROM p WHERE nx IS NOT NULL""")
+def ordinal_thresholds(spark, d):
+    return rounded(G.regression_ordinal(V.items(spark, d), "q1")["thresholds"].select("threshold", "tau"), 4)
+
+
+@query("followup_attrition", f"WITH {V.PAIRS} SELECT count(*) AS baseline, count(*) FILTER (y2 IS NOT NULL) AS complete, count(*) FILTER (y2 IS NULL) AS lost, round(avg(CASE WHEN y2 IS NULL THEN 0.0 ELSE 1.0 END), 6) AS retention_rate FROM v_pairs")
+def followup_attrition(spark, d):
+    return rounded(G.followup_attrition(V.pairs(spark, d), "y2")["status"])
+
+
+@query("followup_attrition_model")
+def followup_attrition_model(spark, d):
+    return G.followup_attrition(V.pairs(spark, d).where("y1 is not null"), "y2", "k1")["coefficients"]
+
+
+# ---------------------------------------------------------------- choice
+@query("choice_diagnostics", f"""WITH {CHOICE}, s AS (SELECT respondent, task, sum(chosen) AS p FROM v_choice GROUP BY 1, 2)
+  SELECT (SELECT count(DISTINCT respondent) FROM v_choice) AS respondents, (SELECT count(*) FROM v_choice) AS profile_rows, count(*) AS tasks, count(*) FILTER (p = 0) AS rejected, round(avg(CASE WHEN p = 0 THEN 1.0 ELSE 0.0 END), 6) AS reject_rate, count(*) FILTER (p > 1) AS invalid FROM s""")
+def choice_diagnostics(spark, d):
+    return rounded(CH.choice_diagnostics(choice_rows(spark, d), "flag,band", "chosen", "respondent")["summary"])
+
+
+@query("choice_level_shares", f"WITH {CHOICE} SELECT 'band' AS attribute, band AS level, count(*) AS n, round(1.0 * count(*) / (SELECT count(*) FROM v_choice), 6) AS share FROM v_choice GROUP BY 2")
+def choice_level_shares(spark, d):
+    return rounded(CH.choice_diagnostics(choice_rows(spark, d), "band", "chosen", "respondent")["levels"])
+
+
+@query("prepare_choice", f"""WITH {CHOICE}, o AS (SELECT respondent, task, band, chosen, 0 AS outside FROM v_choice UNION ALL SELECT respondent, task, '__OUTSIDE__', 1 - max(chosen), 1 FROM v_choice GROUP BY 1, 2)
+  SELECT respondent || chr(31) || task AS set_id, CAST(chosen AS DOUBLE) AS y, CASE WHEN band = 'b_medium' THEN 1.0 ELSE 0.0 END AS x0, CASE WHEN band = 'c_large' THEN 1.0 ELSE 0.0 END AS x1, CAST(outside AS DOUBLE) AS x2 FROM o""")
+def prepare_choice(spark, d):
+    return CH.prepare_choice(choice_rows(spark, d), "band", "chosen", "respondent", "task", "alternative").data.drop("respondent", "grp")
+
+
+@query("mnl")
+def mnl(spark, d):
+    return CH.mnl(choice_rows(spark, d), "flag,band", "chosen", "respondent", "task", "alternative", factor="urgency")["coefficients"]
+
+
+@query("swait_louviere")
+def swait_louviere(spark, d):
+    return CH.swait_louviere(choice_rows(spark, d), "flag,band", "chosen", "respondent", "task", "alternative", factor="urgency")["test"]
+
+
+@query("mixed_logit")
+def mixed_logit(spark, d):
+    return CH.mixed_logit(choice_rows(spark, d), "flag,band", "chosen", "respondent", "band=c_large", "task", "alternative", draws=32, max_iter=15)["coefficients"]
+
+
+# ---------------------------------------------------------------- overlap weights
+def arms(spark, d):
+    """Four market segments as arms, customers clustered by nation."""
+    return V.customers(spark, d).where("c_mktsegment <> 'MACHINERY' and mean_price is not null").withColumn("rich", (F.col("c_acctbal") > 5000).cast("int"))
+
+
+# with one binary covariate the propensity model is saturated, so the scores are cell shares
+_OW = f"""{V.CUSTOMERS}, a AS (SELECT *, c_acctbal > 5000 AS rich FROM v_cust WHERE c_mktsegment <> 'MACHINERY' AND mean_price IS NOT NULL),
+  e AS (SELECT rich, c_mktsegment AS s, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY rich) AS e FROM a GROUP BY 1, 2), h AS (SELECT rich, 1 / sum(1 / e) AS h FROM e GROUP BY 1),
+  w AS (SELECT a.*, e.e, h.h / e.e AS w FROM a JOIN e ON e.rich = a.rich AND e.s = a.c_mktsegment JOIN h ON h.rich = a.rich)"""
+
+
+@query("overlap_weights", f"WITH {_OW} SELECT c_custkey, round(e, 5) AS own_ps, round(w, 5) AS w FROM w")
+def overlap_weights(spark, d):
+    m = O.propensity(arms(spark, d).withColumn("id", F.col("c_custkey")), "c_mktsegment", "rich", cluster="id")
+    return rounded(m.data.select(F.col("_g0").alias("c_custkey"), "own_ps", "w"), 5)
+
+
+@query("ess_table", f"""WITH {_OW}, t AS (SELECT c_mktsegment AS arm, count(*) AS n, sum(w) * sum(w) / sum(w * w) AS ess, min(e) AS m, count(DISTINCT c_nationkey) AS f FROM w GROUP BY 1)
+  SELECT arm, n, round(ess, 4) AS ess, round(m, 4) AS min_ps_own_arm, f AS firms FROM t UNION ALL SELECT 'TOTAL', CAST(sum(n) AS BIGINT), round(sum(ess), 4), NULL, (SELECT count(DISTINCT c_nationkey) FROM w) FROM t""")
+def ess_table(spark, d):
+    return rounded(O.ess_table(O.propensity(arms(spark, d), "c_mktsegment", "rich", "c_nationkey")), 4)
+
+
+@query("balance_table", f"""WITH {_OW}, g AS (SELECT c_mktsegment, avg(CAST(rich AS INTEGER)) AS m, sum(w * CAST(rich AS INTEGER)) / sum(w) AS wm, var_samp(CAST(rich AS INTEGER)) AS v FROM w GROUP BY 1)
+  SELECT 'rich' AS covariate, round((max(m) - min(m)) / sqrt(avg(v)), 4) AS max_smd_unweighted, round((max(wm) - min(wm)) / sqrt(avg(v)), 4) AS max_smd_weighted FROM g""")
+def balance_table(spark, d):
+    return rounded(O.balance_table(O.propensity(arms(spark, d), "c_mktsegment", "rich", "c_nationkey")), 4)
+
+
+@query("estimability_gates")
+def estimability_gates(spark, d):
+    m = O.propensity(arms(spark, d), "c_mktsegment", "c_acctbal,n_orders", "c_nationkey")
+    return O.estimability_gates(O.ess_table(m), O.balance_table(m))
+
+
+@query("overlap_means", f"WITH {_OW} SELECT c_mktsegment AS arm, round(sum(w * mean_price) / sum(w), 2) AS weighted_mean FROM w GROUP BY 1")
+def overlap_means(spark, d):
+    t = O.overlap_contrast(arms(spark, d), "c_mktsegment", "rich", "c_nationkey", "mean_price", "BUILDING-FURNITURE", force=True)["means"]
+    return rounded(t.select("arm", "weighted_mean"), 2)
+
+
+@query("overlap_contrast")
+def overlap_contrast(spark, d):
+    return O.overlap_contrast(arms(spark, d), "c_mktsegment", "c_acctbal,n_orders", "c_nationkey", "mean_price", "AUTOMOBILE:0.5,BUILDING:0.5,FURNITURE:-0.5,HOUSEHOLD:-0.5", force=True)["contrast"]
+
+
+@query("cluster_bootstrap")
+def cluster_bootstrap(spark, d):
+    return O.cluster_bootstrap(arms(spark, d), "c_mktsegment", "c_acctbal,n_orders", "c_nationkey", "mean_price", "BUILDING-FURNITURE", replicates=20)["summary"]
+
+
+# ---------------------------------------------------------------- survival
+def durations(spark, d):
+    """Days from a customer's first to second order; customers with one order are censored at the last order date of all."""
+    o = V.table(spark, d, "orders")
+    per = o.groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("f"), F.count(F.lit(1)).alias("n"))
+    rest = o.join(per, "o_custkey").where(F.col("o_orderkey") != F.col("f.o_orderkey")).groupBy("o_custkey").agg(F.min("o_orderdate").alias("second"))
+    last = o.agg(F.max("o_orderdate").alias("last"))
+    t = per.join(rest, "o_custkey", "left").join(last, F.lit(True)).join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    end = F.least(F.coalesce("second", "last"), F.expr("timestampadd(DAY, 200, f.o_orderdate)"))
+    return t.select("c_nationkey", (F.col("c_acctbal") / 1000).alias("bal"), F.col("f.o_orderkey").alias("k"), (F.datediff(end, "f.o_orderdate") + 1).cast("double").alias("days"),
+                    F.coalesce((F.col("second") <= F.expr("timestampadd(DAY, 200, f.o_orderdate)")), F.lit(False)).cast("int").alias("event"))
+
+
+DURATIONS = """r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders), dd AS (SELECT a.o_custkey, a.o_orderdate AS f, b.o_orderdate AS s FROM r a LEFT JOIN r b ON a.o_custkey = b.o_custkey AND b.i = 2 WHERE a.i = 1),
+  v_dur AS (SELECT o_custkey, datediff('day', f, least(coalesce(s, (SELECT max(o_orderdate) FROM orders)), f + INTERVAL 200 DAY)) + 1 AS days, coalesce(s <= f + INTERVAL 200 DAY, false) AS event FROM dd JOIN customer ON c_custkey = o_custkey)"""
+
+
+@query("product_limit", f"""WITH {DURATIONS}, t AS (SELECT CAST(days AS DOUBLE) AS t, count(*) AS n, count(*) FILTER (event) AS events FROM v_dur GROUP BY 1), k AS (SELECT *, CAST(sum(n) OVER (ORDER BY t DESC) AS BIGINT) AS at_risk FROM t), e AS (SELECT * FROM k WHERE events > 0)
+  SELECT t, at_risk, events, round(exp(sum(ln(greatest(1 - events * 1.0 / at_risk, 1e-300))) OVER (ORDER BY t)), 6) AS survival FROM e""")
+def product_limit(spark, d):
+    return rounded(SV.product_limit(durations(spark, d), "days", "event"))
+
+
+@query("cox_ph")
+def cox_ph(spark, d):
+    return SV.cox_ph(durations(spark, d), "days", "event", "bal", cluster="c_nationkey")["coefficients"]
+
+
+@query("cox_summary", f"""WITH {DURATIONS}, t AS (SELECT CAST(days AS DOUBLE) AS t, count(*) AS n, count(*) FILTER (event) AS events FROM v_dur GROUP BY 1), k AS (SELECT *, sum(n) OVER (ORDER BY t DESC) AS at_risk FROM t), s AS (SELECT t, exp(sum(ln(greatest(1 - events * 1.0 / at_risk, 1e-300))) OVER (ORDER BY t)) AS s FROM k WHERE events > 0)
+  SELECT (SELECT count(*) FROM v_dur) AS n, (SELECT count(*) FROM v_dur WHERE event) AS events, (SELECT count(*) FROM v_dur WHERE NOT event) AS censored, (SELECT min(t) FROM s WHERE s <= 0.5) AS median_survival""")
+def cox_summary(spark, d):
+    return SV.cox_ph(durations(spark, d), "days", "event", "bal")["model"].select("n", "events", "censored", "median_survival")

@@ -59,4 +59,5 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A table from a short list of rows whose number does not grow with the data."""
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+    plain = lambda v: v.item() if hasattr(v, "item") else v  # noqa: E731  (numpy scalars to Python ones)
+    return spark.createDataFrame([tuple(plain(v) for v in r) for r in rows], schema)
