@@ -89,17 +89,19 @@ def text_kinds(text: Column, names: Sequence[str] = (), allow_amounts: Sequence[
         amounts = F.regexp_replace(amounts, f"(?i){p}", " ")
     patterns = [rf"(?iu)(?<!\w){re.escape(n)}(?!\w)" for n in names if len(n) >= 3]
     listed = F.aggregate(F.transform(F.array(*map(F.lit, patterns)), lambda p: F.regexp_count(clean, p)), F.lit(0), lambda a, x: a + x) if patterns else F.lit(0)
+    # exact pre-filters: without an @, a digit or a separator the pattern cannot match
+    digits = lambda c: F.when(clean.rlike(r"\d"), c).otherwise(0)
     return {
-        "email": F.regexp_count(text, F.lit(I.CELL_EMAIL)),
-        "phone": how_many(clean, I.TEXT_PHONE, lambda m: F.length(I.digits_only(m)).between(9, 15)),
-        "iban": how_many(F.upper(clean), I.IBAN, I.iban_ok),
-        "tckn": how_many(clean, I.TEXT_ELEVEN, I.tckn_ok),
-        "hu_tax": how_many(clean, I.TEXT_TEN, I.hu_tax_ok),
-        "card": how_many(clean, I.TEXT_CARD, lambda m: I.luhn_ok(I.digits_only(m))),
-        "amount": F.regexp_count(amounts, F.lit(I.TEXT_AMOUNT)),
-        "invoice": F.regexp_count(clean, F.lit(I.TEXT_INVOICE)),
+        "email": F.when(text.contains("@"), F.regexp_count(text, F.lit(I.CELL_EMAIL))).otherwise(0),
+        "phone": digits(how_many(clean, I.TEXT_PHONE, lambda m: F.length(I.digits_only(m)).between(9, 15))),
+        "iban": digits(how_many(F.upper(clean), I.IBAN, I.iban_ok)),
+        "tckn": digits(how_many(clean, I.TEXT_ELEVEN, I.tckn_ok)),
+        "hu_tax": digits(how_many(clean, I.TEXT_TEN, I.hu_tax_ok)),
+        "card": digits(how_many(clean, I.TEXT_CARD, lambda m: I.luhn_ok(I.digits_only(m)))),
+        "amount": digits(F.regexp_count(amounts, F.lit(I.TEXT_AMOUNT))),
+        "invoice": digits(F.regexp_count(clean, F.lit(I.TEXT_INVOICE))),
         "listed": listed,
-        "labelled": F.regexp_count(clean, F.lit(I.TEXT_NAME_LABEL)),
+        "labelled": F.when(clean.rlike(r"[:=]|\s-\s"), F.regexp_count(clean, F.lit(I.TEXT_NAME_LABEL))).otherwise(0),
     }
 
 
@@ -120,6 +122,7 @@ def text_audit(units: DataFrame, rules: Sequence[Mapping] = (), names: Sequence[
     optionally ``severity``, ``current`` and ``flags``; locations matching an exemption are not
     checked for wording. A file without any non-empty unit is unreadable, not clean.
     """
+    # white space alone is no text; everything else is scanned whole
     body = units.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     counts = text_kinds(F.col("text"), names, allow_amounts)
     severity = lambda k: "HIGH" if k in HIGH else "MEDIUM"

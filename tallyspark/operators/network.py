@@ -96,29 +96,30 @@ def read_episodes(episodes: DataFrame, steps: DataFrame, labels: Mapping[str, st
     exp = number("expected_days")
     zero = (F.abs(exp) < EPS) & ~F.coalesce(F.lower(F.trim(F.col("zero_documented").cast("string"))).isin(*YES), F.lit(False)) & F.lit(not zero_as_documented)
     dropped = F.coalesce(zero, F.lit(False))
-    passed = [c for c in st.columns if c not in ("episode", "step", "clock", "predecessors", "finish_earliest", "finish_latest", "expected_days", "zero_documented")]
-    typed = st.select("episode", "step", clock.alias("clock"), split_list("predecessors").alias("preds"), lo.alias("f_lo"), hi.alias("f_hi"),
-                      F.when(~dropped, exp).alias("expected"), dropped.alias("zero_dropped"), exp.isNotNull().alias("had_expected"), *passed)
     say = lambda text: F.concat(F.lit("step "), F.col("step"), F.lit(f": {text}"))
     raw_exp = blank_to_null("expected_days")
-    row_checks = st.select("episode", F.array_compact(F.array(
+    found = F.array_compact(F.array(
         F.concat(say(""), dates.problem_of(st, "finish_earliest")),
         F.concat(say(""), dates.problem_of(st, "finish_latest")),
         F.when(raw_exp.isNotNull() & exp.isNull(), say("expected_days is not a number")),
         F.when(hi < lo, say("latest finish is before earliest finish")),
         F.when(exp < 0, say("negative expected duration")),
         F.when(~F.coalesce(clock.isin(*labels), F.lit(False)), F.concat(say("clock '"), F.when(clock == "", "(blank)").otherwise(clock), F.lit("' is not one of " + ", ".join(labels)))),
-    )).alias("p")).select("episode", F.explode("p").alias("problem"))
-    dup_steps = st.groupBy("episode", "step").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("episode", F.concat(F.lit("duplicate step name "), "step").alias("problem"))
+    ))
+    # the source is read once: types and row problems are written together
+    typed = materialize(st.select(
+        "episode", "step", clock.alias("clock"), split_list("predecessors").alias("preds"), lo.alias("f_lo"), hi.alias("f_hi"), F.when(~dropped, exp).alias("expected"),
+        dropped.alias("zero_dropped"), found.alias("found"), dates.offset_of(st, "finish_earliest").alias("z1"), dates.offset_of(st, "finish_latest").alias("z2")), "typed")
+    row_checks = typed.select("episode", F.explode("found").alias("problem"))
+    dup_steps = typed.groupBy("episode", "step").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("episode", F.concat(F.lit("duplicate step name "), "step").alias("problem"))
     dup_ep = ep.groupBy("episode").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("episode", F.concat(F.lit("episode code "), "episode", F.lit(" appears more than once")).alias("problem"))
     ep_dates = ep.select("episode", F.explode(F.array_compact(F.array(*[dates.problem_of(ep, x) for x in ep_cols]))).alias("problem"))
-    zones = ep.select("episode", F.explode(F.array(*[dates.offset_of(ep, x) for x in ep_cols])).alias("z")).unionByName(
-        st.select("episode", F.explode(F.array(dates.offset_of(st, "finish_earliest"), dates.offset_of(st, "finish_latest"))).alias("z")))
+    zones = ep.select("episode", F.explode(F.array(*[dates.offset_of(ep, x) for x in ep_cols])).alias("z")).unionByName(typed.select("episode", F.explode(F.array("z1", "z2")).alias("z")))
     mixed = zones.groupBy("episode").agg(F.bool_or("z").alias("any"), F.bool_and("z").alias("all")).where("any and not all").select(
         "episode", F.lit("some times have a time-zone offset and others do not").alias("problem"))
-    problems = reduce(DataFrame.unionByName, [row_checks, dup_steps, dup_ep, ep_dates, mixed.join(ep.select("episode").distinct(), "episode", "left_semi")])
+    problems = reduce(DataFrame.unionByName, [row_checks, dup_steps, dup_ep, ep_dates, mixed.join(typed_ep.select("episode").distinct(), "episode", "left_semi")])
     notes = typed.where("zero_dropped").select("episode", F.concat(F.lit("step "), "step", F.lit(": ex-ante duration 0 without zero_documented = Yes, treated as missing")).alias("note"))
-    return typed_ep, typed, problems, notes
+    return typed_ep, typed.select("episode", "step", "clock", "preds", "f_lo", "f_hi", "expected"), problems, notes
 
 
 def edges_of(steps: DataFrame) -> DataFrame:
@@ -308,7 +309,14 @@ def _solve_block(rows: pd.DataFrame, masks: np.ndarray, reactive: bool) -> pd.Da
     seen, ready = np.zeros(n, np.int64), np.full((n, width), -np.inf)
     own = rows["own"].to_numpy(np.int64)
     root = preds == 0
-    ready[root] = np.repeat(rows.loc[root, ["ready_lo", "ready_hi"]].to_numpy(float), len(masks), axis=1)
+    # documented: a step is ready when its last predecessor has finished, or at the anchor
+    done = rows[["f_lo", "f_hi"]].to_numpy(float)
+    start = np.where(root[:, None], rows[["anchor_lo", "anchor_hi"]].to_numpy(float), np.nan)
+    np.fmax.at(start, dst, done[src])
+    real = done - start
+    rows["early_lo"], rows["early_hi"] = real[:, 0] < -EPS, real[:, 1] < -EPS
+    rows["real_lo"], rows["real_hi"] = np.maximum(real, 0.0).T
+    ready[root] = np.repeat(start[root], len(masks), axis=1)
     fin, now = np.full((n, width), np.nan), root
     rounds = 0
     while now.any():
@@ -331,7 +339,8 @@ def _solve_block(rows: pd.DataFrame, masks: np.ndarray, reactive: bool) -> pd.Da
         np.fmin.at(lf, s, np.where(need[:, None], np.inf, lf[t] - exp[t][:, None]))
         np.logical_or.at(open_, s, need)
         on[s] = True
-    res = rows[PASS_COLUMNS].copy()
+    res = rows[[*PASS_COLUMNS, "early_lo", "early_hi"]].copy()
+    res["is_goal"] = rows["is_goal"].to_numpy(bool)
     res["level"], res["on_path"], res["lf_open"] = np.where(level < 0, -1, level), on, open_
     lf = np.where(np.isfinite(lf) & on[:, None] & ~open_[:, None], lf, np.nan)
     res["lf_lo"], res["lf_hi"] = lf[:, 0], lf[:, 1]
@@ -339,32 +348,32 @@ def _solve_block(rows: pd.DataFrame, masks: np.ndarray, reactive: bool) -> pd.Da
     return res
 
 
-PASS_COLUMNS = ["episode", "step", "clock", "f_lo", "f_hi", "expected", "early_lo", "early_hi"]
-PROPAGATED = ("episode string, step string, clock string, f_lo double, f_hi double, expected double, early_lo boolean, early_hi boolean, "
+PASS_COLUMNS = ["episode", "step", "clock", "f_lo", "f_hi", "expected"]
+PROPAGATED = ("episode string, step string, clock string, f_lo double, f_hi double, expected double, early_lo boolean, early_hi boolean, is_goal boolean, "
               "level int, on_path boolean, lf_open boolean, lf_lo double, lf_hi double, fin array<double>")
 
 #: Episodes with more steps than this are not laid out in one block; they go through the level rounds.
 BLOCK_STEPS = 2000
 
 
-def propagate(episodes: DataFrame, real: DataFrame, clocks: Sequence[str], reactive: bool = False, block_steps: int = BLOCK_STEPS) -> DataFrame:
+def propagate(episodes: DataFrame, steps: DataFrame, clocks: Sequence[str], reactive: bool = False, block_steps: int = BLOCK_STEPS) -> DataFrame:
     """Level, path membership and latest finish of every step, and the scenario finishes of the required step.
 
     Episodes of ordinary size are solved in blocks of whole episodes; larger ones, which must not sit in
     one task, in level rounds. Steps that cannot be ordered have level -1.
     """
-    goal = episodes.select("episode", F.col("r_step"), "tw_lo", "tw_hi")
-    sizes = real.groupBy("episode").agg(F.count(F.lit(1)).alias("n"))
+    goal = episodes.select("episode", F.col("r_step"), "anchor_lo", "anchor_hi", "tw_lo", "tw_hi")
+    sizes = steps.groupBy("episode").agg(F.count(F.lit(1)).alias("n"))
     big = sizes.where(F.col("n") > block_steps).select("episode")
     parts = []
     any_big = not big.isEmpty()
-    small = real.join(big, "episode", "left_anti") if any_big else real
+    small = steps.join(big, "episode", "left_anti") if any_big else steps
     own = F.lit(0)
     for i, c in enumerate(sorted(clocks)):
         own = F.when(F.col("clock") == c, F.lit(1 << i)).otherwise(own)
     masks = np.array([_mask(s, clocks) for s in scenarios(clocks)], np.int64)
     flat = small.join(goal, "episode").select(
-        *PASS_COLUMNS, F.array_distinct("preds").alias("preds"), "ready_lo", "ready_hi", "real_lo", "real_hi", own.alias("own"),
+        *PASS_COLUMNS, F.array_distinct("preds").alias("preds"), "anchor_lo", "anchor_hi", own.alias("own"),
         (F.col("step") == F.col("r_step")).alias("is_goal"), "tw_lo", "tw_hi")
 
     def solve(batches):
@@ -382,14 +391,14 @@ def propagate(episodes: DataFrame, real: DataFrame, clocks: Sequence[str], react
 
     parts.append(flat.repartition("episode").sortWithinPartitions("episode").mapInPandas(solve, PROPAGATED))
     if any_big:
-        large = real.join(big, "episode", "left_semi")
         ep = episodes.join(big, "episode", "left_semi")
+        large = materialize(realised_durations(ep, steps.join(big, "episode", "left_semi")), "large_steps")
         settled, rounds = forward(large, clocks, reactive)
         back = backward(ep, large, settled, rounds).select("episode", "step", "lf_lo", "lf_hi", "lf_open", F.lit(True).alias("on_path"))
         at_goal = ep.select("episode", F.col("r_step").alias("step"), F.lit(True).alias("g"))
         fins = settled.join(at_goal, ["episode", "step"], "left").select("episode", "step", "level", F.when(F.col("g"), F.col("fin")).alias("fin"))
-        rows = large.select(*PASS_COLUMNS).join(fins, ["episode", "step"], "left").join(back, ["episode", "step"], "left")
-        parts.append(rows.select(*PASS_COLUMNS, F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("on_path", F.lit(False)).alias("on_path"),
+        rows = large.select(*PASS_COLUMNS, "early_lo", "early_hi").join(at_goal, ["episode", "step"], "left").withColumn("is_goal", F.coalesce("g", F.lit(False))).join(fins, ["episode", "step"], "left").join(back, ["episode", "step"], "left")
+        parts.append(rows.select(*PASS_COLUMNS, "early_lo", "early_hi", "is_goal", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("on_path", F.lit(False)).alias("on_path"),
                                  F.coalesce("lf_open", F.lit(False)).alias("lf_open"), "lf_lo", "lf_hi", "fin"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -402,7 +411,7 @@ def _episode_rows(episodes: DataFrame, moved: DataFrame, clocks: Sequence[str])
     gap = lambda c: F.count_if(on & (F.col("clock") == c) & F.col("expected").isNull())
     listed = lambda f: F.array_compact(F.array(*[F.when(f(c) > 0, F.lit(c)) for c in cs]))
     per = moved.groupBy("episode").agg(
-        F.count(F.lit(1)).alias("n_steps"), F.bool_and(F.col("level") >= 0).alias("acyclic"), F.first("fin", ignorenulls=True).alias("fin"),
+        F.count(F.lit(1)).alias("n_steps"), F.bool_or("is_goal").alias("has_r"), F.bool_and(F.col("level") >= 0).alias("acyclic"), F.first("fin", ignorenulls=True).alias("fin"),
         listed(hit).alias("clocks"), listed(gap).alias("untestable"), F.count_if(on & F.col("f_lo").isNull()).alias("undated"), F.count_if(on & fin).alias("finance_steps"),
         F.bool_or(on & F.col("lf_open")).alias("open"), F.min(F.when(on & fin, F.col("lf_lo") - F.col("f_lo"))).alias("fs_lo"), F.min(F.when(on & fin, F.col("lf_hi") - F.col("f_hi"))).alias("fs_hi"))
     return _slacks(episodes.join(per, "episode", "left"), len(scenarios(clocks)))
@@ -414,15 +423,13 @@ def evaluate(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes:
     once = episodes.groupBy("episode").agg(*[F.first(c).alias(c) for c in episodes.columns if c != "episode"])
     dup = steps.groupBy("episode", "step").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("episode").distinct().withColumn("dup", F.lit(True))
     unique = steps.join(dup, "episode", "left_anti")
-    real = materialize(realised_durations(once, unique), "steps")
-    has_r = once.select("episode", F.col("r_step").alias("step")).join(real.select("episode", "step"), ["episode", "step"], "left_semi").select("episode", F.lit(True).alias("has_r"))
-    s = _episode_rows(once, materialize(propagate(once, real, clocks, False, block_steps), "moved"), clocks)
+    s = _episode_rows(once, propagate(once, unique, clocks, False, block_steps), clocks)
     counts = lambda d, name: d.groupBy("episode").agg(F.count(F.lit(1)).alias(name))
     t = s.withColumns({"v_lo": _verdict("lo", clocks, labels), "v_hi": _verdict("hi", clocks, labels), "base_lo": F.col("s_lo_0"), "base_hi": F.col("s_hi_0")})
     t = t.drop(*[c for c in t.columns if c.startswith(("s_lo_", "s_hi_"))])
-    for other in (counts(problems, "n_problems"), counts(notes, "zero_notes"), dup, has_r):
+    for other in (counts(problems, "n_problems"), counts(notes, "zero_notes"), dup):
         t = t.join(other, "episode", "left")
-    halted = (F.when(F.col("dup"), "input problems").when(F.col("n_steps").isNull(), "no steps recorded").when(F.col("has_r").isNull(), "required event step is not among the steps")
+    halted = (F.when(F.col("dup"), "input problems").when(F.col("n_steps").isNull(), "no steps recorded").when(~F.col("has_r"), "required event step is not among the steps")
               .when(~F.col("acyclic"), "dependency cycle or unknown predecessor")
               .when(F.col("tw_lo").isNull() | F.col("anchor_lo").isNull() | (F.col("undated") > 0), "not documented").when(F.col("n_problems") > 0, "input problems"))
     t = t.withColumn("halted", halted)
@@ -447,7 +454,7 @@ def evaluate(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes:
         "finance_actionable": act, "fragile": F.when(run, F.when(near("decisive_slack_earliest") | near("decisive_slack_latest"), "Yes").otherwise("No")).otherwise(""),
         "reason": F.coalesce(F.col("halted"), F.when(verdict == "Indeterminate", why), F.lit("")), "n_flags": F.coalesce("n_problems", F.lit(0)) + F.coalesce("zero_notes", F.lit(0))})
     if reactive:
-        t = _reactive(t, once, real, labels, block_steps)
+        t = _reactive(t, once, unique, labels, block_steps)
     return t.select(*VERDICT_COLUMNS, *(["reactive_sensitivity"] if reactive else []))
 
 
@@ -455,13 +462,13 @@ VERDICT_COLUMNS = ["episode", "verdict", "engine_outcome", "binding_clocks", "si
                    "baseline_slack_earliest", "baseline_slack_latest", "finance_slack_earliest", "finance_slack_latest", "finance_actionable", "fragile", "n_flags"]
 
 
-def _reactive(t: DataFrame, episodes: DataFrame, real: DataFrame, labels: Mapping[str, str], block_steps: int) -> DataFrame:
+def _reactive(t: DataFrame, episodes: DataFrame, steps: DataFrame, labels: Mapping[str, str], block_steps: int) -> DataFrame:
     """Whether the verdict stays when steps downstream of a corrected one are corrected too; only binding episodes are re-run."""
     clocks = sorted(labels)
     t = materialize(t, "verdicts")
     need = t.where("sign_stable = 'Yes' and verdict not in ('Non-binding', 'Indeterminate')").select("episode", F.col("v_lo").alias("o_lo"), F.col("v_hi").alias("o_hi"))
     ep = episodes.join(need, "episode", "left_semi")
-    s = _episode_rows(ep, propagate(ep, real.join(need, "episode", "left_semi"), clocks, True, block_steps), clocks)
+    s = _episode_rows(ep, propagate(ep, steps.join(need.select("episode"), "episode", "left_semi"), clocks, True, block_steps), clocks)
     s = s.withColumns({"w_lo": _verdict("lo", clocks, labels), "w_hi": _verdict("hi", clocks, labels)}).join(need, "episode")
     same = _same(F.col("w_lo"), F.col("o_lo")) & _same(F.col("w_hi"), F.col("o_hi"))
     r = s.select("episode", F.when(same, "Unchanged").otherwise(F.concat(F.lit("Changes to "), F.col("w_lo.verdict"))).alias("reactive_sensitivity"))
@@ -473,8 +480,6 @@ def verdicts(episodes: DataFrame, steps: DataFrame, zero_as_documented: bool = F
     """Verdict per episode, orphan steps included, with the input problems and notes."""
     labels, synonyms = clock_set(institutional, merge_institutional)
     ep, st, problems, notes = read_episodes(episodes, steps, labels, synonyms, zero_as_documented)
-    st = materialize(st, "typed")
-    problems = materialize(problems, "problems")
     table = evaluate(ep, st, problems, notes, labels, reactive)
     orphans = st.select("episode").distinct().join(ep, "episode", "left_anti")
     lost = orphans.select("episode", F.lit("Indeterminate").alias("verdict"), F.lit("listed in the steps but not in the episodes").alias("reason"))
@@ -503,8 +508,7 @@ def corner_check(episodes: DataFrame, steps: DataFrame, problems: DataFrame, not
     clocks = sorted(labels)
     once = episodes.groupBy("episode").agg(*[F.first(c).alias(c) for c in episodes.columns if c != "episode"])
     # only dates on the path to the required step count
-    real = realised_durations(once, steps)
-    on = materialize(propagate(once, real, clocks), "on_path").where("on_path").select("episode", "step")
+    on = materialize(propagate(once, steps, clocks), "on_path").where("on_path").select("episode", "step")
     wide = lambda a, b: F.abs(F.col(b) - F.col(a)) > EPS
     st = steps.join(on.withColumn("on", F.lit(True)), ["episode", "step"], "left").withColumn("varies", F.coalesce(wide("f_lo", "f_hi") & F.col("on"), F.lit(False)))
     per = st.groupBy("episode").agg(F.count_if("varies").alias("n_steps"))
@@ -570,7 +574,7 @@ def verdicts_v4(episodes: DataFrame, steps: DataFrame, zero_as_documented: bool
     """Six-clock verdicts. A requirement revealed in process is bounded by a best case (known from the start) and a worst case (no expected duration)."""
     labels, synonyms = clock_set(True, merge_institutional)
     ep, st, problems, notes = read_episodes(episodes, steps, labels, synonyms, zero_as_documented)
-    st, problems = materialize(st.select("episode", "step", "clock", "preds", "f_lo", "f_hi", "expected"), "typed"), materialize(problems, "problems")
+    problems = materialize(problems, "problems")
     meta, extra = step_status(steps)
     meta = materialize(meta, "meta")
     revealed = meta.where("status = 'revealed'")
@@ -578,8 +582,10 @@ def verdicts_v4(episodes: DataFrame, steps: DataFrame, zero_as_documented: bool
     w = materialize(evaluate(ep, worst, problems, notes, labels, reactive=False), "worst")
     # best case: start at the later of readiness and actionability, then the execution time after revelation
     has_rev = revealed.select("episode").distinct()
-    real = realised_durations(ep.dropDuplicates(["episode"]).join(has_rev, "episode", "left_semi"), st)
-    on = materialize(propagate(ep.dropDuplicates(["episode"]).join(has_rev, "episode", "left_semi"), real, sorted(labels)), "reach").where("on_path").select("episode", "step")
+    rev_ep = ep.dropDuplicates(["episode"]).join(has_rev, "episode", "left_semi")
+    rev_st = st.join(has_rev, "episode", "left_semi")
+    real = realised_durations(rev_ep, rev_st)
+    on = materialize(propagate(rev_ep, rev_st, sorted(labels)), "reach").where("on_path").select("episode", "step")
     r = real.join(revealed.select("episode", "step", "revealed_at", "actionable_from"), ["episode", "step"]).join(on, ["episode", "step"], "left_semi")
     ready = lambda b: F.col(f"f_{b}") - F.col(f"real_{b}")
     cand = lambda b: F.greatest(F.col("actionable_from") - ready(b), F.lit(0.0)) + F.greatest(F.col(f"f_{b}") - F.greatest(ready(b), F.col("revealed_at")), F.lit(0.0))
@@ -610,7 +616,7 @@ def claim_cap(verdict_rows: DataFrame, episodes: DataFrame, steps: DataFrame, me
     binding = [*labels.values(), "Jointly binding"]
     need = verdict_rows.where(F.col("verdict").isin(*binding)).select("episode", F.explode(F.array_distinct(F.transform(F.split("binding_clocks", "[;+]"), lambda x: F.trim(x)))).alias("clock")).where("clock <> ''")
     ep = episodes.dropDuplicates(["episode"]).join(need.select("episode").distinct(), "episode", "left_semi")
-    moved = propagate(ep, realised_durations(ep, steps), sorted(labels)).where("on_path").select("episode", "step", "clock")
+    moved = propagate(ep, steps.join(ep.select("episode"), "episode", "left_semi"), sorted(labels)).where("on_path").select("episode", "step", "clock")
     ok = (F.col("source_class") != "") & (F.col("source_class") != "internal") & F.coalesce(F.col("direct_record"), F.lit(False))
     have = moved.join(meta, ["episode", "step"]).where(ok).select("episode", "clock").distinct().withColumn("ok", F.lit(True))
     j = need.join(have, ["episode", "clock"], "left")

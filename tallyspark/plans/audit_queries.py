@@ -49,7 +49,7 @@ def personal_data_scan(spark, d):
 
 @query("personal_data_scan_documents")
 def personal_data_scan_documents(spark, d):
-    return A.personal_data_scan(A.split_units(V.table(spark, d, "documents"), "doc_id", "text"), "text")
+    return A.personal_data_scan(A.split_units(V.documents(spark, d), "doc_id", "text"), "text")
 
 
 # ---------------------------------------------------------------- text audit
@@ -62,7 +62,7 @@ _UNITS = "u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM doc
 
 @query("text_audit_email", f"WITH {_UNITS}, f AS (SELECT CAST(doc_id AS VARCHAR) AS file, sum(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'))) AS n FROM u GROUP BY 1) SELECT file, CAST(n AS BIGINT) AS n FROM f WHERE n > 0")
 def text_audit_email(spark, d):
-    f = A.text_audit(A.split_units(V.table(spark, d, "documents"), "doc_id", "text"))["findings"]
+    f = A.text_audit(A.split_units(V.documents(spark, d), "doc_id", "text"))["findings"]
     return f.where("finding = 'e-mail address'").groupBy("file").agg(F.sum("count").alias("n"))
 
 
@@ -70,18 +70,18 @@ def text_audit_email(spark, d):
    UNION ALL SELECT doc_id, 'licence wording', len(regexp_extract_all(t, '(?i)\\bcopyright\\b|\\blicen[sc]e\\b')) FROM u)
   SELECT CAST(doc_id AS VARCHAR) AS file, finding, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1, 2 HAVING sum(n) > 0""")
 def text_audit_wording(spark, d):
-    f = A.text_audit(A.split_units(V.table(spark, d, "documents"), "doc_id", "text"), WORDING_RULES)["findings"]
+    f = A.text_audit(A.split_units(V.documents(spark, d), "doc_id", "text"), WORDING_RULES)["findings"]
     return f.where("check = 'outdated wording'").groupBy("file", "finding").agg(F.sum("count").alias("n"))
 
 
 @query("text_audit_units", f"WITH {_UNITS} SELECT CAST(doc_id AS VARCHAR) AS file, count(*) FILTER (trim(t) <> '') AS units FROM u GROUP BY 1")
 def text_audit_units(spark, d):
-    return A.text_audit(A.split_units(V.table(spark, d, "documents"), "doc_id", "text"))["summary"].select("file", "units")
+    return A.text_audit(A.split_units(V.documents(spark, d), "doc_id", "text"))["summary"].select("file", "units")
 
 
 @query("text_audit_kinds")
 def text_audit_kinds(spark, d):
-    f = A.text_audit(A.split_units(V.table(spark, d, "documents"), "doc_id", "text"), WORDING_RULES, names=["Enerth Inion"])["findings"]
+    f = A.text_audit(A.split_units(V.documents(spark, d), "doc_id", "text"), WORDING_RULES, names=["Enerth Inion"])["findings"]
     return f.groupBy("check", "finding", "severity").agg(F.sum("count").alias("n"))
 
 

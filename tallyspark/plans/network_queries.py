@@ -187,7 +187,7 @@ def zero_duration_rule(spark, d):
 @query("topological_levels", f"WITH {NETWORK} SELECT CAST(k AS VARCHAR) AS episode, 's' || ln AS step, CAST(ln - 1 AS INTEGER) AS level FROM v_st JOIN v_ep USING (k)")
 def topological_levels(spark, d):
     (ep, st, _, _), labels = _typed(spark, d)
-    return N.propagate(ep, N.realised_durations(ep, st), sorted(labels)).select("episode", "step", "level")
+    return N.propagate(ep, st, sorted(labels)).select("episode", "step", "level")
 
 
 _SUBS = N.scenarios(_CLEAN)

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, d) -> DataFrame:
+    """The documents, spread over the cores when the file has fewer splits than there are cores: text rules are CPU work."""
+    t, cores = table(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    return t.repartition(cores) if t.rdd.getNumPartitions() < cores else t
+
+
 def lines(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").withColumn("x_null", F.when(F.col("l_linenumber") != 7, F.col("l_discount")))
 
