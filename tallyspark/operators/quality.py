@@ -204,10 +204,10 @@ def status_summary(episodes: DataFrame, sources: DataFrame, checks: DataFrame, f
     return src.join(lv, F.lit(True)).join(ck, F.lit(True)).withColumn("step", step)
 
 
-def lock_readiness(rules: Mapping, episodes: DataFrame, problems: DataFrame, checks: DataFrame, justified: DataFrame | None = None) -> DataFrame:
+def lock_readiness(rules: Mapping, episodes: DataFrame, problems: DataFrame, checks: DataFrame, justified: Sequence[str] = ()) -> DataFrame:
     """Reasons not to lock: unfrozen rules, errors, failed checks, pending gate values, warnings without a justification.
 
-    ``justified`` has one column ``check``; a warning is covered when its text contains an entry.
+    ``justified`` are the texts of accepted warnings; a warning is covered when it contains one of them.
     """
     ep = rules["episode_column"]
     row = lambda d, area, text: d.select(F.lit(area).alias("area"), text.alias("blocker"))
@@ -221,10 +221,8 @@ def lock_readiness(rules: Mapping, episodes: DataFrame, problems: DataFrame, che
     pending = reduce(lambda a, b: a | b, [F.trim(F.col(f"`{c}`")) == "PENDING" for c in gates], F.lit(False))
     out.append(row(episodes.where(_analysable(F.col("level")) & pending), "PENDING", F.concat(F.lit("gate criteria still PENDING: "), F.col(ep).cast("string"))))
     warn = row(problems.where("level = 'WARN'"), "Undocumented warning", text).unionByName(row(checks.where("level = 'WARN'"), "Undocumented warning", F.concat_ws(" — ", "check", "where")))
-    if justified is not None:
-        # a short note file written by hand: one row per accepted warning
-        notes = justified.select(F.trim("check").alias("note")).where("note <> ''").distinct()
-        warn = warn.join(F.broadcast(notes), F.col("blocker").contains(F.col("note")), "left_anti")
+    for note in {j.strip() for j in justified if j.strip()}:
+        warn = warn.where(~F.col("blocker").contains(note))
     out.append(warn)
     return reduce(DataFrame.unionByName, out)
 
