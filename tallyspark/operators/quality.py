@@ -137,7 +137,6 @@ def descriptive_fields(episodes: DataFrame, fields: Sequence[Mapping]) -> Result
     A field has ``column``, ``allowed`` and optionally ``required_when``: a condition as SQL text over
     the episode's columns. A blank field that is not required, and 'N/A', are not counted.
     """
-    rows, counts = [], []
     squeeze = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\s\-–—_/()]+", " "))
     entries = []
     for f in fields:

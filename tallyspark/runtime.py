@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
-#: Largest table, in bytes of Spark's own size estimate, that a join may broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tallyspark") -> SparkSession:
     """A session with the settings the tests and the benchmark use."""
