@@ -118,21 +118,18 @@ def _union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
-def compare(one: pd.Series, two: pd.Series | None, width: int, radius: int, ratio: float, every: bool) -> pd.DataFrame:
-    """Links ``a, b`` within a tile or between two: fingerprints at most ``radius`` bits apart and shingle counts of at least ``ratio``.
+def compare(one: pd.Series, two: pd.Series | None, width: int, radius: int, ratio: float) -> pd.DataFrame:
+    """A spanning forest ``a, b`` of the links within a tile or between two: each linked class with the smallest it is connected to.
 
-    Without ``every``: a spanning forest, as each member's link to its smallest and to its nearest
-    linked class. With ``every``: each link between classes whose label differs.
+    Linked are fingerprints at most ``radius`` bits apart whose shingle counts stand in a ratio of at least ``ratio``.
     """
-    load = lambda t: (np.frombuffer(t["nodes"], np.int64), np.frombuffer(t["words"], np.uint64).reshape(-1, width), np.frombuffer(t["ns"], np.int32), np.frombuffer(t["labels"], np.int64) if every else None)
-    na, wa, sa, la = load(one)
-    nb, wb, sb, lb = load(two) if two is not None else (na, wa, sa, la)
+    load = lambda t: (np.frombuffer(t["nodes"], np.int64), np.frombuffer(t["words"], np.uint64).reshape(-1, width), np.frombuffer(t["ns"], np.int32))
+    na, wa, sa = load(one)
+    nb, wb, sb = load(two) if two is not None else (na, wa, sa)
     ca, cb = _counts(wa), _counts(wb)
     shift = 0 if two is None else len(na)
     parent = np.arange(len(na) + (0 if two is None else len(nb)))
-    near, nearest = np.full(len(parent), 255, np.int16), np.full(len(parent), -1, np.int64)
     strips = [(j, cb[j : j + STRIP_COLS].min(0), cb[j : j + STRIP_COLS].max(0), sb[j : j + STRIP_COLS].min(), sb[j : j + STRIP_COLS].max()) for j in range(0, len(nb), STRIP_COLS)]
-    found: list[np.ndarray] = []
     for i in range(0, len(na), STRIP_ROWS):
         x, lo, hi, slo, shi = wa[i : i + STRIP_ROWS], ca[i : i + STRIP_ROWS].min(0), ca[i : i + STRIP_ROWS].max(0), sa[i : i + STRIP_ROWS].min(), sa[i : i + STRIP_ROWS].max()
         for j, lo2, hi2, slo2, shi2 in strips:
@@ -147,40 +144,20 @@ def compare(one: pd.Series, two: pd.Series | None, width: int, radius: int, rati
             p, q = np.nonzero(d <= radius)
             if not len(p):
                 continue
-            h = d[p, q]
             p, q = p + i, q + j
             ok = np.minimum(sa[p], sb[q]) >= ratio * np.maximum(sa[p], sb[q])
             if two is None:
                 ok &= p < q
-            if every:
-                ok &= la[p] != lb[q]
-            p, q, h = p[ok], q[ok], h[ok]
-            if not len(p):
-                continue
-            if every:
-                found.append(np.stack([na[p], nb[q]], 1))
-                continue
-            q = q + shift
-            _union(parent, p, q)
-            for u, v in ((p, q), (q, p)):
-                order = np.lexsort((v, h, u))
-                first = order[np.r_[True, u[order][1:] != u[order][:-1]]]
-                better = h[first] < near[u[first]]
-                near[u[first][better]], nearest[u[first][better]] = h[first][better], v[first][better]
-    if not every:
-        nodes = na if two is None else np.concatenate([na, nb])
-        me = np.nonzero(nearest >= 0)[0]
-        found = [np.stack([nodes[me], nodes[parent[me]]], 1)] + ([np.stack([nodes[me], nodes[nearest[me]]], 1)] if ratio else [])
-    links = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    links = np.unique(np.sort(links[links[:, 0] != links[:, 1]], axis=1), axis=0)
-    return pd.DataFrame({"b": links[:, 0], "a": links[:, 1]})
-
-
-def tile_links(tiles: DataFrame, width: int, radius: int, ratio: float = 0.0, every: bool = False, by_size: bool = False) -> DataFrame:
-    """Links between classes over all pairs of tiles whose population and shingle counts allow one.
-
-    ``every`` needs a column ``labels`` in the tiles. The table of tile pairs comes from a join on
-    bands (|band - band| <= reach is symmetric, so each pair is met once in order of tile numbers);
+            _union(parent, p[ok], q[ok] + shift)
+    nodes = na if two is None else np.concatenate([na, nb])
+    me = np.nonzero(parent != np.arange(len(parent)))[0]
+    return pd.DataFrame({"b": nodes[me], "a": nodes[parent[me]]})
+
+
+def tile_links(tiles: DataFrame, width: int, radius: int, ratio: float = 0.0, by_size: bool = False) -> DataFrame:
+    """Forests of links over all pairs of tiles whose population and shingle counts allow a link.
+
+    The table of tile pairs comes from a join on bands (|band - band| <= reach is symmetric, so each pair is met once in order of tile numbers);
     a tile's row is then sent to each of its pairs. ``by_size`` as given to ``tiles_of``; it needs a ratio.
     """
     reach = math.ceil(8 * math.log2(1 / ratio)) if by_size else radius
@@ -192,11 +169,11 @@ def tile_links(tiles: DataFrame, width: int, radius: int, ratio: float = 0.0, ev
         allowed &= (F.col("x_n_hi") >= F.col("n_lo") * ratio) & (F.col("n_hi") >= F.col("x_n_lo") * ratio)
     pairs = left.join(right, "band").where(allowed).select(F.struct(F.col("x_tile").alias("one"), F.col("tile").alias("two")).alias("pair")).distinct()
     sides = pairs.select("pair", F.explode(F.array_distinct(F.array("pair.one", "pair.two"))).alias("tile"))
-    dealt = sides.join(tiles.select("tile", "nodes", "words", "ns", *(["labels"] if every else [])), "tile")
+    dealt = sides.join(tiles.select("tile", "nodes", "words", "ns"), "tile")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("tile")
-        return compare(group.iloc[0], group.iloc[1] if len(group) > 1 else None, width, radius, ratio, every)
+        return compare(group.iloc[0], group.iloc[1] if len(group) > 1 else None, width, radius, ratio)
 
     return dealt.groupBy("pair").applyInPandas(run, "b long, a long")
 
@@ -218,3 +195,82 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
     known = materialize(named.join(lows, "root").select("f0", "component"), "components")
     return rows.join(known, "f0").select("id", "f0", F.col("component").alias("root"))
+
+
+#: Documents of a block in the exact test within a cluster.
+BLOCK = 512
+
+
+def _similar(group: pd.DataFrame, k: int, similarity: float) -> pd.DataFrame:
+    """A spanning forest of the exact links of a block, of two blocks of one cluster, or of several small clusters.
+
+    One row's shingles are marked and counted in all others of its cluster at once; rows that are
+    connected already are not counted again.
+    """
+    group = group.sort_values(["cluster", "node"])
+    sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in set(shingle_bytes(t, k))], np.uint64)) for t in group["text"]]
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.sum() else np.empty(0, np.int64)
+    starts = np.r_[0, np.cumsum(sizes)]
+    marked = np.zeros(int(ids.max(initial=-1)) + 2, np.int32)
+    cluster, block = group["cluster"].to_numpy(), group["block"].to_numpy()
+    across = len(group) > 0 and bool(group["across"].iloc[0])
+    node = group["node"].to_numpy()
+    parent = np.arange(len(group))
+    ends = np.searchsorted(cluster, cluster, side="right")
+    for i in range(len(group)):
+        j = np.arange(i + 1, ends[i])
+        j = j[(parent[j] != parent[i]) & (np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]))]
+        if across:
+            j = j[block[j] != block[i]]
+        if not len(j):
+            continue
+        if sizes[i]:
+            mine = ids[starts[i] : starts[i + 1]]
+            marked[mine] = 1
+            at = np.concatenate([ids[starts[x] : starts[x + 1]] for x in j])
+            both = np.add.reduceat(marked[at], np.r_[0, np.cumsum(sizes[j])[:-1]])
+            marked[mine] = 0
+            j = j[both >= similarity * (sizes[j] + sizes[i] - both) - 1e-9]
+        _union(parent, np.full(len(j), i), j)
+    me = np.nonzero(parent != np.arange(len(parent)))[0]
+    return pd.DataFrame({"b": node[me], "a": node[parent[me]]})
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 32, seed: int = 42) -> DataFrame:
+    """The documents without those that repeat another: one of each group of near copies stays, with the columns it came with.
+
+    Two texts are linked if the sets of their ``k``-word shingles (A-Z lowered, one space between words)
+    have a Jaccard similarity of at least ``similarity``; a group is what chains of links connect. The
+    smallest id of a group stays, null ids last. Candidates come from 128-bit fingerprints of the sets
+    at most ``radius`` bits apart: a pair at 0.8 differs in 19 bits with a deviation of 4, so 999 of 1000
+    such pairs lie within 32, closer ones nearly always, and unrelated ones almost never. Candidates form clusters, in
+    which every pair is tested exactly, by blocks of ``BLOCK`` documents for two blocks at a time, and
+    only spanning forests leave the tasks. Texts without words (null ones among them) are copies of one another;
+    shorter ones than ``k`` words are compared as one shingle. Repeated rows leave one row. Extra
+    columns pass through, whatever their names. An empty table stays empty.
+    """
+    # the one copy of the texts: it fixes a row number, so that of equal rows exactly one can stay
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
+    text = F.col(f"row.`{text_col}`")
+    prints = materialize(fingerprints(rows.select("uid", "id", "key", text.alias("text")), F.col("text"), ["uid", "id", "key"], k, 128, seed, True), "prints")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best")
+    classes = materialize(prints.groupBy("key").agg(best, F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min("n").alias("n")).withColumn("node", F.col("best.uid")), "classes")
+    clusters = components(tile_links(tiles_of(classes, 2, True), 2, radius, similarity, True))
+    clusters = materialize(clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root").select("node", F.col("root").alias("cluster"), F.ceil(F.col("m") / BLOCK).alias("blocks")), "clusters")
+    small = max(1, math.ceil(clusters.where("blocks = 1").count() / BLOCK))
+    whole = clusters.where("blocks = 1").select("node", "cluster", F.lit(0).cast("long").alias("block"), F.lit(False).alias("across"), F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(small))).alias("part"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    split = clusters.where("blocks > 1").withColumn("block", mine).select("node", "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    split = split.select("node", "cluster", "block", (F.col("block") != F.col("other")).alias("across"), F.concat_ws("/", "cluster", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
+    dealt = whole.unionByName(split).join(rows.select(F.col("uid").alias("node"), text.alias("text")), "node")
+    links = dealt.groupBy("part").applyInPandas(lambda g: _similar(g, k, similarity), "b long, a long")
+    roots = components(links)
+    # every class but the best of its component, and every row but the best of its class, goes
+    grouped = classes.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    first = grouped.groupBy("root").agg(F.min("best").alias("first"))
+    worse = grouped.join(first, "root").where("best.uid <> first.uid").select(F.col("node").alias("uid"))
+    copies = prints.join(classes.select("key", F.col("node")), "key").where("uid <> node").select("uid")
+    gone = materialize(worse.unionByName(copies), "gone")
+    kept = rows.join(gone, "uid", "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
