@@ -14,7 +14,6 @@ product of both; the blocks' rows are sent once for each block of the other side
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,9 +24,11 @@ from pyspark.sql import functions as F
 from tallyspark.runtime import materialize
 
 #: Queries and candidates of a block, and points from which a node is not divided further.
-QUERY_BLOCK, BLOCK, LEAF = 2048, 8192, 64
-#: How far a child's covering radius lies below its parent's.
-BASE = 1.3
+QUERY_BLOCK, BLOCK, LEAF = 2048, 8192, 256
+#: How far a child's covering radius lies below its parent's, and the most children of a node.
+BASE, CHILDREN = 1.3, 16
+#: The score of no candidate; its negative is a number too.
+NONE = -(1 << 62)
 
 
 @dataclass
@@ -67,8 +68,8 @@ class CoverTree:
                 continue
             goal = node.radius / BASE
             nearest, owner, centres = d.copy(), np.zeros(len(rows), np.int64), [node.centre]
-            most = 2 * math.isqrt(len(rows)) + 2  # where points lie too evenly to be covered sooner, children keep the radius reached
-            while nearest.max() > goal and len(centres) < most:
+            # where points lie too evenly to be covered by CHILDREN, these keep the radius they reach
+            while nearest.max() > goal and len(centres) < CHILDREN:
                 far = int(nearest.argmax())
                 centres.append(int(rows[far]))
                 new = self._distances(centres[-1], rows)
@@ -86,22 +87,13 @@ class CoverTree:
                 at += int(n)
         return stack_root
 
-    def leaves(self, node: Node) -> Iterator[Node]:
-        stack = [node]
-        while stack:
-            n = stack.pop()
-            if n.children:
-                stack.extend(reversed(n.children))
-            else:
-                yield n
-
 
 class _Best:
     """The k best (score, smaller id first) of each query so far."""
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
+        self.score = np.full((n, k), NONE)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def worst(self, rows: np.ndarray) -> int:
@@ -109,14 +101,14 @@ class _Best:
         return int(self.score[rows, -1].min())
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: one row for each of ``rows``, one column for each of ``ids``; int64 minimum: no candidate."""
+        """scores: one row for each of ``rows``, one column for each of ``ids``; NONE: no candidate."""
         hot = (scores >= self.score[rows, -1][:, None]).any(1)
         rows, scores = rows[hot], scores[hot]
         if not len(rows):
             return
         s = np.concatenate([self.score[rows], scores], 1)
         i = np.concatenate([self.id[rows], np.broadcast_to(ids, scores.shape)], 1)
-        i = np.where(s == np.iinfo(np.int64).min, np.iinfo(np.int64).max, i)
+        i = np.where(s == NONE, np.iinfo(np.int64).max, i)
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
@@ -141,7 +133,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids:
             theirs = pt.order[p.lo : p.hi]
             scores = np.rint(queries[mine] @ points[theirs].T).astype(np.int64)
             taken += scores.size
-            scores[query_ids[mine][:, None] == ids[theirs][None, :]] = np.iinfo(np.int64).min
+            scores[query_ids[mine][:, None] == ids[theirs][None, :]] = NONE
             best.add(mine, scores, ids[theirs])
             continue
         # the wider node is opened; of its parts the one with the highest bound is walked first
@@ -183,7 +175,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id"
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         q = q.drop_duplicates("id")
         best, _ = search(_matrix(q["vec"]), q["id"].to_numpy(), _matrix(p["vec"]), p["id"].to_numpy(), k)
-        real = best.score > np.iinfo(np.int64).min
+        real = best.score > NONE
         at = np.nonzero(real)[0]
         return pd.DataFrame({"query_id": q["id"].to_numpy()[at] if len(q) else [], "vec_id": best.id[real], "score": best.score[real]})
 
