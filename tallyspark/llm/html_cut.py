@@ -182,7 +182,7 @@ def cost(b: Block) -> float:
         s += 3.0
     if b.holder.bad == "hint":
         s -= SURE
-    elif words < 40 and OWN_LINE.search(b.text):
+    elif not b.holder.article and words < 40 and OWN_LINE.search(b.text):
         s -= 6.0
     return s
 
