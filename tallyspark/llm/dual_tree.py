@@ -130,7 +130,14 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids:
         if bound < best.worst(mine) - 0.5:
             continue
         if not q.children and not p.children:
+            # the same bound for single rows of either leaf against the other leaf's ball
             theirs = pt.order[p.lo : p.hi]
+            mine = mine[queries[mine] @ points[p.centre] + qt.norms[mine] * p.radius >= best.score[mine, -1] - 0.5]
+            if not len(mine):
+                continue
+            theirs = theirs[points[theirs] @ queries[q.centre] + pt.norms[theirs] * q.radius >= best.worst(mine) - 0.5]
+            if not len(theirs):
+                continue
             scores = np.rint(queries[mine] @ points[theirs].T).astype(np.int64)
             taken += scores.size
             scores[query_ids[mine][:, None] == ids[theirs][None, :]] = NONE

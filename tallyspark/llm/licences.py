@@ -78,7 +78,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for b in sorted({size for _, _, _, size in own}):
         fits = fits | ((a >= b * low - 1e-9) & (a <= b * high + 1e-9))
     worded = passage.select("id", "passage", normal_words(F.col("passage")).alias("w")).withColumn("a", F.size("w") - 1).where((a >= 1) & fits)
-    grams = F.zip_with(F.slice("w", F.lit(1), a), F.slice("w", F.lit(2), a), lambda x, y: F.xxhash64(F.concat_ws(" ", x, y)))
+    n = F.greatest(a, F.lit(0))
+    grams = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda x, y: F.xxhash64(F.concat_ws(" ", x, y)))
     # of a passage's bigrams so many must be some template's, as common ones are at least threshold * (a + b) / 2 and b at least low * a
     met = worded.select("id", "passage", "a", F.filter(grams, lambda g: g.isin(known)).alias("met")).where(F.size("met") >= a * low - 1e-9)
     mine = met.distinct().select("id", "passage", "a", F.explode("met").alias("gram")).groupBy("id", "passage", "a", "gram").agg(F.count(F.lit(1)).alias("mine"))
