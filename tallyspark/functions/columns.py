@@ -102,14 +102,22 @@ def reverse_score(col: str | Column, low: float, high: float) -> Column:
     return F.lit(float(low + high)) - c
 
 
-def text_levels(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Sorted distinct text levels of a categorical column; refuses columns that are not categorical."""
-    rows = (
-        df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct().limit(limit + 1).collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"{column!r} has more than {limit} levels; it cannot be dummy coded")
-    return sorted(r.v for r in rows)
+def text_levels(df: DataFrame, column: str, most: int | None = None) -> list[str]:
+    """Sorted distinct text levels of a categorical column.
+
+    They become columns of a design or rows of a result on the driver, so the column has to be categorical.
+    ``most`` refuses columns with more levels; without it any number is taken.
+    """
+    rows = df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct()
+    got = (rows if most is None else rows.limit(most + 1)).collect()
+    if most is not None and len(got) > most:
+        raise ValueError(f"{column!r} has more than {most} levels")
+    return sorted(r.v for r in got)
+
+
+def strip_space(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def dummy_columns(column: str, levels: Sequence[str], baseline: str | None = None) -> dict[str, Column]:

@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# (?U): letters, digits and white space of every script, not of ASCII alone.
 # Patterns for a whole table cell.
 CELL_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-CELL_PHONE = r"^(?:\+|00|0)[\d\s().\-/]{8,}$"
-CELL_DECIMAL = r"^-?\d+[.,]\d+$"
-CELL_NUMBERLIKE = r"^[\d\s\-]+$"
-CELL_CODE = r"^[^\W\d_]+[ _\-]?[A-Z0-9]{1,4}$"
-IBAN = r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,4})?\b"
+CELL_PHONE = r"(?U)^(?:\+|00|0)[\d\s().\-/]{8,}$"
+CELL_DECIMAL = r"(?U)^-?\d+[.,]\d+$"
+CELL_NUMBERLIKE = r"(?U)^[\d\s\-]+$"
+CELL_CODE = r"(?U)^[^\W\d_]+[ _\-]?[A-Z0-9]{1,4}$"
+IBAN = r"(?U)\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,4})?\b"
 
 # Patterns inside running text.
-TEXT_NOISE = r"(?i)https?://\S+|\bdoi:\s*\S+|\b10\.\d{4,9}/\S+|\bISBN[\s:-]*[\dXx-]{10,17}"
-TEXT_PHONE = r"(?<![\w.])(?:\+|00)\d[\d ()./-]{7,}\d(?![\w])"
-TEXT_ELEVEN = r"(?<!\d)\d{11}(?!\d)"
-TEXT_TEN = r"(?<!\d)\d{10}(?!\d)"
-TEXT_CARD = r"(?<!\d)(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
+TEXT_NOISE = r"(?iU)https?://\S+|\bdoi:\s*\S+|\b10\.\d{4,9}/\S+|\bISBN[\s:-]*[\dXx-]{10,17}"
+TEXT_PHONE = r"(?U)(?<![\w.])(?:\+|00)\d[\d ()./-]{7,}\d(?![\w])"
+TEXT_ELEVEN = r"(?U)(?<!\d)\d{11}(?!\d)"
+TEXT_TEN = r"(?U)(?<!\d)\d{10}(?!\d)"
+TEXT_CARD = r"(?U)(?<!\d)(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
 CURRENCY = r"(?:HUF|Ft|EUR|€|USD|US\$|\$|TRY|TL|₺|RON|lei|GBP|£)"
-TEXT_AMOUNT = rf"(?i)(?<![\w]){CURRENCY}\s?\d[\d\s.,']*\d|(?<![\w.,])\d[\d\s.,']*\d\s?{CURRENCY}(?![\w])"
+TEXT_AMOUNT = rf"(?iU)(?<![\w]){CURRENCY}\s?\d[\d\s.,']*\d|(?<![\w.,])\d[\d\s.,']*\d\s?{CURRENCY}(?![\w])"
 TEXT_INVOICE = (
-    r"(?i)\b(?:invoice|inv|proforma|pro-forma|számla|szamla|fatura|factura|order|PO)\b\.?\s*(?:no|nr|number|sz|num|#)?\.?\s*[:#]?\s*"
+    r"(?iU)\b(?:invoice|inv|proforma|pro-forma|számla|szamla|fatura|factura|order|PO)\b\.?\s*(?:no|nr|number|sz|num|#)?\.?\s*[:#]?\s*"
     r"(?=[A-Z0-9/\-]*\d)[A-Z0-9][A-Z0-9/\-]{3,}"
 )
 TEXT_NAME_LABEL = (
-    r"(?iu)\b(?:customer|client|contact|buyer|owner|name|full\s+name|first\s+name|last\s+name|surname|"
+    r"(?iU)\b(?:customer|client|contact|buyer|owner|name|full\s+name|first\s+name|last\s+name|surname|"
     r"müşteri|musteri|ad(?:ı)?|soyad(?:ı)?|isim|név|ugyfel|ügyfél|nome|cognome|cliente|"
     r"نام|نام\s+خانوادگی|مشتری)\b\s*(?:[:=]|\s-\s)\s*"
     r"(?=[^\n]{2,80}$)(?:[A-ZÀ-ÖØ-öø-ÿĀ-žĞİŞÇÖÜ][\wÀ-ÖØ-öø-ÿĀ-žĞİŞÇÖÜ'’.-]+(?:\s+|$)){1,4}"
 )
 
 
+_DIGITS = [(chr(i), str(unicodedata.decimal(chr(i)))) for i in range(128, 0x10000) if unicodedata.category(chr(i)) == "Nd"]
+
+
 def digits_only(c: Column) -> Column:
-    return F.regexp_replace(c, r"\D", "")
+    """The decimal digits of any script, as ASCII digits."""
+    return F.translate(F.regexp_replace(c, r"(?U)\D", ""), "".join(a for a, _ in _DIGITS), "".join(b for _, b in _DIGITS))
 
 
 def _digit(c: Column, i: int) -> Column:

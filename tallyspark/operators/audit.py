@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import identifiers as I
-from tallyspark.functions.columns import as_list
+from tallyspark.functions.columns import as_list, strip_space
 from tallyspark.operators.describe import unpivot_text
 from tallyspark.registry import Result, analysis
 from tallyspark.runtime import small_table
@@ -38,7 +38,7 @@ HIGH = ("email", "phone", "iban", "tckn", "hu_tax", "card", "listed", "labelled"
 
 def cell_kinds(value: Column) -> dict[str, Column]:
     """Kinds of personal data a table cell looks like; false for a blank cell."""
-    s = F.trim(value)
+    s = strip_space(value)
     d = I.digits_only(s)
     numeric = s.rlike(I.CELL_NUMBERLIKE)
     phone = s.rlike(I.CELL_PHONE) & F.length(d).between(9, 15) & ~s.rlike(I.CELL_DECIMAL)
@@ -62,16 +62,16 @@ def header_hint(column: str) -> bool:
 def personal_data_scan(df: DataFrame, columns=None) -> DataFrame:
     """Findings (column, kind, count) and never a value. All columns are scanned as text in one pass."""
     cols = as_list(columns) or df.columns
-    long = unpivot_text(df, cols).where(F.trim("level") != "")
+    long = unpivot_text(df, cols).where(strip_space(F.col("level")) != "")
     flags = cell_kinds(F.col("level"))
     counts = long.groupBy(F.col("variable").alias("column")).agg(*[F.count_if(c).alias(k) for k, c in flags.items()])
     rows = counts.select("column", F.inline(F.array(*[F.struct(F.lit(KINDS[k]).alias("kind"), F.col(k).alias("count")) for k in flags]))).where("count > 0")
     hinted = [c for c in cols if header_hint(c)]
     if not hinted:
         return rows
-    s = F.trim("level")
-    word = ~F.lower(s).isin(*NEUTRAL_CODES) & ~s.rlike("(?U)" + I.CELL_CODE) & (F.length(F.regexp_replace(s, r"(?U)[^\p{L}]", "")) >= 3)
-    texts = unpivot_text(df, hinted).where(F.trim("level") != "").select(F.col("variable").alias("column"), s.alias("s")).where(word)
+    s = strip_space(F.col("level"))
+    word = ~F.lower(s).isin(*NEUTRAL_CODES) & ~s.rlike(I.CELL_CODE) & (F.length(F.regexp_replace(s, r"(?U)[^\p{L}]", "")) >= 3)
+    texts = unpivot_text(df, hinted).where(strip_space(F.col("level")) != "").select(F.col("variable").alias("column"), s.alias("s")).where(word)
     # distinct texts first, with their counts: no distinct set is held per column
     per = texts.groupBy("column", "s").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("different"), F.bool_or(F.col("s").contains(" ")).alias("spaced"))
@@ -86,11 +86,11 @@ def text_kinds(text: Column, names: Sequence[str] = (), allow_amounts: Sequence[
     how_many = lambda t, p, ok: F.size(F.filter(found(t, p), ok))
     amounts = clean
     for p in allow_amounts:
-        amounts = F.regexp_replace(amounts, f"(?i){p}", " ")
-    patterns = [rf"(?iu)(?<!\w){re.escape(n)}(?!\w)" for n in names if len(n) >= 3]
+        amounts = F.regexp_replace(amounts, f"(?iU){p}", " ")
+    patterns = [rf"(?iU)(?<!\w){re.escape(n)}(?!\w)" for n in names if len(n) >= 3]
     listed = F.aggregate(F.transform(F.array(*map(F.lit, patterns)), lambda p: F.regexp_count(clean, p)), F.lit(0), lambda a, x: a + x) if patterns else F.lit(0)
     # exact pre-filters: without an @, a digit or a separator the pattern cannot match
-    digits = lambda c: F.when(clean.rlike(r"\d"), c).otherwise(0)
+    digits = lambda c: F.when(clean.rlike(r"(?U)\d"), c).otherwise(0)
     return {
         "email": F.when(text.contains("@"), F.regexp_count(text, F.lit(I.CELL_EMAIL))).otherwise(0),
         "phone": digits(how_many(clean, I.TEXT_PHONE, lambda m: F.length(I.digits_only(m)).between(9, 15))),
@@ -101,17 +101,17 @@ def text_kinds(text: Column, names: Sequence[str] = (), allow_amounts: Sequence[
         "amount": digits(F.regexp_count(amounts, F.lit(I.TEXT_AMOUNT))),
         "invoice": digits(F.regexp_count(clean, F.lit(I.TEXT_INVOICE))),
         "listed": listed,
-        "labelled": F.when(clean.rlike(r"[:=]|\s-\s"), F.regexp_count(clean, F.lit(I.TEXT_NAME_LABEL))).otherwise(0),
+        "labelled": F.when(clean.rlike(r"(?U)[:=]|\s-\s"), F.regexp_count(clean, F.lit(I.TEXT_NAME_LABEL))).otherwise(0),
     }
 
 
 def _wording_hits(rule: Mapping) -> Column:
     """One finding per occurrence of a wording rule."""
-    flag = "(?iu)" if "i" in rule.get("flags", "i") else ""
+    flag = "(?iU)" if "i" in rule.get("flags", "i") else "(?U)"
     fixed = [F.lit("outdated wording").alias("check"), F.lit(rule["issue"]).alias("finding"), F.lit(1).cast("long").alias("count"),
              F.lit(rule.get("severity", "MEDIUM")).alias("severity"), F.lit(rule.get("current", "")).alias("action")]
     hits = F.regexp_extract_all("text", F.lit(flag + rule["pattern"]), F.lit(0))
-    return F.transform(hits, lambda m: F.struct(*fixed, F.substring(m, 1, 80).alias("matched")))
+    return F.transform(hits, lambda m: F.struct(*fixed, m.alias("matched")))
 
 
 @analysis("text_audit", "Text audit", "Privacy")
@@ -123,19 +123,19 @@ def text_audit(units: DataFrame, rules: Sequence[Mapping] = (), names: Sequence[
     checked for wording. A file without any non-empty unit is unreadable, not clean.
     """
     # white space alone is no text; everything else is scanned whole
-    body = units.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    body = units.where(strip_space(F.coalesce("text", F.lit(""))) != "")
     counts = text_kinds(F.col("text"), names, allow_amounts)
     severity = lambda k: "HIGH" if k in HIGH else "MEDIUM"
     entries = [F.struct(F.lit("personal or confidential data").alias("check"), F.lit(KINDS[k]).alias("finding"), c.cast("long").alias("count"), F.lit(severity(k)).alias("severity"),
                         F.lit("remove or replace with a pseudonymised code").alias("action"), F.lit("").alias("matched")) for k, c in counts.items()]
     found = body.select("file", "location", F.inline(F.array(*entries))).where("count > 0")
     if rules:
-        exempt = reduce(lambda a, b: a | b, [F.col("location").rlike(f"(?i){p}") for p in exempt_locations], F.lit(False))
+        exempt = reduce(lambda a, b: a | b, [F.col("location").rlike(f"(?iU){p}") for p in exempt_locations], F.lit(False))
         packs = [_wording_hits(r) for r in rules]
         found = found.unionByName(body.where(~exempt).select("file", "location", F.inline(F.concat(*packs))))
     per = found.groupBy("file").agg(
         F.sum(F.when(F.col("check") == "outdated wording", 0).otherwise(F.col("count"))).alias("personal"), F.sum(F.when(F.col("check") == "outdated wording", F.col("count")).otherwise(0)).alias("wording"))
-    readable = units.groupBy("file").agg(F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("units"))
+    readable = units.groupBy("file").agg(F.count_if(strip_space(F.coalesce("text", F.lit(""))) != "").alias("units"))
     s = readable.join(per, "file", "left").fillna(0, ["personal", "wording"])
     status = F.when(F.col("units") == 0, "unreadable").when(F.col("personal") > 0, "personal data").when(F.col("wording") > 0, "wording to update").otherwise("clean")
     return Result({"findings": found, "summary": s.withColumn("status", status)})
@@ -197,11 +197,14 @@ def first_surname(col: Column) -> Column:
 
 
 def _signatures(title: Column) -> Column:
-    """The folded title, and the title with each one of its words left out (for two words and more)."""
+    """The folded title, and the title without one (for two words and more) and without two of its words (for four and more)."""
     words = F.split(title, " ")
-    drop = lambda i: F.concat(F.lit("~"), F.array_join(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.greatest(F.size(words) - i - 1, F.lit(0)))), " "))
-    left_out = F.transform(F.sequence(F.lit(0), F.size(words) - 1), drop)
-    return F.when(F.size(words) > 1, F.array_distinct(F.concat(F.array(title), left_out))).otherwise(F.array(title))
+    places = F.sequence(F.lit(0), F.size(words) - 1)
+    left = lambda gone: F.concat(F.lit("~"), F.array_join(F.filter(words, lambda w, i: ~gone(i)), " "))
+    one = F.transform(places, lambda i: left(lambda j: j == i))
+    two = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda k: k > i), lambda k: left(lambda j: (j == i) | (j == k)))))
+    more = F.when(F.size(words) > 3, F.concat(one, two)).when(F.size(words) > 1, one).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(title), more))
 
 
 @analysis("match_references", "Reference matching", "Audit")
@@ -210,7 +213,7 @@ def match_references(supplied: DataFrame, registry: DataFrame, strict: bool = Fa
 
     Both tables: ref (supplied only), doi, title, year, authors, journal (registry: first_author);
     strict also compares volume, issue and pages. A DOI is joined exactly. Without a DOI the candidates
-    are registry titles that agree on all words or on all but one; equal titles are collapsed first, so
+    are registry titles that agree on all words or on all but one or two; equal titles are collapsed first, so
     a title that repeats a million times is one candidate row. The best one by similarity (plus a bonus
     for the year) is kept by an aggregate.
     """

@@ -69,10 +69,14 @@ def survey_interval(df: DataFrame, value: str, by: Sequence[str] = (), method: s
 _FUNCTIONS = {"min": "least", "max": "greatest", "least": "least", "greatest": "greatest", "abs": "abs", "log": "ln", "exp": "exp", "sqrt": "sqrt", "power": "power"}
 
 
-def formula(expression: str, names: Sequence[str]) -> Column:
-    """A user's arithmetic expression as a column; only the given names and a few functions may occur."""
+def formula(expression: str, names: Mapping[str, str] | Sequence[str]) -> str:
+    """A user's arithmetic expression as SQL; only the given names and a few functions may occur.
+
+    ``names`` are columns, or SQL to put in the place of each name.
+    """
     if not re.fullmatch(r"[\w\s+\-*/().,]+", expression):
         raise ValueError("only names, numbers, + - * / ( ) and , may be used")
+    put = dict(names) if isinstance(names, Mapping) else {n: f"`{n}`" for n in names}
 
     def swap(m: re.Match) -> str:
         word, call = m.group(1), m.group(2)
@@ -80,25 +84,20 @@ def formula(expression: str, names: Sequence[str]) -> Column:
             if word not in _FUNCTIONS:
                 raise ValueError(f"function {word!r} is not allowed")
             return _FUNCTIONS[word] + call
-        if word not in names:
+        if word not in put:
             raise ValueError(f"no value or evidence for {word!r}")
-        return f"`{word}`"
+        return put[word]
 
-    return F.expr(re.sub(r"\b([A-Za-z_]\w*)\b(\s*\()?", swap, expression))
+    return re.sub(r"\b([A-Za-z_]\w*)\b(\s*\()?", swap, expression)
 
 
-def _corners(boxes: DataFrame, params: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
-    """Every corner of each row's parameter box, as one row per corner with one column per parameter."""
-    free = [p for p in params if p not in skip]
-    rows = boxes.withColumn("_corner", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(free) - 1))))
-    bit = lambda i: F.expr(f"shiftright(_corner, {i}) & 1")
-    return rows.withColumns({p: F.when(bit(i) == 1, F.col(f"hi_{p}")).otherwise(F.col(f"lo_{p}")) for i, p in enumerate(free)})
+def _corner(params: Sequence[str]) -> dict[str, str]:
+    """SQL for each parameter at corner number ``c`` of its row's box: bit i picks the end of parameter i."""
+    return {p: f"(CASE WHEN shiftright(c, {i}) & 1 = 1 THEN `hi_{p}` ELSE `lo_{p}` END)" for i, p in enumerate(params)}
 
 
 def parameter_boxes(evidence: DataFrame, case: Sequence[str], parameter: str, params: Sequence[str], ladder: Sequence[str] = LADDER) -> DataFrame:
     """One row per case and rung with the admitted interval of every parameter and the number still missing."""
-    if len(params) > 14:
-        raise ValueError("at most 14 uncertain parameters")
     case = list(case)
     rungs = admit_intervals(evidence, [*case, parameter], ladder)
     wide = rungs.groupBy(*case, "rung").agg(
@@ -111,44 +110,45 @@ def parameter_boxes(evidence: DataFrame, case: Sequence[str], parameter: str, pa
 def bounds(evidence: DataFrame, case, expression: str, params: Sequence[str], parameter: str = "parameter", fixed: Mapping[str, float] | None = None,
            threshold: float = 0.0, label_below: str = "below threshold favoured", label_above: str = "above threshold favoured",
            ladder: Sequence[str] = LADDER, breakdown_parameter: str | None = None, breakdown_side: str = "high") -> Result:
-    """Lowest and highest value of an expression over the corners of the admitted box, per case and rung."""
+    """Lowest and highest value of an expression over the corners of the admitted box, per case and rung.
+
+    The corners are numbered and evaluated inside the row of their case, so nothing is multiplied or moved;
+    work and a row's memory double with each uncertain parameter.
+    """
     case = [case] if isinstance(case, str) else list(case)
     fixed = dict(fixed or {})
-    value = formula(expression, [*params, *fixed])
+    given = {k: f"CAST({float(v)!r} AS DOUBLE)" for k, v in fixed.items()}
     boxes = parameter_boxes(evidence, case, parameter, params, ladder)
-    known = boxes.where("missing = 0").withColumns({k: F.lit(float(v)) for k, v in fixed.items()})
-    v = _corners(known, params).select(*case, "rung", value.alias("v"))
-    ends = v.groupBy(*case, "rung").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    values = F.expr(f"transform(sequence(0L, {2 ** len(params) - 1}L), c -> CAST({formula(expression, {**_corner(params), **given})} AS DOUBLE))")
+    table = boxes.withColumn("_v", F.when(F.col("missing") == 0, values)).select(*case, "rung", "missing", F.array_min("_v").alias("low"), F.array_max("_v").alias("high"))
     label = F.when(F.col("high") < threshold, label_below).when(F.col("low") > threshold, label_above).otherwise("assumption-sensitive")
-    table = boxes.select(*case, "rung", "missing").join(ends, [*case, "rung"], "left").withColumn("status", F.when(F.col("missing") > 0, "NOT IDENTIFIED").otherwise(label))
+    table = table.withColumn("status", F.when(F.col("missing") > 0, "NOT IDENTIFIED").otherwise(label))
     out = {"rungs": table, "conflicts": admission_conflicts(admit_intervals(evidence, [*case, parameter], ladder), [*case, parameter])}
     if breakdown_parameter:
-        out["breakdown"] = breakdown_value(known.where(F.col("rung") == ladder[-1]), case, value, params, breakdown_parameter, threshold, breakdown_side)
+        known = boxes.where(F.col("missing") == 0).where(F.col("rung") == ladder[-1])
+        out["breakdown"] = breakdown_value(known, case, expression, params, given, breakdown_parameter, threshold, breakdown_side)
     return Result(out)
 
 
-def breakdown_value(boxes: DataFrame, case: Sequence[str], value: Column, params: Sequence[str], parameter: str, threshold: float, side: str) -> DataFrame:
-    """Value of one parameter at which the worst bound meets the threshold.
+def breakdown_value(boxes: DataFrame, case: Sequence[str], expression: str, params: Sequence[str], given: Mapping[str, str], parameter: str, threshold: float, side: str) -> DataFrame:
+    """Value of one parameter at which the worst bound meets the threshold; ``boxes`` has a row for each case.
 
     For a parameter that enters affinely every corner of the others gives a line, so the worst
     bound is an envelope of lines and its roots are extremes of the lines' roots. A parameter that
     does not enter affinely gives null. Two crossings are possible; the one nearest the admitted
-    range is returned, and their number.
+    range is returned, and their number. The lines are an array in the row of their case.
     """
-    case = list(case)
+    case, others = list(case), [p for p in params if p != parameter]
     sign = 1.0 if side == "high" else -1.0
-    corner = _corners(boxes, params, skip=[parameter])
-    at = corner.withColumn("_x", F.explode(F.array(F.lit(0.0), F.lit(1.0), F.lit(3.0)))).withColumn(parameter, F.col("_x"))
-    ev = at.select(*case, "_corner", f"lo_{parameter}", f"hi_{parameter}", "_x", (sign * (value - threshold)).alias("v"))
-    pick = lambda x: F.max(F.when(F.col("_x") == x, F.col("v")))
-    ln = ev.groupBy(*case, "_corner").agg(pick(0.0).alias("a"), pick(1.0).alias("v1"), pick(3.0).alias("v3"), F.first(f"lo_{parameter}").alias("lo"), F.first(f"hi_{parameter}").alias("hi"))
-    ln = ln.withColumn("b", F.col("v1") - F.col("a"))
-    affine = F.abs(F.col("v3") - F.col("a") - 3 * F.col("b")) <= 1e-9 * (1 + F.abs("v3") + F.abs("a"))
-    flat = F.abs(F.col("b")) < 1e-12
-    root = -F.col("a") / F.col("b")
-    env = ln.groupBy(*case).agg(
-        F.bool_and(F.coalesce(affine, F.lit(False))).alias("affine"), F.bool_or(flat & (F.col("a") > 0)).alias("blocked"),
-        F.max(F.when(~flat & (F.col("b") < 0), root)).alias("left"), F.min(F.when(~flat & (F.col("b") > 0), root)).alias("right"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    at = lambda x: f"{sign!r}D * ({formula(expression, {**_corner(others), **given, parameter: f'{x!r}D'})} - CAST({float(threshold)!r} AS DOUBLE))"
+    lines = F.expr(f"transform(sequence(0L, {2 ** len(others) - 1}L), c -> named_struct('a', CAST({at(0.0)} AS DOUBLE), 'v1', CAST({at(1.0)} AS DOUBLE), 'v3', CAST({at(3.0)} AS DOUBLE)))")
+    d = boxes.select(*case, F.col(f"lo_{parameter}").alias("lo"), F.col(f"hi_{parameter}").alias("hi"), lines.alias("l"))
+    slope = lambda x: x["v1"] - x["a"]
+    flat = lambda x: F.abs(slope(x)) < 1e-12
+    straight = lambda x: F.coalesce(F.abs(x["v3"] - x["a"] - 3 * slope(x)) <= 1e-9 * (1 + F.abs(x["v3"]) + F.abs(x["a"])), F.lit(False))
+    roots = lambda keep: F.transform(F.filter("l", keep), lambda x: -x["a"] / slope(x))
+    env = d.select(*case, "lo", "hi", F.forall("l", straight).alias("affine"), F.exists("l", lambda x: flat(x) & (x["a"] > 0)).alias("blocked"),
+                   F.array_max(roots(lambda x: ~flat(x) & (slope(x) < 0))).alias("left"), F.array_min(roots(lambda x: ~flat(x) & (slope(x) > 0))).alias("right"))
     ok = F.col("affine") & ~F.col("blocked") & (F.coalesce("left", F.lit(float("-inf"))) <= F.coalesce("right", F.lit(float("inf"))))
     away = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col("lo") - F.col(c), F.col(c) - F.col("hi"), F.lit(0.0)))
     left_first = F.col("right").isNull() | (away("left") < away("right"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyspark.functions import dist
 from tallyspark.functions.columns import as_list, number, require, text_levels
@@ -103,6 +104,8 @@ def _choice_sums(data: DataFrame, utility: Column, features: Sequence[Column]) -
     k = len(features)
     upper = [(i, j) for i in range(k) for j in range(i, k)]
     d = data.select("set_id", "y", utility.alias("u"), *[f.alias(f"f{i}") for i, f in enumerate(features)])
+    # utilities relative to the set's largest: the likelihood is the same and no exponential overflows
+    d = d.withColumn("u", F.col("u") - F.max("u").over(W.partitionBy("set_id")))
     e, f = F.exp("u"), [F.col(f"f{i}") for i in range(k)]
     per = d.groupBy("set_id").agg(
         F.sum(e).alias("den"), F.sum(F.col("y") * F.col("u")).alias("cu"), *[F.sum(F.col("y") * f[i]).alias(f"c{i}") for i in range(k)],
@@ -164,7 +167,7 @@ def swait_louviere(df: DataFrame, attributes, chosen: str, respondent: str, task
     """Two groups of sets: separate models, common preferences with a free relative scale, and pooled; two likelihood-ratio tests."""
     c = prepare_choice(df.withColumn("_f", F.col(factor).cast("string")), attributes, chosen, respondent, task, alternative, baselines)
     groups = materialize(df.select(_sets(df, respondent, task).alias("set_id"), F.col(factor).cast("string").alias("g")).groupBy("set_id").agg(F.min("g").alias("g")), "groups")
-    levels = text_levels(groups, "g", 10)
+    levels = text_levels(groups, "g")
     if len(levels) != 2:
         raise ValueError("the factor must have exactly two levels")
     data = materialize(c.data.join(groups, "set_id"), "two_groups")
@@ -195,7 +198,11 @@ def swait_louviere(df: DataFrame, attributes, chosen: str, respondent: str, task
 def halton_normal(n: int, dim: int, seed: int) -> np.ndarray:
     """Shifted Halton points as normal draws, centred per dimension."""
     rng = np.random.default_rng(seed)
-    primes = [p for p in range(2, 2000) if all(p % q for q in range(2, int(p ** 0.5) + 1))][:dim]
+    primes, p = [], 1
+    while len(primes) < dim:
+        p += 1
+        if all(p % q for q in primes if q * q <= p):
+            primes.append(p)
     out = np.empty((n, dim))
     for j, p in enumerate(primes):
         for i in range(n):
@@ -263,12 +270,15 @@ def mixed_logit(df: DataFrame, attributes, chosen: str, respondent: str, random_
                 g_mean = np.add.reduceat(resid[:, :, None] * x[:, None, :], starts)
                 g_sd = g_mean[:, :, idx] * (sd[None, :] * z)[None]
                 grad = np.concatenate([g_mean, g_sd], axis=2)
-                for s, r in enumerate(block["respondent"].to_numpy()[starts]):
+                # the sets of a respondent are added at once; the last respondent may go on in the next block
+                who = block["respondent"].to_numpy()[starts]
+                first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+                for r, one_lp, one_grad in zip(who[first], np.add.reduceat(lp, first), np.add.reduceat(grad, first)):
                     if r != state["resp"]:
                         close()
                         state.update(resp=r, lp=np.zeros(draws), grad=np.zeros((draws, p)))
-                    state["lp"] = state["lp"] + lp[s]
-                    state["grad"] = state["grad"] + grad[s]
+                    state["lp"] = state["lp"] + one_lp
+                    state["grad"] = state["grad"] + one_grad
 
             rest = None
             for pdf in batches:

@@ -51,7 +51,7 @@ def _anova_sums(moments: DataFrame) -> DataFrame:
 
 def _two_levels(df: DataFrame, group: str) -> list[str]:
     require(df, [group])
-    levels = text_levels(df, group, 2) if df.select(group).distinct().limit(4).count() <= 3 else []
+    levels = text_levels(df.select(group), group, 3)  # a third level settles the question
     if len(levels) != 2:
         raise ValueError(f"{group!r} must have exactly two groups")
     return levels

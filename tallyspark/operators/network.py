@@ -420,7 +420,7 @@ def _episode_rows(episodes: DataFrame, moved: DataFrame, clocks: Sequence[str])
 def evaluate(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes: DataFrame, labels: Mapping[str, str], reactive: bool = True, block_steps: int = BLOCK_STEPS) -> DataFrame:
     """Verdict row per episode from typed tables (see :func:`read_episodes`)."""
     clocks = sorted(labels)
-    once = episodes.groupBy("episode").agg(*[F.first(c).alias(c) for c in episodes.columns if c != "episode"])
+    once = episodes.groupBy("episode").agg(*[F.min(c).alias(c) for c in episodes.columns if c != "episode"])
     dup = steps.groupBy("episode", "step").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("episode").distinct().withColumn("dup", F.lit(True))
     unique = steps.join(dup, "episode", "left_anti")
     s = _episode_rows(once, propagate(once, unique, clocks, False, block_steps), clocks)
@@ -506,7 +506,7 @@ def corner_check(episodes: DataFrame, steps: DataFrame, problems: DataFrame, not
     Every combination becomes an episode of its own, with exact dates, and is evaluated as such.
     """
     clocks = sorted(labels)
-    once = episodes.groupBy("episode").agg(*[F.first(c).alias(c) for c in episodes.columns if c != "episode"])
+    once = episodes.groupBy("episode").agg(*[F.min(c).alias(c) for c in episodes.columns if c != "episode"])
     # only dates on the path to the required step count
     on = materialize(propagate(once, steps, clocks), "on_path").where("on_path").select("episode", "step")
     wide = lambda a, b: F.abs(F.col(b) - F.col(a)) > EPS
@@ -606,7 +606,7 @@ def verdicts_v4(episodes: DataFrame, steps: DataFrame, zero_as_documented: bool
     m = materialize(m.select("episode", "verdict", "binding_clocks", "sign_stable", "indeterminate_reason", "revelation_bounds", "finance_actionable", "fragile", "decisive_slack_earliest", "decisive_slack_latest"), "v4")
     cap = claim_cap(m, ep, st, meta, labels)
     yes = F.lower(normalize_text("related_party")) if "related_party" in episodes.columns else F.lit("")
-    rel = episodes.select(blank_to_null("episode").alias("episode"), F.when(yes == "", "").when(yes.isin(*YES), "Yes").otherwise("No").alias("related_party")).where("episode is not null").groupBy("episode").agg(F.first("related_party").alias("related_party"))
+    rel = episodes.select(blank_to_null("episode").alias("episode"), F.when(yes == "", "").when(yes.isin(*YES), "Yes").otherwise("No").alias("related_party")).where("episode is not null").groupBy("episode").agg(F.max("related_party").alias("related_party"))  # Yes if any row of the episode says so
     out = m.join(cap, "episode", "left").join(rel, "episode", "left").fillna("", ["claim_cap", "related_party"])
     return Result({"verdicts": out, "problems": problems.unionByName(extra), "notes": notes})
 
@@ -671,7 +671,7 @@ INTERPRETATION_WORDS = (
 
 
 def blind_packet(tables: Mapping[str, DataFrame], key: str, seed: int, words: Sequence[str] = INTERPRETATION_WORDS) -> Result:
-    """Tables without interpretation columns and with ids replaced by random codes; the key table stays with the owner."""
+    """Tables without interpretation columns and with ids replaced by random codes; rows without an id keep a null one; the key table stays with the owner."""
     ids = reduce(DataFrame.unionByName, [t.select(F.trim(F.col(key).cast("string")).alias("id")) for t in tables.values()]).where("id <> ''").distinct()
     # the code is a keyed hash in base 36; two ids can only clash with probability near 2^-64 times the number of pairs
     code = F.concat(F.lit("U"), F.conv(F.hex(F.xxhash64(F.lit(seed), "id")), 16, 36))
@@ -679,7 +679,7 @@ def blind_packet(tables: Mapping[str, DataFrame], key: str, seed: int, words: Se
     out = {}
     for name, t in tables.items():
         keep = [c for c in t.columns if c != key and not any(w in c.lower() for w in words)]
-        out[name] = t.withColumn("_id", F.trim(F.col(key).cast("string"))).join(keys, F.col("_id") == F.col("id")).select(F.col("code").alias(key), *keep)
+        out[name] = t.withColumn("_id", F.trim(F.col(key).cast("string"))).join(keys, F.col("_id") == F.col("id"), "left").select(F.col("code").alias(key), *keep)
     return Result({**out, "key": keys})
 
 

@@ -83,7 +83,12 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: st
     offsets = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n")).select(
         *by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))
-    return ranged.join(offsets, [*by, "_part"]).withColumn(name, (inside + F.col("_offset")).cast("int")).drop("_part", "_offset")
+    # null keys are a group of their own
+    cond = F.col("t._part") == F.col("o._part")
+    for k in by:
+        cond = cond & F.col(f"t.`{k}`").eqNullSafe(F.col(f"o.`{k}`"))
+    numbered = ranged.alias("t").join(offsets.alias("o"), cond).select("t.*", "o._offset")
+    return numbered.withColumn(name, (inside + F.col("_offset")).cast("int")).drop("_part", "_offset")
 
 
 def quantile_at(p: float) -> Column:

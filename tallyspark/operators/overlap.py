@@ -47,7 +47,7 @@ def propensity(df: DataFrame, treatment: str, covariates, cluster: str | None =
     kinds = dict(df.dtypes)
     numeric = [c for c in covs if kinds[c] != "string"]
     cat = [c for c in covs if kinds[c] == "string"]
-    order = list(levels) if levels else text_levels(df, treatment, 100)
+    order = list(levels) if levels else text_levels(df, treatment)
     extra: dict = {"_arm": F.col(treatment).cast("string")}
     if cluster:
         extra["_g0"] = F.col(cluster)
@@ -152,7 +152,7 @@ def cluster_bootstrap(df: DataFrame, treatment: str, covariates, cluster: str, o
     (replicate, cluster). All replicates take their Newton step in the same pass over the joined rows.
     """
     covs = as_list(covariates)
-    levels = text_levels(df, treatment, 100)
+    levels = text_levels(df, treatment)
     c = parse_contrast(contrast, levels)
     code = F.lit(None).cast("double")
     for i, a in enumerate(levels):

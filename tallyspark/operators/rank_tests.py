@@ -62,7 +62,7 @@ def wilcoxon(df: DataFrame, first: str, second: str) -> DataFrame:
 def kruskal(df: DataFrame, variable: str, group: str) -> Result:
     """Tie-corrected H with epsilon squared, and median and mean rank per group."""
     long = with_levels(df, [variable], group)
-    levels = text_levels(long, "level", 200)
+    levels = text_levels(long, "level")
     weights = {f"w{i}": (F.col("level") == lv).cast("long") for i, lv in enumerate(levels)}
     ranks = average_ranks(long, "value", ["variable"], weights)
     wide = ranks.agg(

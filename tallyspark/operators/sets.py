@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,42 +47,47 @@ def necessity_table(d: DataFrame, conditions: Sequence[str]) -> DataFrame:
         for n, m, x in entries])))
 
 
+#: Memberships held at once while configurations are summed.
+CELLS = 1 << 22
+
+
+def _configuration_sums(d: DataFrame, conditions: Sequence[str]) -> DataFrame:
+    """``code, cases, x, xy, xyn``: per configuration the cases in it and the sums of memberships, with the outcome and with its negation too.
+
+    Every row belongs to each configuration to a degree, so the sums are taken inside the partitions, on
+    arrays of all configurations and as many rows as ``CELLS`` allows; no row is multiplied.
+    """
+    k, cols = len(conditions), [*conditions, "_y"]
+
+    def sums(frames):
+        total = np.zeros((2**k, 4))
+        for f in frames:
+            a = f.to_numpy(float)
+            step = max(1, CELLS >> k)
+            for at in range(0, len(a), step):
+                x, y = a[at : at + step, :k].T, a[at : at + step, k]
+                member, code = np.ones((1, x.shape[1])), np.zeros(x.shape[1], int)
+                for row in x:  # the first condition is the highest digit of the code
+                    member = np.stack([np.minimum(member, 1 - row), np.minimum(member, row)], 1).reshape(-1, x.shape[1])
+                    code = 2 * code + (row >= 0.5)
+                both = np.minimum(member, y)
+                total += np.stack([np.bincount(code, minlength=2**k), member.sum(1), both.sum(1), np.minimum(both, 1 - y).sum(1)], 1)
+        yield pd.DataFrame(total, columns=["cases", "x", "xy", "xyn"]).assign(code=np.arange(2**k))
+
+    per = d.select(*cols).mapInPandas(sums, "cases double, x double, xy double, xyn double, code long")
+    return per.groupBy("code").agg(F.sum("cases").cast("long").alias("cases"), *[F.sum(c).alias(c) for c in ("x", "xy", "xyn")])
+
+
 def truth_table_rows(d: DataFrame, conditions: Sequence[str], frequency_cutoff: int, consistency_cutoff: float, pri_cutoff: float) -> DataFrame:
-    """All 2^k configurations. Up to five conditions are conditional sums in one pass; more are laid out per row and grouped."""
+    """All 2^k configurations."""
     k = len(conditions)
-    y = F.col("_y")
     ok = (F.col("cases") >= frequency_cutoff) & (F.col("consistency") >= consistency_cutoff) & (F.col("pri") >= pri_cutoff)
-    order = [F.desc("sufficient"), F.desc_nulls_last("consistency"), F.desc("cases")]
-    if k > 5:
-        bit = lambda i: F.expr(f"shiftright(code, {k - 1 - i}) & 1")
-        x = d.withColumn("code", F.explode(F.sequence(F.lit(0), F.lit(2 ** k - 1))))
-        x = x.withColumn("x", F.least(*[F.when(bit(i) == 1, F.col(c)).otherwise(1 - F.col(c)) for i, c in enumerate(conditions)]))
-        crisp = F.lit(True)
-        for i, c in enumerate(conditions):
-            crisp = crisp & ((F.col(c) >= 0.5).cast("int") == bit(i))
-        xy = F.least("x", y)
-        s = x.groupBy("code").agg(F.count_if(crisp).alias("cases"), F.sum("x").alias("sx"), F.sum(xy).alias("a"), F.sum(F.least(xy, 1 - y)).alias("b"), F.sum(y).alias("sy"))
-        t = s.select(*[bit(i).cast("int").alias(c) for i, c in enumerate(conditions)], "cases",
-                     F.when(F.col("sx") > 0, F.col("a") / F.col("sx")).alias("consistency"),
-                     F.when(F.col("sx") - F.col("b") > 0, (F.col("a") - F.col("b")) / (F.col("sx") - F.col("b"))).alias("pri"),
-                     F.when(F.col("sy") > 0, F.col("a") / F.col("sy")).alias("coverage"))
-        return t.withColumn("sufficient", F.coalesce(ok, F.lit(False))).orderBy(*order)
-    aggs, entries = [F.sum("_y").alias("sy")], []
-    for code in range(2 ** k):
-        bits = [(code >> (k - 1 - i)) & 1 for i in range(k)]
-        member = F.least(*[F.col(c) if b else 1 - F.col(c) for c, b in zip(conditions, bits)]) if k > 1 else (F.col(conditions[0]) if bits[0] else 1 - F.col(conditions[0]))
-        crisp = F.lit(True)
-        for c, b in zip(conditions, bits):
-            crisp = crisp & ((F.col(c) >= 0.5) == F.lit(bool(b)))
-        xy = F.least(member, y)
-        aggs += [F.count_if(crisp).alias(f"n{code}"), F.sum(member).alias(f"x{code}"), F.sum(xy).alias(f"a{code}"), F.sum(F.least(xy, 1 - y)).alias(f"b{code}")]
-        entries.append(F.struct(
-            *[F.lit(b).alias(c) for c, b in zip(conditions, bits)], F.col(f"n{code}").alias("cases"),
-            F.when(F.col(f"x{code}") > 0, F.col(f"a{code}") / F.col(f"x{code}")).alias("consistency"),
-            F.when(F.col(f"x{code}") - F.col(f"b{code}") > 0, (F.col(f"a{code}") - F.col(f"b{code}")) / (F.col(f"x{code}") - F.col(f"b{code}"))).alias("pri"),
-            F.when(F.col("sy") > 0, F.col(f"a{code}") / F.col("sy")).alias("coverage")))
-    t = d.agg(*aggs).select(F.inline(F.array(*entries)))
-    return t.withColumn("sufficient", F.coalesce(ok, F.lit(False))).orderBy(*order)
+    s = _configuration_sums(d, conditions).join(d.agg(F.sum("_y").alias("sy")), F.lit(True))  # one row joined to each configuration
+    t = s.select(
+        *[F.expr(f"cast(shiftright(code, {k - 1 - i}) & 1 as int)").alias(c) for i, c in enumerate(conditions)], "cases",
+        F.when(F.col("x") > 0, F.col("xy") / F.col("x")).alias("consistency"), F.when(F.col("x") - F.col("xyn") > 0, (F.col("xy") - F.col("xyn")) / (F.col("x") - F.col("xyn"))).alias("pri"),
+        F.when(F.col("sy") > 0, F.col("xy") / F.col("sy")).alias("coverage"))
+    return t.withColumn("sufficient", F.coalesce(ok, F.lit(False))).orderBy(F.desc("sufficient"), F.desc_nulls_last("consistency"), F.desc("cases"))
 
 
 @analysis("fsqca", "Necessity and truth table", "Sets")

@@ -159,14 +159,10 @@ def _spearman_sql(view, a, b):
     return f"SELECT '{a}' AS first, '{b}' AS second, round(corr(ra, rb), 6) AS r, count(*) AS n FROM (SELECT {rk(a)} AS ra, {rk(b)} AS rb FROM {view} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
 
 
-@query("correlation_spearman", f"WITH {V.LINES} " + " UNION ALL ".join(_spearman_sql("v_lines", a, b) for a, b in _CP[:4]))
+@query("correlation_spearman", f"WITH {V.LINES} " + " UNION ALL ".join(_spearman_sql("v_lines", a, b) for a, b in _CP))
 def correlation_spearman(spark, d):
     t = K.correlation(V.lines(spark, d), _CV, "spearman").drop("p")
-    keep = [(F.col("first") == a) & (F.col("second") == b) for a, b in _CP[:4]]
-    cond = keep[0]
-    for k in keep[1:]:
-        cond = cond | k
-    return rounded(t.where(cond))
+    return rounded(t)
 
 
 @query("correlation_kendall", f"""WITH {V.CUSTOMERS}, d AS (SELECT CAST(n_orders AS BIGINT) AS x, c_nationkey AS y, count(*) AS c FROM v_cust GROUP BY 1, 2),
