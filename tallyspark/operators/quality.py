@@ -1,9 +1,10 @@
-"""Integrity and consistency checks: one row per rule, with the number of offending units."""
+"""Integrity and consistency checks: one row per rule with the number of offending units, and the units."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,45 +14,61 @@ from tallyspark.operators.screening import all_criteria, allowed_values, columns
 from tallyspark.registry import Result
 from tallyspark.runtime import small_table
 
-CHECK = "level string, check string, where string, n long"
+class Check(NamedTuple):
+    """A rule: its level when broken, its wording, the table, and the units that break it (column unit)."""
 
+    level: str
+    check: str
+    where: str
+    units: DataFrame
 
-def _row(bad: DataFrame, level: str, check: str, where: str) -> DataFrame:
-    """PASS with zero, otherwise the level with the number of offending units."""
-    return bad.agg(F.count(F.lit(1)).alias("n")).select(
-        F.when(F.col("n") > 0, level).otherwise("PASS").alias("level"), F.lit(check).alias("check"), F.lit(where).alias("where"), "n")
+
+def _row(bad: DataFrame, level: str, check: str, where: str, unit: str = "episode") -> Check:
+    return Check(level, check, where, bad.select(F.col(f"`{unit}`").cast("string").alias("unit")))
+
+
+def offenders(checks: Sequence[Check]) -> DataFrame:
+    """``level, check, where, unit``: every unit that breaks a rule, once for each rule."""
+    return reduce(DataFrame.unionByName, [c.units.select(F.lit(c.level).alias("level"), F.lit(c.check).alias("check"), F.lit(c.where).alias("where"), "unit") for c in checks]).distinct()
+
+
+def integrity(checks: Sequence[Check]) -> DataFrame:
+    """One row for each rule: PASS with zero, otherwise its level with the number of different units that break it."""
+    spark = checks[0].units.sparkSession
+    rules = small_table(spark, [(c.level, c.check, c.where) for c in checks], "level string, check string, where string")
+    n = offenders(checks).groupBy("level", "check", "where").agg(F.count(F.lit(1)).alias("n"))
+    d = rules.join(n, ["level", "check", "where"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return d.select(F.when(F.col("n") > 0, F.col("level")).otherwise("PASS").alias("level"), "check", "where", "n")
 
 
 def _clean(df: DataFrame, c: str) -> DataFrame:
     return df.select(blank_to_null(F.col(f"`{c}`")).alias("v")).where("v is not null")
 
 
-def check_unique(df: DataFrame, key: str, where: str, level: str = "FAIL") -> DataFrame:
-    return _row(_clean(df, key).groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), level, f"{key} unique", where)
+def check_unique(df: DataFrame, key: str, where: str, level: str = "FAIL") -> Check:
+    return _row(_clean(df, key).groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), level, f"{key} unique", where, "v")
 
 
-def check_required(df: DataFrame, trigger: Column, needed: Sequence[str], check: str, where: str, level: str = "FAIL") -> DataFrame:
-    """Rows on which the trigger holds but a needed field is blank."""
+def check_required(df: DataFrame, trigger: Column, needed: Sequence[str], check: str, where: str, unit: str, level: str = "FAIL") -> Check:
+    """Units on which the trigger holds but a needed field is blank."""
     blank = reduce(lambda a, b: a | b, [blank_to_null(F.col(f"`{c}`")).isNull() for c in needed])
-    return _row(df.where(trigger & blank), level, check, where)
+    return _row(df.where(trigger & blank), level, check, where, unit)
 
 
-def check_condition(df: DataFrame, bad: Column, check: str, where: str, level: str = "FAIL") -> DataFrame:
-    return _row(df.where(bad), level, check, where)
+def check_condition(df: DataFrame, bad: Column, check: str, where: str, unit: str, level: str = "FAIL") -> Check:
+    return _row(df.where(bad), level, check, where, unit)
 
 
-def check_reference(child: DataFrame, column: str, parent: DataFrame, key: str, check: str, where: str, level: str = "FAIL") -> DataFrame:
+def check_reference(child: DataFrame, column: str, parent: DataFrame, key: str, check: str, where: str, level: str = "FAIL") -> Check:
     """Distinct child values without a parent row."""
     c, p = _clean(child, column).distinct(), _clean(parent, key).distinct()
-    return _row(c.join(p, "v", "left_anti"), level, check, where)
-
-
-def check_allowed(df: DataFrame, column: str, allowed: Sequence[str], where: str, level: str = "FAIL") -> DataFrame:
-    return _row(_clean(df, column).where(~F.col("v").isin(*allowed)), level, f"{column} outside the list", where)
+    return _row(c.join(p, "v", "left_anti"), level, check, where, "v")
 
 
-def integrity(checks: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, checks)
+def check_allowed(df: DataFrame, column: str, allowed: Sequence[str], where: str, unit: str, level: str = "FAIL") -> Check:
+    """Units whose value is not in the list; blank values are left to ``check_required``."""
+    v = blank_to_null(F.col(f"`{column}`"))
+    return _row(df.where(v.isNotNull() & ~v.isin(*allowed)), level, f"{column} outside the list", where, unit)
 
 
 # Bands of a commitment in local currency (lower bound, upper bound, label).
@@ -83,7 +100,7 @@ def _analysable(level: Column) -> Column:
 
 
 def consistency_checks(episodes: DataFrame, verdicts: DataFrame, timeline: DataFrame, steps: DataFrame, candidates: DataFrame | None = None, key: str = "episode",
-                       expected_criterion: str | None = None, independent_criterion: str | None = None, source_column: str | None = None) -> DataFrame:
+                       expected_criterion: str | None = None, independent_criterion: str | None = None, source_column: str | None = None) -> Result:
     """Cross-checks between screened episodes, recorded results, computed verdicts, timelines and the candidate list.
 
     ``episodes``: key, level, recorded_verdict, rival and the criterion columns. ``timeline``: episode.
@@ -128,7 +145,7 @@ def consistency_checks(episodes: DataFrame, verdicts: DataFrame, timeline: DataF
         reached = F.col("level").startswith("Level 2") | F.col("level").startswith("Level 3")
         checks.append(_row(ep.where(reached & (F.col("indep_ok") != "Yes") & source_kind("source").isin("", "pending")), "WARN", "Independence not met but source kind not coded", "episodes"))
     checks.append(_row(ep.where(~F.col("episode").rlike(NEUTRAL_CODE)), "WARN", "Episode code does not look like a neutral pseudonym", "episodes"))
-    return reduce(DataFrame.unionByName, checks)
+    return Result({"checks": integrity(checks), "offenders": offenders(checks)})
 
 
 def descriptive_fields(episodes: DataFrame, fields: Sequence[Mapping]) -> Result:

@@ -184,15 +184,30 @@ def compare_tables(spark, d):
   UNION ALL SELECT 'FAIL', 'urgent orders have a cleared status', 'orders', (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
   UNION ALL SELECT 'FAIL', 'no negative price', 'orders', (SELECT count(*) FROM orders WHERE o_totalprice < 0))""")
 def integrity(spark, d):
+    return Q.integrity(_integrity_checks(spark, d))
+
+
+def _integrity_checks(spark, d):
     t = lambda n: V.table(spark, d, n)
     o = t("orders").withColumn("cleared", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).otherwise(" "))
-    return Q.integrity([
+    return [
         Q.check_unique(o, "o_orderkey", "orders"), Q.check_unique(t("lineitem"), "l_orderkey", "lineitem"),
         Q.check_reference(t("labels"), "doc_id", t("documents"), "doc_id", "labels refer to documents", "labels"),
         Q.check_reference(t("documents"), "doc_id", t("labels"), "doc_id", "documents have a label", "documents", "WARN"),
-        Q.check_allowed(o, "o_orderstatus", ["O", "F"], "orders"),
-        Q.check_required(o, F.col("o_orderpriority") == "1-URGENT", ["cleared"], "urgent orders have a cleared status", "orders"),
-        Q.check_condition(o, F.col("o_totalprice") < 0, "no negative price", "orders")])
+        Q.check_allowed(o, "o_orderstatus", ["O", "F"], "orders", "o_orderkey"),
+        Q.check_required(o, F.col("o_orderpriority") == "1-URGENT", ["cleared"], "urgent orders have a cleared status", "orders", "o_orderkey"),
+        Q.check_condition(o, F.col("o_totalprice") < 0, "no negative price", "orders", "o_orderkey")]
+
+
+@query("integrity_offenders", """SELECT 'FAIL' AS level, 'o_orderstatus outside the list' AS "check", 'orders' AS "where", CAST(o_orderkey AS VARCHAR) AS unit FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+  UNION ALL SELECT 'FAIL', 'urgent orders have a cleared status', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'
+  UNION ALL SELECT 'FAIL', 'no negative price', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_totalprice < 0
+  UNION ALL SELECT 'FAIL', 'o_orderkey unique', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders GROUP BY o_orderkey HAVING count(*) > 1
+  UNION ALL SELECT 'FAIL', 'l_orderkey unique', 'lineitem', CAST(l_orderkey AS VARCHAR) FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT 'FAIL', 'labels refer to documents', 'labels', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT DISTINCT 'WARN', 'documents have a label', 'documents', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def integrity_offenders(spark, d):
+    return Q.offenders(_integrity_checks(spark, d))
 
 
 @query("money_bands", """WITH a AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_totalprice WHEN o_orderstatus = 'O' THEN o_totalprice * 40 END AS v FROM orders),
@@ -308,7 +323,7 @@ def _consistency(spark, d):
                    F.when(F.col("l_returnflag") == "A", "finance").otherwise("operational readiness").alias("clock"), F.when(F.col("l_discount") > 0, F.col("l_quantity") - 1).alias("expected_days"), F.when(F.col("l_tax") > 0.05, "Yes").alias("zero_documented"))
     v = _verdict_rows(spark, d).groupBy("episode").agg(F.max("verdict").alias("verdict"), F.max("fragile").alias("fragile"), F.max("finance_actionable").alias("finance_actionable"))
     _, _, cand = _pipeline_tables(spark, d)
-    return Q.consistency_checks(e, v, st.select("episode"), st, cand, "episode", "solvent", "indep", "source")
+    return Q.consistency_checks(e, v, st.select("episode"), st, cand, "episode", "solvent", "indep", "source")["checks"]
 
 
 @query("status_summary")
