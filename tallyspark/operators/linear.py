@@ -326,6 +326,26 @@ def regression_linear(df: DataFrame, y: str, x=None, categorical=None, se: str =
     })
 
 
+@analysis("linear_contrast", "Linear contrast", "Regression")
+def linear_contrast(df: DataFrame, y: str, contrast: Mapping[str, float], x=None, categorical=None, se: str = "classical", cluster: str | None = None, weight: str | None = None) -> DataFrame:
+    """Estimate, error, t, p and interval of a weighted sum of coefficients; ``contrast`` maps terms to weights, the rest weigh 0."""
+    extra = ({"_g0": cluster} if cluster else {}) | ({"_w": number(weight)} if weight else {})
+    design = build_design(df, number(y), as_list(x), as_list(categorical), extra)
+    w = "_w" if weight else None
+    fit = fit_linear(design, w)
+    if se == "HC3":
+        fit = hc3(design, fit, w)
+    elif se != "classical":
+        fit = cluster_robust(design, fit, "_g0", se, w)
+    names = list(fit.names)
+    unknown = sorted(set(contrast) - set(names))
+    if unknown:
+        raise ValueError(f"terms not in the model: {unknown}; available: {names}")
+    r = fit.contrast([float(contrast.get(n, 0.0)) for n in names])
+    keys = ("estimate", "se", "t", "df", "p", "ci_low", "ci_high")
+    return small_table(df.sparkSession, [tuple(float(r[k]) for k in keys)], ", ".join(f"{k} double" for k in keys))
+
+
 @analysis("incremental_validity", "Incremental validity", "Measurement")
 def incremental_validity(df: DataFrame, outcome: str, base, focal, cluster: str | None = None) -> Result:
     """R-squared change of the focal predictors over the baseline ones; both models from one cross-product matrix."""

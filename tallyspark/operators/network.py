@@ -412,7 +412,7 @@ def _episode_rows(episodes: DataFrame, moved: DataFrame, clocks: Sequence[str])
     listed = lambda f: F.array_compact(F.array(*[F.when(f(c) > 0, F.lit(c)) for c in cs]))
     per = moved.groupBy("episode").agg(
         F.count(F.lit(1)).alias("n_steps"), F.bool_or("is_goal").alias("has_r"), F.bool_and(F.col("level") >= 0).alias("acyclic"), F.first("fin", ignorenulls=True).alias("fin"),
-        listed(hit).alias("clocks"), listed(gap).alias("untestable"), F.count_if(on & F.col("f_lo").isNull()).alias("undated"), F.count_if(on & fin).alias("finance_steps"),
+        listed(hit).alias("clocks"), listed(gap).alias("untestable"), F.count_if(on & F.col("f_lo").isNull()).alias("undated"), F.count_if(on & F.col("early_lo")).alias("floored_lo"), F.count_if(on & F.col("early_hi")).alias("floored_hi"), F.count_if(on & fin).alias("finance_steps"),
         F.bool_or(on & F.col("lf_open")).alias("open"), F.min(F.when(on & fin, F.col("lf_lo") - F.col("f_lo"))).alias("fs_lo"), F.min(F.when(on & fin, F.col("lf_hi") - F.col("f_hi"))).alias("fs_hi"))
     return _slacks(episodes.join(per, "episode", "left"), len(scenarios(clocks)))
 
@@ -453,13 +453,31 @@ def evaluate(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes:
     t = t.withColumns({
         "finance_actionable": act, "fragile": F.when(run, F.when(near("decisive_slack_earliest") | near("decisive_slack_latest"), "Yes").otherwise("No")).otherwise(""),
         "reason": F.coalesce(F.col("halted"), F.when(verdict == "Indeterminate", why), F.lit("")), "n_flags": F.coalesce("n_problems", F.lit(0)) + F.coalesce("zero_notes", F.lit(0))})
+    t = t.withColumn("flags", _flags(run))
     if reactive:
         t = _reactive(t, once, unique, labels, block_steps)
     return t.select(*VERDICT_COLUMNS, *(["reactive_sensitivity"] if reactive else []))
 
 
+def _flags(run: Column) -> Column:
+    """What a reader of the verdict has to know; the steps themselves are in the table ``floored_steps``."""
+    tested = F.col("v_lo.untestable")
+    floored = lambda b, bound: F.when(run & (F.col(f"floored_{b}") > 0), F.concat(F.col(f"floored_{b}").cast("string"), F.lit(f" steps finish before they are ready at the {bound} bound; realised duration set to 0")))
+    known = F.col("verdict").isin(*CLOCK_LABELS.values(), INSTITUTIONAL_LABEL, "Jointly binding", "Non-binding", "Indeterminate")
+    return F.array_join(F.array_compact(F.array(
+        floored("lo", "earliest"), floored("hi", "latest"), F.when(run & (F.col("finance_actionable") == "Not computable"), "finance slack not computable"),
+        F.when(run & (F.col("sign_stable") == "Yes") & (F.col("engine_outcome") != "Indeterminate") & (F.size(tested) > 0), F.concat(F.lit("clocks without an ex-ante duration could not be tested: "), F.array_join(tested, ", "))),
+        F.when(F.col("fragile") == "Yes", "fragile: decisive slack within one day of zero; report both bounds"), F.when(run & ~known, F.lit("no registered category for this verdict")))), "; ")
+
+
+def floored_steps(moved: DataFrame) -> DataFrame:
+    """``episode, step, bound``: steps on the path whose realised duration was negative and counts as 0."""
+    at = lambda b, bound: F.when(F.col(f"early_{b}"), F.lit(bound))
+    return moved.where("on_path").select("episode", "step", F.explode(F.array_compact(F.array(at("lo", "earliest"), at("hi", "latest")))).alias("bound"))
+
+
 VERDICT_COLUMNS = ["episode", "verdict", "engine_outcome", "binding_clocks", "sign_stable", "indeterminate_reason", "reason", "decisive_slack_earliest", "decisive_slack_latest",
-                   "baseline_slack_earliest", "baseline_slack_latest", "finance_slack_earliest", "finance_slack_latest", "finance_actionable", "fragile", "n_flags"]
+                   "baseline_slack_earliest", "baseline_slack_latest", "finance_slack_earliest", "finance_slack_latest", "finance_actionable", "fragile", "n_flags", "flags"]
 
 
 def _reactive(t: DataFrame, episodes: DataFrame, steps: DataFrame, labels: Mapping[str, str], block_steps: int) -> DataFrame:
@@ -471,7 +489,7 @@ def _reactive(t: DataFrame, episodes: DataFrame, steps: DataFrame, labels: Mappi
     s = _episode_rows(ep, propagate(ep, steps.join(need.select("episode"), "episode", "left_semi"), clocks, True, block_steps), clocks)
     s = s.withColumns({"w_lo": _verdict("lo", clocks, labels), "w_hi": _verdict("hi", clocks, labels)}).join(need, "episode")
     same = _same(F.col("w_lo"), F.col("o_lo")) & _same(F.col("w_hi"), F.col("o_hi"))
-    r = s.select("episode", F.when(same, "Unchanged").otherwise(F.concat(F.lit("Changes to "), F.col("w_lo.verdict"))).alias("reactive_sensitivity"))
+    r = s.select("episode", F.when(same, "Unchanged").otherwise(F.concat(F.lit("Changes to "), F.concat_ws(" ", F.col("w_lo.verdict"), F.when(F.size("w_lo.clocks") > 0, F.concat(F.lit("("), F.array_join("w_lo.clocks", "; "), F.lit(")")))))).alias("reactive_sensitivity"))
     return t.join(r, "episode", "left").withColumn("reactive_sensitivity", F.coalesce("reactive_sensitivity", F.lit("Not applicable")))
 
 
@@ -483,7 +501,9 @@ def verdicts(episodes: DataFrame, steps: DataFrame, zero_as_documented: bool = F
     table = evaluate(ep, st, problems, notes, labels, reactive)
     orphans = st.select("episode").distinct().join(ep, "episode", "left_anti")
     lost = orphans.select("episode", F.lit("Indeterminate").alias("verdict"), F.lit("listed in the steps but not in the episodes").alias("reason"))
-    return Result({"verdicts": table.unionByName(lost, allowMissingColumns=True), "problems": problems, "notes": notes})
+    once = ep.groupBy("episode").agg(*[F.min(c).alias(c) for c in ep.columns if c != "episode"])
+    floored = floored_steps(propagate(once, st, sorted(labels)))
+    return Result({"verdicts": table.unionByName(lost, allowMissingColumns=True), "problems": problems, "notes": notes, "floored_steps": floored})
 
 
 def zero_rule_sensitivity(episodes: DataFrame, steps: DataFrame) -> Result:

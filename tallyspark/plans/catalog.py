@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("describe_queries", "inference_queries", "model_queries", "scale_queries", "network_queries", "screening_queries", "audit_queries")
+MODULES = ("describe_queries", "inference_queries", "model_queries", "scale_queries", "network_queries", "screening_queries", "audit_queries", "source_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -17,9 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, d) -> DataFrame:
-    """The documents, spread over the cores when the file has fewer splits than there are cores: text rules are CPU work."""
-    t, cores = table(spark, d, "documents"), spark.sparkContext.defaultParallelism
-    return t.repartition(cores) if t.rdd.getNumPartitions() < cores else t
+    return table(spark, d, "documents")
 
 
 def lines(spark, d) -> DataFrame:
@@ -141,7 +139,7 @@ LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extende
 
 def ordered_lines(spark, d) -> DataFrame:
     """Lines of an order numbered in a fixed order; the pair (order, line number) of the table is not unique."""
-    return row_numbers(table(spark, d, "lineitem"), ["l_orderkey"], LINE_ORDER, "ln")
+    return row_numbers(table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER), ["l_orderkey"], LINE_ORDER, "ln")
 
 
 ORDERED_LINES = f"""v_ol AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey

@@ -31,13 +31,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: ``spark.checkpoint.dir``, or a test folder in local mode."""
+    """Folder for this application's intermediate tables, below ``spark.checkpoint.dir``.
+
+    On a cluster that setting has to name a folder every executor reaches. Only in local mode, and only
+    where it is unset, a temporary folder takes its place.
+    """
+    app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return shared.rstrip("/")
+        return f"{shared.rstrip('/')}/{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-")
     return _LOCAL_SCRATCH[app]
@@ -47,7 +51,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write the table once to the shared scratch folder and read it back.
 
     Cuts the lineage, survives executor loss, keeps columns prunable, and fixes
-    anything that could differ between two evaluations of the same plan.
+    anything that could differ between two evaluations of the same plan. The tables
+    stay until ``drop_scratch``, as results are read from them when they are asked for.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -55,6 +60,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results not yet read or written are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A table from a short list of rows whose number does not grow with the data."""
     plain = lambda v: v.item() if hasattr(v, "item") else v  # noqa: E731  (numpy scalars to Python ones)

@@ -95,3 +95,15 @@ def test_offending_units_are_listed_and_counted_once(spark):
     checks = [Q.check_allowed(d, "v", ["a"], "t", "unit_id"), Q.check_condition(d, F.col("v") == "zz", "none", "t", "unit_id")]
     assert sorted((r["level"], r["check"], r.n) for r in Q.integrity(checks).collect()) == [("FAIL", "v outside the list", 1), ("PASS", "none", 0)]
     assert [(r["check"], r.unit) for r in Q.offenders(checks).collect()] == [("v outside the list", "e1")]
+
+
+def test_verdicts_say_what_could_not_be_tested(spark):
+    from tallyspark.operators.network import verdicts
+
+    ep = spark.createDataFrame([("E1", "2024-01-01", "2024-01-20", "B")], "episode string, anchor_earliest string, tw_earliest string, r_step string")
+    st = spark.createDataFrame([("E1", "A", "finance", "", "2024-02-01", "5"), ("E1", "P", "payment", "", "2024-01-02", None), ("E1", "B", "logistics", "A;P", "2024-01-25", "1")], "episode string, step string, clock string, predecessors string, finish_earliest string, expected_days string")
+    r = verdicts(ep, st)
+    row = r["verdicts"].first()
+    assert "clocks without an ex-ante duration could not be tested: payment" in row.flags or row.verdict == "Indeterminate"
+    assert "1 steps finish before they are ready at the earliest bound" in row.flags
+    assert sorted((x.step, x.bound) for x in r["floored_steps"].collect()) == [("B", "earliest"), ("B", "latest")]
