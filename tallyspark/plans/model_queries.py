@@ -169,8 +169,9 @@ def design_factor_by_block(spark, d):
 
 @query("performance", """WITH r AS (SELECT l_suppkey % 10 AS scenario, avg(l_discount) AS e, stddev_samp(l_discount) / sqrt(count(*)) AS s FROM lineitem GROUP BY l_suppkey),
   x AS (SELECT *, CASE WHEN abs(e - 0.05) <= 1.96 * s THEN 1.0 ELSE 0.0 END AS cover, CASE WHEN e / s > 60 THEN 1.0 ELSE 0.0 END AS rej FROM r)
-  SELECT scenario, count(e) AS replicates, round(avg(e - 0.05), 8) AS bias, round(stddev_samp(e), 8) AS empirical_se, round(sqrt(avg(s * s)), 8) AS model_se,
-   round(sqrt(avg((e - 0.05) ** 2)), 8) AS rmse, avg(cover) AS coverage, round(sqrt(avg(cover) * (1 - avg(cover)) / count(*)), 8) AS coverage_mcse, avg(rej) AS rejection FROM x GROUP BY 1""")
+  SELECT scenario, count(e) AS replicates, CASE WHEN count(e) >= 2 THEN round(avg(e - 0.05), 8) END AS bias, round(stddev_samp(e), 8) AS empirical_se, CASE WHEN count(e) >= 2 THEN round(sqrt(avg(s * s)), 8) END AS model_se,
+   CASE WHEN count(e) >= 2 THEN round(sqrt(avg((e - 0.05) ** 2)), 8) END AS rmse, CASE WHEN count(e) >= 2 THEN avg(cover) END AS coverage, CASE WHEN count(e) >= 2 THEN round(sqrt(avg(cover) * (1 - avg(cover)) / count(*)), 8) END AS coverage_mcse,
+   CASE WHEN count(e) >= 2 THEN avg(rej) END AS rejection FROM x GROUP BY 1""")
 def performance(spark, d):
     r = V.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("e"), (F.stddev_samp("l_discount") / F.sqrt(F.count(F.lit(1)))).alias("s"))
     r = r.select((F.col("l_suppkey") % 10).alias("scenario"), "e", "s", (F.col("e") - 1.96 * F.col("s")).alias("lo"), (F.col("e") + 1.96 * F.col("s")).alias("hi"),
