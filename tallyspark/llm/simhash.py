@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     split = clusters.where("blocks > 1").withColumn("block", mine).select("node", "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     split = split.select("node", "cluster", "block", (F.col("block") != F.col("other")).alias("across"), F.concat_ws("/", "cluster", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
-    dealt = whole.unionByName(split).join(rows.select(F.col("uid").alias("node"), text.alias("text")), "node")
+    # these lists of rows grow with the corpus: they are joined by shuffling, never broadcast
+    dealt = whole.unionByName(split).hint("shuffle_hash").join(rows.select(F.col("uid").alias("node"), text.alias("text")), "node")
     links = dealt.groupBy("part").applyInPandas(lambda g: _similar(g, k, similarity), "b long, a long")
     roots = components(links)
     # every class but the best of its component, and every row but the best of its class, goes
@@ -272,5 +273,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     worse = grouped.join(first, "root").where("best.uid <> first.uid").select(F.col("node").alias("uid"))
     copies = prints.join(classes.select("key", F.col("node")), "key").where("uid <> node").select("uid")
     gone = materialize(worse.unionByName(copies), "gone")
-    kept = rows.join(gone, "uid", "left_anti")
+    kept = rows.join(gone.hint("shuffle_hash"), "uid", "left_anti")
     return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
