@@ -309,12 +309,47 @@ def pipeline_counts(spark, d):
     return Q.pipeline_counts(*_pipeline_tables(spark, d), G.apply_gates(entries(spark, d), RULES)["episodes"])
 
 
-@query("consistency_checks")
+_CONSISTENCY = f"""{EPISODES}, e AS (SELECT episode, level, CASE WHEN k % 3 = 0 THEN 'Finance-binding' ELSE '' END AS recorded, CASE WHEN k % 5 > 0 THEN 'Rejected' ELSE '' END AS rival, solvent, indep, k FROM v_ep),
+  st AS (SELECT 'C' || o_custkey AS episode, l_linenumber AS i, l_returnflag AS f, CASE WHEN l_discount > 0 THEN l_quantity - 1 END AS days, l_tax > 0.05 AS zero FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  tl AS (SELECT DISTINCT episode FROM st), v AS (SELECT 'C' || o_custkey AS episode, max(CASE WHEN o_orderstatus = 'F' THEN 'Finance-binding' ELSE 'Non-binding' END) AS verdict, bool_or(o_totalprice < 100000) AS fragile,
+    max(CASE o_orderpriority WHEN '1-URGENT' THEN 'Yes' WHEN '2-HIGH' THEN 'Not computable' ELSE 'No' END) AS act FROM orders GROUP BY 1),
+  cand AS (SELECT 'C' || c_custkey AS episode, c_custkey % 4 AS d FROM customer), top AS (SELECT * FROM e WHERE level = 'Level 3'),
+  bad AS (SELECT 'FAIL' AS level, 'Level-3 episode without a timeline' AS "check", 'timeline' AS "where", episode AS unit FROM top WHERE episode NOT IN (SELECT episode FROM tl)
+   UNION ALL SELECT 'WARN', 'Timeline of an episode that is not Level 3', 'timeline', episode FROM tl WHERE episode NOT IN (SELECT episode FROM top)
+   UNION ALL SELECT 'FAIL', 'Expected durations coded as documented but blank in the steps', 'steps', episode FROM e WHERE solvent = 'Yes' AND (level = 'Level 3' OR episode IN (SELECT episode FROM tl)) AND episode IN (SELECT episode FROM st WHERE days IS NULL)
+   UNION ALL SELECT 'WARN', 'Expected duration of exactly 0 days', 'steps', episode FROM st WHERE days = 0
+   UNION ALL SELECT 'FAIL', 'Recorded verdict differs from the computed one', 'episodes', episode FROM v JOIN e USING (episode) WHERE recorded <> '' AND recorded <> verdict
+   UNION ALL SELECT 'WARN', 'Level-3 episode with no verdict recorded', 'episodes', episode FROM top WHERE recorded = ''
+   UNION ALL SELECT 'WARN', 'Fragile verdict: decisive slack within one day of zero', 'verdicts', episode FROM v WHERE fragile
+   UNION ALL SELECT 'WARN', 'Duration 0 without zero_documented = Yes (treated as missing)', 'steps', episode FROM st WHERE days = 0 AND NOT zero
+   UNION ALL SELECT 'WARN', 'Finance actionability not computable', 'verdicts', episode FROM v WHERE act = 'Not computable'
+   UNION ALL SELECT 'FAIL', 'Level-3 episode without a valid rival result', 'episodes', episode FROM top WHERE rival <> 'Rejected'
+   UNION ALL SELECT 'WARN', 'Payment-type step coded on the finance clock', 'steps', episode FROM st WHERE i = 1 AND f = 'A'
+   UNION ALL SELECT 'WARN', 'Readiness-type step not on the readiness clock', 'steps', episode FROM st WHERE i = 2 AND f = 'A'
+   UNION ALL SELECT 'FAIL', 'Episode that is not retained in the candidate list', 'candidates', episode FROM e WHERE episode NOT IN (SELECT episode FROM cand WHERE d = 0)
+   UNION ALL SELECT 'WARN', 'Retained candidate missing from the episodes', 'candidates', episode FROM cand WHERE d = 0 AND episode NOT IN (SELECT episode FROM e)
+   UNION ALL SELECT 'WARN', 'Candidate without a decision', 'candidates', episode FROM cand WHERE d = 3
+   UNION ALL SELECT 'WARN', 'Independence not met but source kind not coded', 'episodes', episode FROM e WHERE (level LIKE 'Level 2%' OR level LIKE 'Level 3%') AND indep <> 'Yes' AND k % 2 = 1
+   UNION ALL SELECT 'WARN', 'Episode code does not look like a neutral pseudonym', 'episodes', episode FROM e),
+  rules(level, "check", "where") AS (SELECT DISTINCT level, "check", "where" FROM bad)"""
+
+
+@query("consistency_checks", f"""WITH {_CONSISTENCY} SELECT level, "check", "where", count(DISTINCT unit) AS n FROM bad GROUP BY 1, 2, 3""")
 def consistency_checks(spark, d):
-    return _consistency(spark, d)
+    return _consistency(spark, d).where("n > 0")
 
 
-def _consistency(spark, d):
+@query("consistency_offenders", f"""WITH {_CONSISTENCY} SELECT DISTINCT level, "check", "where", unit FROM bad""")
+def consistency_offenders(spark, d):
+    return _consistency(spark, d, "offenders")
+
+
+@query("consistency_passes", f"""WITH {_CONSISTENCY} SELECT 17 - count(*) AS passed FROM rules""")
+def consistency_passes(spark, d):
+    return _consistency(spark, d).where("level = 'PASS' and n = 0").agg(F.count(F.lit(1)).alias("passed"))
+
+
+def _consistency(spark, d, table="checks"):
     e = G.apply_gates(entries(spark, d), RULES)["episodes"]
     k = F.substr(F.col("episode"), F.lit(2)).cast("long")
     e = e.select("episode", "level", F.when(k % 3 == 0, "Finance-binding").otherwise("").alias("recorded_verdict"), F.when(k % 5 > 0, "Rejected").alias("rival"), "solvent", "indep", F.when(k % 2 == 0, "System").otherwise("").alias("source"))
@@ -323,10 +358,12 @@ def _consistency(spark, d):
                    F.when(F.col("l_returnflag") == "A", "finance").otherwise("operational readiness").alias("clock"), F.when(F.col("l_discount") > 0, F.col("l_quantity") - 1).alias("expected_days"), F.when(F.col("l_tax") > 0.05, "Yes").alias("zero_documented"))
     v = _verdict_rows(spark, d).groupBy("episode").agg(F.max("verdict").alias("verdict"), F.max("fragile").alias("fragile"), F.max("finance_actionable").alias("finance_actionable"))
     _, _, cand = _pipeline_tables(spark, d)
-    return Q.consistency_checks(e, v, st.select("episode"), st, cand, "episode", "solvent", "indep", "source")["checks"]
+    return Q.consistency_checks(e, v, st.select("episode"), st, cand, "episode", "solvent", "indep", "source")[table]
 
 
-@query("status_summary")
+@query("status_summary", f"""WITH {_CONSISTENCY}, o AS (SELECT count(*) AS sources, count(*) FILTER (o_orderstatus = 'F') AS complete, count(*) FILTER (o_orderstatus = 'O') AS held, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS pending FROM orders)
+  SELECT o.*, (SELECT count(*) FROM v_ep) AS episodes, (SELECT count(*) FROM v_ep WHERE level LIKE 'Level 1%') AS level_1, (SELECT count(*) FROM v_ep WHERE level LIKE 'Level 2%') AS level_2, (SELECT count(*) FROM v_ep WHERE level LIKE 'Level 3%') AS level_3,
+   (SELECT count(*) FROM v_ep WHERE level LIKE 'Held%') AS episodes_held, (SELECT count(*) FROM rules WHERE level = 'FAIL') AS fail, (SELECT count(*) FROM rules WHERE level = 'WARN') AS warn, CASE WHEN pending > 0 THEN 'A' ELSE 'B' END AS step FROM o""")
 def status_summary(spark, d):
     src = V.table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "Held").otherwise("PENDING").alias("status"))
     return Q.status_summary(G.apply_gates(entries(spark, d), RULES)["episodes"], src, _consistency(spark, d), frozen=False)

@@ -50,6 +50,15 @@ def ols_cr0(spark, d):
     return rounded(t.where("term <> '(Intercept)'").select("term", F.round("se", 4).alias("se")))
 
 
+# with one row a cluster the adjustment is the leverage of the row
+@query("ols_cr2_singletons", f"""WITH {_SIMPLE}, u AS (SELECT xc, e / sqrt(1 - 1.0 / n - xc * xc / sxx) AS u, sxx FROM r)
+  SELECT 'x_null' AS term, round(sqrt(sum(xc * xc * u * u)) / max(sxx), 4) AS se FROM u""")
+def ols_cr2_singletons(spark, d):
+    lines = V.lines(spark, d).withColumn("own", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", F.monotonically_increasing_id()))
+    t = L.regression_linear(lines, "l_extendedprice", "x_null", se="CR2", cluster="own")["coefficients"]
+    return rounded(t.where("term <> '(Intercept)'").select("term", F.round("se", 4).alias("se")))
+
+
 @query("ols_cr2")
 def ols_cr2(spark, d):
     return L.regression_linear(V.lines(spark, d), "l_extendedprice", "x_null,l_quantity", "l_returnflag", se="CR2", cluster="l_suppkey")["coefficients"]
@@ -309,6 +318,17 @@ def estimability_gates(spark, d):
     return O.estimability_gates(O.ess_table(m), O.balance_table(m))
 
 
+@query("estimability_gates_binary", f"""WITH {_OW}, t AS (SELECT c_mktsegment AS arm, count(*) AS n, sum(w) * sum(w) / sum(w * w) AS ess, min(e) AS m, count(DISTINCT c_nationkey) AS f FROM w GROUP BY 1),
+  g AS (SELECT c_mktsegment, sum(w * CAST(rich AS INTEGER)) / sum(w) AS wm, var_samp(CAST(rich AS INTEGER)) AS v FROM w GROUP BY 1)
+  SELECT 'n[' || arm || ']' AS gate, CAST(n AS DOUBLE) AS value, n >= {O.DEFAULT_GATES['min_n_per_arm']} AS pass FROM t UNION ALL SELECT 'ess[' || arm || ']', round(ess, 4), ess >= {O.DEFAULT_GATES['min_ess_per_arm']} FROM t
+  UNION ALL SELECT 'min_ps_own_arm[' || arm || ']', round(m, 4), m >= {O.DEFAULT_GATES['min_ps_own_arm']} FROM t UNION ALL SELECT 'firms[' || arm || ']', CAST(f AS DOUBLE), f >= {O.DEFAULT_GATES['min_firms_per_arm']} FROM t
+  UNION ALL SELECT 'ess[total of arms used]', round(sum(ess), 4), sum(ess) >= {O.DEFAULT_GATES['min_ess_total']} FROM t
+  UNION ALL SELECT 'max weighted smd', round((max(wm) - min(wm)) / sqrt(avg(v)), 4), (max(wm) - min(wm)) / sqrt(avg(v)) <= {O.DEFAULT_GATES['max_abs_smd']} FROM g""")
+def estimability_gates_binary(spark, d):
+    m = O.propensity(arms(spark, d), "c_mktsegment", "rich", "c_nationkey")
+    return rounded(O.estimability_gates(O.ess_table(m), O.balance_table(m)), 4)
+
+
 @query("overlap_means", f"WITH {_OW} SELECT c_mktsegment AS arm, round(sum(w * mean_price) / sum(w), 2) AS weighted_mean FROM w GROUP BY 1")
 def overlap_means(spark, d):
     t = O.overlap_contrast(arms(spark, d), "c_mktsegment", "rich", "c_nationkey", "mean_price", "BUILDING-FURNITURE", force=True)["means"]
