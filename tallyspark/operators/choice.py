@@ -299,7 +299,8 @@ def mixed_logit(df: DataFrame, attributes, chosen: str, respondent: str, random_
             s[r["i"]] = r["v"]
         return float(s[0]), s[1 : 1 + p], s[1 + p :].reshape(p, p)
 
-    fit = newton(evaluate, np.concatenate([base.theta, np.log(np.full(q, 0.25))]), max_iter=max_iter, tol=1e-6)
+    fit = newton(evaluate, np.concatenate([base.theta, np.log(np.full(q, 0.25))]), max_iter=max_iter, tol=1e-6,
+                 valid=lambda t: bool((t[k:] < 10).all()))  # no pass over the data for deviations beyond any sense
     sd = np.exp(fit.theta[k:])
     rows = [(t, float(fit.theta[i]), float(sd[idx.index(i)]) if i in idx else 0.0, i in idx) for i, t in enumerate(c.terms)]
     n = data.select("respondent").distinct().count()
