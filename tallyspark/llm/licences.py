@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +46,11 @@ def template_words(text: str) -> list[str]:
     return _PY_WORD.findall(text.lower())
 
 
-def normal_words(text: Column) -> Column:
-    """Words of a passage: lower-cased runs of letters and digits, without lines that state a copyright."""
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, r"(?im)^[^\p{L}\p{N}\n]*copyright\b[^\n]*$", "")), r"[^\p{L}\p{N}]+"), "")
+def normal_words(line: Column) -> Column:
+    """Words of a line: lower-cased runs of letters and digits; none for a line that states a copyright."""
+    low = F.lower(line)
+    stated = F.contains(low, F.lit("copyright")) & low.rlike(r"^[^\p{L}\p{N}]*copyright\b")
+    return F.when(stated, F.array().cast("array<string>")).otherwise(F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), ""))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -65,23 +68,31 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return docs.limit(0).select(F.col(f"`{id_col}`").alias("id"), F.lit("").alias("licence"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("passages"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     text_of = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    values = ", ".join(f"({n}, {text_of(name)}, {text_of(g)}, {k}, {size})" for n, name, c, size in own for g, k in c.items())
-    table = spark.sql(f"SELECT template, licence, xxhash64(gram) AS gram, times, b FROM VALUES {values} AS t(template, licence, gram, times, b)")
+    values = ", ".join(f"({n}, {text_of(name)}, {', '.join(map(text_of, g.split(' ')))}, {k}, {size})" for n, name, c, size in own for g, k in c.items())
+    table = spark.sql(f"SELECT template, licence, xxhash64(first, second) AS gram, times, b FROM VALUES {values} AS t(template, licence, first, second, times, b)")
     known = sorted({r["gram"] for r in table.select("gram").collect()})  # the templates' bigrams
 
     text = F.col(f"`{text_col}`")
-    lines, paragraphs = F.split(text, r"\r\n|[\n\r]"), F.split(text, r"(?:\r\n|[\n\r])[ \t]*(?:\r\n|[\n\r])+")
-    passage = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array_distinct(F.concat(F.array(text), paragraphs, lines))).alias("passage"))
-    # size bounds: some template must be able to reach the threshold
     a = F.col("a")
-    fits = F.lit(False)
-    for b in sorted({size for _, _, _, size in own}):
-        fits = fits | ((a >= b * low - 1e-9) & (a <= b * high + 1e-9))
-    worded = passage.select("id", "passage", normal_words(F.col("passage")).alias("w")).withColumn("a", F.size("w") - 1).where((a >= 1) & fits)
+
+    def fits(n: Column) -> Column:
+        """Size bounds: some template must be able to reach the threshold."""
+        return reduce(lambda x, y: x | y, [(n >= b * low - 1e-9) & (n <= b * high + 1e-9) for b in sorted({size for _, _, _, size in own})]) & (n >= 1)
+
+    # each line is put into words once; the whole text's words are those of its lines, and paragraphs are only cut where there is an empty line
+    lines = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.split(text, r"\r\n|[\n\r]").alias("lines")).withColumn("words", F.transform("lines", normal_words))
+    none = F.array().cast("array<struct<passage:string,w:array<string>>>")
+    passage = lambda p, w: F.struct(p.alias("passage"), w.alias("w"))
+    part = lambda p: passage(p, F.flatten(F.transform(F.split(p, r"\r\n|[\n\r]"), normal_words)))
+    gap = r"(?:\r\n|[\n\r])[ \t]*(?:\r\n|[\n\r])+"
+    passages = F.concat(
+        F.array(passage(F.col("text"), F.flatten("words"))), F.zip_with("lines", "words", passage),
+        F.when(F.col("text").rlike(gap), F.transform(F.split("text", gap), part)).otherwise(none))
+    fitting = lines.select("id", F.inline(F.filter(passages, lambda x: fits(F.size(x["w"]) - 1)))).withColumn("a", F.size("w") - 1)
     n = F.greatest(a, F.lit(0))
-    grams = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda x, y: F.xxhash64(F.concat_ws(" ", x, y)))
+    grams = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda x, y: F.xxhash64(x, y))
     # of a passage's bigrams so many must be some template's, as common ones are at least threshold * (a + b) / 2 and b at least low * a
-    met = worded.select("id", "passage", "a", F.filter(grams, lambda g: g.isin(known)).alias("met")).where(F.size("met") >= a * low - 1e-9)
+    met = fitting.select("id", "passage", "a", F.filter(grams, lambda g: g.isin(known)).alias("met")).where(F.size("met") >= a * low - 1e-9)
     mine = met.distinct().select("id", "passage", "a", F.explode("met").alias("gram")).groupBy("id", "passage", "a", "gram").agg(F.count(F.lit(1)).alias("mine"))
     pairs = mine.join(table, "gram").where((a >= F.col("b") * low - 1e-9) & (a <= F.col("b") * high + 1e-9))
     dice = pairs.groupBy("id", "passage", "a", "template", "licence", "b").agg(F.sum(F.least("mine", "times")).alias("common")).withColumn("dice", 2 * F.col("common") / (a + F.col("b")))
