@@ -106,9 +106,15 @@ def references(spark, d):
     return sup, reg
 
 
-@query("match_references", """WITH b AS (SELECT p_partkey AS ref, p_partkey % 2 = 1 AS has_doi, p_partkey % 20 = 5 AS lost, p_partkey % 9 = 0 AS y, p_partkey % 7 = 0 AS a FROM part)
-  SELECT ref, CASE WHEN has_doi AND lost THEN 'NOT_FOUND' WHEN has_doi THEN CASE WHEN y OR a THEN 'PARTIAL' ELSE 'VERIFIED' END ELSE 'MATCH_FOUND' END AS status,
-   CASE WHEN has_doi AND lost THEN NULL ELSE '10.1000/p' || ref END AS found_doi, CASE WHEN has_doi AND lost THEN NULL ELSE concat_ws('; ', CASE WHEN y THEN 'year' END, CASE WHEN a THEN 'first author' END) END AS disagreements FROM b""")
+# every supplied title without a DOI against every registered one: nothing is blocked on this side
+@query("match_references", """WITH t AS (SELECT p_partkey AS k, p_brand, p_size + 1970 AS year, concat_ws(' ', p_name, p_type, 'no' || p_partkey) AS title FROM part),
+  g AS (SELECT k, '10.1000/p' || k AS doi, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS rt, year FROM t),
+  s AS (SELECT k AS ref, k % 2 = 1 AS has_doi, k % 20 = 5 AS lost, k % 7 = 0 AS a, year + CASE WHEN k % 9 = 0 THEN 3 ELSE 0 END AS year, trim(regexp_replace(lower(substr(title, 1, 2) || substr(title, 4)), '[^a-z0-9]+', ' ', 'g')) AS st FROM t),
+  c AS (SELECT ref, doi, g.year AS gy, 1 - levenshtein(st, rt)::DOUBLE / greatest(length(st), length(rt)) AS sim, 1 - levenshtein(st, rt)::DOUBLE / greatest(length(st), length(rt)) + CASE WHEN s.year = g.year THEN 0.10::DOUBLE ELSE 0 END AS score FROM s, g WHERE NOT has_doi),
+  best AS (SELECT ref, doi, gy, sim FROM c QUALIFY row_number() OVER (PARTITION BY ref ORDER BY score DESC, doi DESC) = 1),
+  m AS (SELECT s.ref, has_doi, lost, a, CASE WHEN has_doi THEN '10.1000/p' || s.ref ELSE doi END AS doi, sim, abs(s.year - CASE WHEN has_doi THEN (SELECT year FROM g WHERE g.k = s.ref) ELSE gy END) > 1 AS y FROM s LEFT JOIN best USING (ref))
+  SELECT ref, CASE WHEN has_doi AND lost THEN 'NOT_FOUND' WHEN has_doi THEN CASE WHEN y OR a THEN 'PARTIAL' ELSE 'VERIFIED' END WHEN sim >= 0.85 THEN 'MATCH_FOUND' ELSE 'WEAK_MATCH' END AS status,
+   CASE WHEN has_doi AND lost THEN NULL ELSE doi END AS found_doi, CASE WHEN has_doi AND lost THEN NULL ELSE concat_ws('; ', CASE WHEN y THEN 'year' END, CASE WHEN a THEN 'first author' END) END AS disagreements FROM m""")
 def match_references(spark, d):
     return A.match_references(*references(spark, d)).select("ref", "status", "found_doi", "disagreements")
 
