@@ -14,16 +14,17 @@ def components(links: DataFrame) -> DataFrame:
     ``links``: columns a, b (long, no nulls); repeats, both directions and loops are allowed.
     Alternates the large-star and the small-star step until the table no longer changes; the
     table shrinks to one row a node, and each round is written to the shared folder. Minima are
-    pre-aggregated, so a node with very many links is no hot group; the joins back are left to
-    Spark's splitting of skewed partitions.
+    pre-aggregated, so a node with very many links is no hot group. They are written before the joins
+    back, so that these have a shuffle on either side and Spark can split the partition of such a node.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = materialize(small, "links")
         now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
