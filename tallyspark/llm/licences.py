@@ -39,6 +39,22 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All-rights-reserved", "All rights reserved."),
 ]
+#: How short notices name a licence, and the verbs they begin with.
+NAMES: list[tuple[str, str]] = [
+    ("Apache-2.0", "the Apache License, Version 2.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("GPL-2.0", "the GNU General Public License, version 2"),
+    ("GPL-3.0", "the GNU General Public License, version 3"),
+    ("ISC", "the ISC License"),
+    ("MIT", "the MIT License"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0"),
+    ("Unlicense", "the Unlicense"),
+]
+VERBS = ("Licensed", "Released", "Distributed", "Available", "Provided", "Published")
+TEMPLATES += [t for name, called in NAMES for verb in VERBS if (t := (name, f"{verb} under {called}.")) not in TEMPLATES]
 _PY_WORD = re.compile(r"[^\W_]+")
 
 

@@ -1,3 +1,6 @@
+import duckdb
+import pytest
+
 from tallyspark.llm.licences import TEMPLATES, scan_licences
 
 
@@ -10,3 +13,24 @@ def test_licences_are_found_in_lines_paragraphs_and_whole_texts(spark, odd_docs,
     assert set(got) == {(1, "Apache-2.0"), (2, "MIT"), (3, "MIT"), (None, "CC-BY-NC-4.0")}
     assert got[(1, "Apache-2.0")] == (1.0, 2) and got[(2, "MIT")] == (1.0, 2) and got[(3, "MIT")][0] < 1 and got[(None, "CC-BY-NC-4.0")] == (1.0, 1)
     assert scan_licences(odd_docs).count() == scan_licences(no_docs).count() == scan_licences(odd_docs, templates=[]).count() == 0
+
+
+#: Written down from the tables, not from TEMPLATES.
+LINES = {
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "All-rights-reserved",
+}
+
+
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_every_licence_line_of_documents_is_found(spark, d):
+    lines = duckdb.connect().execute(f"SELECT doc_id, trim(line) FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')) AS line FROM '{d}/documents.parquet') WHERE regexp_matches(line, '(?i)licen[sc]e|CC BY|all rights')").fetchall()
+    assert lines and {line for _, line in lines} <= set(LINES)
+    got = {(r.id, r.licence) for r in scan_licences(spark.read.parquet(f"{d}/documents.parquet")).where("dice > 0.999").collect()}
+    assert got >= {(i, LINES[line]) for i, line in lines}
+
+
+def test_short_notices_begin_with_any_usual_verb(spark):
+    want = [(f"{verb} under {called}.", name) for verb in ("Released", "Distributed", "Available", "Provided") for called, name in (("the MIT License", "MIT"), ("the ISC License", "ISC"), ("the Apache License, Version 2.0", "Apache-2.0"), ("CC BY-SA 4.0", "CC-BY-SA-4.0"), ("the Unlicense", "Unlicense"))]
+    got = {(r.id, r.licence) for r in scan_licences(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(want)], "doc_id long, text string")).where("dice > 0.999").collect()}
+    assert got == {(i, name) for i, (_, name) in enumerate(want)}
