@@ -24,8 +24,8 @@ from tallyspark.runtime import materialize
 
 #: Bytes of a range, and bytes read at a time.
 RANGE, STEP = 1 << 20, 1 << 18
-#: A member: gzip magic and the deflate method. Bytes a WARC header may take.
-MAGIC, HEADER_MOST = b"\x1f\x8b\x08", 1 << 16
+#: A member: gzip magic and the deflate method.
+MAGIC = b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -87,27 +87,26 @@ class _Window:
 
 
 def _header_at(w: _Window, start: int) -> bool:
-    """Whether a member at ``start`` inflates to a WARC header."""
-    z, got, at = zlib.decompressobj(31), b"", start
-    while len(got) < HEADER_MOST and at < w.size and not z.eof:
-        part = w.get(at, 4096)
+    """Whether a member at ``start`` inflates to a WARC header, however long it is."""
+    z, got, at = zlib.decompressobj(31), bytearray(), start
+    while at < w.size and not z.eof and (part := w.get(at, 4096)):
+        before = len(got)
         try:
-            got += z.decompress(part, HEADER_MOST)
+            got += z.decompress(part)
         except zlib.error:
             return False
         if len(got) >= 5 and not got.startswith(b"WARC/"):
             return False
-        if b"\r\n\r\n" in got:
+        if got.find(b"\r\n\r\n", max(0, before - 3)) >= 0:
             break
         at += len(part)
-    return decode_header(got) is not None
+    return decode_header(bytes(got)) is not None
 
 
 def _member(w: _Window, start: int) -> tuple[bytes, int] | None:
     """The content of the member at ``start`` and where it ends; None if it is damaged or cut off."""
     z, parts, at = zlib.decompressobj(31), [], start
-    while at < w.size:
-        part = w.get(at, 65536)
+    while at < w.size and (part := w.get(at, 65536)):
         try:
             parts.append(z.decompress(part))
         except zlib.error:
@@ -118,37 +117,56 @@ def _member(w: _Window, start: int) -> tuple[bytes, int] | None:
     return None
 
 
-def read_range(file, size: int, start: int, stop: int) -> Iterator[Record]:  # noqa: ANN001
-    """The records of an archive whose members start in [start, stop). Damaged members are passed over."""
-    w, at = _Window(file, size), start
+def read_range(file, size: int, start: int, stop: int, whole: bool = False) -> Iterator[Record]:  # noqa: ANN001
+    """The records of an archive whose members start in [start, stop).
+
+    Damaged members are passed over. With ``whole`` the archive has to be nothing but records, as
+    ``write_archives`` leaves it, and a ValueError is raised where one is missing: the first starts at
+    byte 0, and each record, the last of the range too, is followed by another or by the end. So if no range raises, the
+    records read fill all ``size`` bytes written and none is lost.
+    """
+    w, at, due = _Window(file, size), start, whole and start == 0  # due: a record has to start at ``at``
+
+    def missing() -> ValueError:
+        return ValueError(f"the archive of {size} bytes has no whole record at byte {at}")
+
     while at < stop:
         here = w.get(at, len(MAGIC))
+        if due and here != MAGIC:
+            raise missing()
         if here != MAGIC:  # not at the start of a member: search on
             here = w.get(at, STEP)
+        if whole and len(here) < min(STEP if here[: len(MAGIC)] != MAGIC else len(MAGIC), size - at):  # the file is shorter than it was
+            raise missing()
         found = here.find(MAGIC)
         if found < 0:
-            if at + len(here) >= size:
+            if at + len(here) >= size or len(here) < len(MAGIC):
                 return
             at += len(here) - len(MAGIC) + 1  # the magic may lie across two reads
             continue
         at += found
         if at >= stop:
             return
-        if _header_at(w, at) and (got := _member(w, at)):
+        headed = _header_at(w, at)
+        if headed and (got := _member(w, at)):
             content, end = got
             if head := decode_header(content):
                 fields, begin = head
                 yield Record(fields, content[begin : begin + int(fields["content-length"])], at, end)
-            at = end  # the next member starts here, if it does
+            at, due = end, whole  # the next member starts here, if it does
+        elif due or whole and headed:
+            raise missing()
         else:
             at += 1
+    if due and at < size and not (w.get(at, len(MAGIC)) == MAGIC and _header_at(w, at)):
+        raise missing()
 
 
-def read_archives(files: DataFrame, schema: str, row: Callable[[Record], tuple], block: int = RANGE) -> DataFrame:
+def read_archives(files: DataFrame, schema: str, row: Callable[[Record], tuple], block: int = RANGE, whole: bool = False) -> DataFrame:
     """A row for each record of the archives in ``files`` (columns file, size): what ``row`` makes of it.
 
-    Archives are cut at every ``block`` bytes; a task holds one record and one read at a time. An
-    empty table of files and an empty file give no rows.
+    Archives are cut at every ``block`` bytes; a task holds one record and one read at a time. ``whole``
+    raises an error where a record is damaged, cut off or missing (see ``read_range``). An empty table of files and an empty file give no rows.
     """
     names = StructType.fromDDL(schema).names
 
@@ -158,7 +176,7 @@ def read_archives(files: DataFrame, schema: str, row: Callable[[Record], tuple],
                 fs, path = open_fs(r.file)
                 with fs.open_input_file(path) as file:
                     out, held = [], 0
-                    for record in read_range(file, r.size, r.start, r.stop):
+                    for record in read_range(file, r.size, r.start, r.stop, whole):
                         out.append(row(record))
                         held += len(record.block)
                         if held > 1 << 24:
@@ -215,7 +233,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     The payload is the html in UTF-8, a null one is empty; ``payload`` is null for revisits. Everything
     returned comes from the archives; the digest of a response is that of the payload read, and has
     to equal the header's. A null id is written as ``null`` and read back as null; a null url is
-    read back as an empty one. Repeated rows are records of their own. Other columns are not written.
+    read back as an empty one. A url may have any length, and a record that was written and cannot be read is an error. Repeated rows are records of their own. Other columns are not written.
     An empty table gives an empty result.
     """
     spark = pages.sparkSession
@@ -235,4 +253,4 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             raise ValueError(f"the payload of {r.fields['warc-record-id']} is damaged")
         return name("warc-record-id"), r.fields.get("warc-target-uri", ""), r.fields["warc-type"], None if response else name("warc-refers-to"), stated, digest, payload if response else None
 
-    return read_archives(files, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary", row, block)
+    return read_archives(files, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary", row, block, whole=True)

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 from base64 import b32encode
 
 import pytest
@@ -64,3 +65,25 @@ def test_odd_pages(spark):
 
 def test_query_on_the_smallest_tables(spark):
     assert op5_warc_round_trip(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_a_url_of_any_length_is_read_back(spark):
+    rng = random.Random(3)
+    rows = [(i, "data:" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)), f"page {i}") for i, n in enumerate((10, 70_000, 140_000, 1_500_000))] + [(9, "data:" + "a" * 3_000_000, "page 9")]
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == rows
+
+
+@pytest.mark.parametrize("cut", [100, 1000, 10**6])
+def test_a_record_that_was_written_and_cannot_be_read_is_an_error(cut):
+    data, starts = _archive(40)
+    read = lambda d, size: [r for a in range(0, size, cut) for r in read_range(Buffer(d), size, a, min(a + cut, size), True)]
+    assert [r.start for r in read(data, len(data))] == starts
+    for at in (0, 17, 39):
+        end = [*starts, len(data)][at + 1]
+        for place in (starts[at], starts[at] + 15, (starts[at] + end) // 2, end - 6):
+            broken = bytearray(data)
+            broken[place] ^= 0xFF
+            with pytest.raises(ValueError, match="no whole record"):
+                read(bytes(broken), len(data))
+        with pytest.raises(ValueError, match="no whole record"):
+            read(data[: starts[at]], len(data))
