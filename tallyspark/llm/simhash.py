@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.graph import components
@@ -48,21 +48,29 @@ def fingerprint(text: str | None, k: int, bits: int, seed: int, distinct: bool)
     return bit_majority([digest(s, seed) for s in shingles], bits), len(shingles)
 
 
-def fingerprints(docs: DataFrame, text: Column, keep: list[str], k: int = 3, bits: int = 64, seed: int = 42, distinct: bool = False) -> DataFrame:
-    """Columns ``keep`` of every row with its fingerprint: f0 (and f1) long, n the number of shingles."""
+def fingerprints(docs: DataFrame, text: Column, keep: list[str], k: int = 3, bits: int = 64, seed: int = 42, distinct: bool = False, few: int = 0) -> DataFrame:
+    """Columns ``keep`` of every row with its fingerprint: f0 (and f1) long, n the number of shingles.
+
+    With ``few`` also ``shingles``, the 64-bit hashes of the different shingles of a text that has 1 to ``few``, else null.
+    """
     names = [f"f{i}" for i in range(bits // 64)]
     src = docs.select(*keep, text.alias("__text"))
     fields = [f for f in src.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + ", ".join(f"{n} long" for n in names) + ", n int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + ", ".join(f"{n} long" for n in names) + ", n int" + ", shingles array<long>" * bool(few)
+
+    def hashes(text: str, n: int) -> np.ndarray | None:
+        return np.array([xxhash.xxh3_64_intdigest(s) for s in set(shingle_bytes(text, k))], np.uint64).view(np.int64) if 0 < n <= few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                got = [fingerprint(t.as_py(), k, bits, seed, distinct) for t in part.column("__text")]
+                texts = part.column("__text").to_pylist()
+                got = [fingerprint(t, k, bits, seed, distinct) for t in texts]
                 prints = np.frombuffer(b"".join(f for f, _ in got), ">u8").reshape(-1, bits // 64).astype(np.uint64).view(np.int64)
                 cols = [part.column(f.name) for f in fields] + [pa.array(prints[:, i]) for i in range(bits // 64)] + [pa.array([n for _, n in got], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields] + names + ["n"])
+                cols += [pa.array([hashes(t, n) for t, (_, n) in zip(texts, got)], pa.list_(pa.int64()))] * bool(few)
+                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields] + names + ["n"] + ["shingles"] * bool(few))
 
     return src.mapInArrow(run, schema)
 
@@ -199,6 +207,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Documents of a block in the exact test within a cluster.
 BLOCK = 512
+#: Pairs whose smaller set has so many shingles at most get their candidates by shared shingles, not by fingerprints alone.
+FEW = 30
+
+
+def shared_shingle_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Links ``b, a`` whose chains connect every pair of ``classes`` (node, n, shingles) at ``similarity`` or more.
+
+    Prefix filter: with all shingles in one order, the rarest first, two sets of Jaccard similarity t share one
+    among the first n - ceil(t n) + 1 of each. The sets that meet at a shingle are linked to the smallest of them, so
+    a shingle that many share makes no pairs.
+    """
+    each = classes.where("shingles is not null").select("node", "n", F.explode("shingles").alias("shingle"))
+    # these lists grow with the corpus: they are joined by shuffling, never broadcast
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    order = Window.partitionBy("node").orderBy(F.col("times").asc_nulls_first(), "shingle")
+    first = each.join(often.hint("shuffle_hash"), "shingle", "left").withColumn("i", F.row_number().over(order))
+    first = first.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("times").isNotNull()).select("shingle", "node")
+    first = materialize(first, "prefixes")
+    least = first.groupBy("shingle").agg(F.min("node").alias("a"))
+    return first.join(least.hint("shuffle_hash"), "shingle").where("node <> a").select(F.col("node").alias("b"), "a").distinct()
 
 
 def _similar(group: pd.DataFrame, k: int, similarity: float) -> pd.DataFrame:
@@ -243,8 +271,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked if the sets of their ``k``-word shingles (A-Z lowered, one space between words)
     have a Jaccard similarity of at least ``similarity``; a group is what chains of links connect. The
     smallest id of a group stays, null ids last. Candidates come from 128-bit fingerprints of the sets
-    at most ``radius`` bits apart: a pair at 0.8 differs in 19 bits with a deviation of 4, so 999 of 1000
-    such pairs lie within 32, closer ones nearly always, and unrelated ones almost never. Candidates form clusters, in
+    at most ``radius`` bits apart: a long pair at 0.8 differs in 19 bits with a deviation of 4, so about 999 of 1000
+    such pairs lie within 32, closer ones nearly always, and unrelated ones almost never. Small sets, whose
+    fingerprints scatter more, lose nothing: where the smaller one has up to ``FEW`` shingles, candidates also come
+    from shared shingles, which is exact. Candidates form clusters, in
     which every pair is tested exactly, by blocks of ``BLOCK`` documents for two blocks at a time, and
     only spanning forests leave the tasks. Texts without words (null ones among them) are copies of one another;
     shorter ones than ``k`` words are compared as one shingle. Repeated rows leave one row. Extra
@@ -253,10 +283,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the one copy of the texts: it fixes a row number, so that of equal rows exactly one can stay
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
     text = F.col(f"row.`{text_col}`")
-    prints = materialize(fingerprints(rows.select("uid", "id", "key", text.alias("text")), F.col("text"), ["uid", "id", "key"], k, 128, seed, True), "prints")
+    prints = materialize(fingerprints(rows.select("uid", "id", "key", text.alias("text")), F.col("text"), ["uid", "id", "key"], k, 128, seed, True, math.floor(FEW / similarity + 1e-9)), "prints")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best")
-    classes = materialize(prints.groupBy("key").agg(best, F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min("n").alias("n")).withColumn("node", F.col("best.uid")), "classes")
-    clusters = components(tile_links(tiles_of(classes, 2, True), 2, radius, similarity, True))
+    classes = materialize(prints.groupBy("key").agg(best, F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min("n").alias("n"), F.min("shingles").alias("shingles")).withColumn("node", F.col("best.uid")), "classes")
+    near = tile_links(tiles_of(classes, 2, True), 2, radius, similarity, True)
+    clusters = components(near.unionByName(shared_shingle_links(classes, similarity)))
     clusters = materialize(clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root").select("node", F.col("root").alias("cluster"), F.ceil(F.col("m") / BLOCK).alias("blocks")), "clusters")
     small = max(1, math.ceil(clusters.where("blocks = 1").count() / BLOCK))
     whole = clusters.where("blocks = 1").select("node", "cluster", F.lit(0).cast("long").alias("block"), F.lit(False).alias("across"), F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(small))).alias("part"))

@@ -95,3 +95,20 @@ def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1100)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 7 for i in range(1000, 1100)) and 5 not in got
+
+
+def test_near_duplicates_equal_brute_force_on_a_thousand_documents(spark):
+    d = "/root/testdata/sf0.01"
+    rows = _docs(d)
+    sets = [set(_shingles(t, 5)) for _, t in rows]
+    sized = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-9
+    like = lambda a, b: not a and not b or sized(a, b) and len(a & b) >= 0.8 * len(a | b) - 1e-9
+    roots = _roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if like(sets[i], sets[j])])
+    assert {r.doc_id for r in near_duplicates(spark.read.parquet(f"{d}/documents.parquet")).collect()} == {rows[i][0] for i, r in enumerate(roots) if r == i}
+
+
+def test_no_short_pair_at_the_threshold_is_lost(spark):
+    # pairs of 8 and 9 words, 4 of 5 shingles common, and of 19 and 16 words, 12 of 15; all share some words
+    pairs = [(n * 10_000 + 2 * i + j, " ".join(f"{'the' if w == 3 else f'w{n}x{i}x{w}'}" for w in range(m))) for n, sizes in ((1, (8, 9)), (2, (16, 19))) for i in range(1500) for j, m in enumerate(sizes)]
+    kept = {r.doc_id for r in near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == {i for i, _ in pairs if i % 2 == 0}
