@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage. A leak is a property of the text, so rows are matched by text, whatever their ids."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("key"))
-    leaks = materialize(find_leaks(keyed.select("key", F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key").select(F.col("id").alias("key")), "leaks")
+    leaks = materialize(find_leaks(keyed.select("key", F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key", exact_short=True).select(F.col("id").alias("key")), "leaks")
     return keyed.join(leaks, "key", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -30,9 +30,19 @@ def masks(span: int, max_subs: int) -> list[tuple[int, ...]]:
     return [tuple(p for i in keep for p in parts[i]) for keep in combinations(range(blocks), blocks - max_subs)]
 
 
+#: A letter of a script that puts no spaces between words, with its marks; ``LATER`` is where such scripts begin.
+UNSPACED = r"([[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]&&[\p{L}\p{N}]]\p{M}*)"
+LATER = r"[\x{0E00}-\x{1FFF}\x{2E80}-\x{10FFFF}]"
+
+
 def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the words: lower-cased runs of letters, digits and marks, so case and punctuation do not count."""
-    return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), ""), lambda w: F.xxhash64(w))
+    """64-bit hashes of the words: lower-cased runs of letters, digits and marks, so case and punctuation do not count.
+
+    In Chinese, Japanese, Thai and other scripts without spaces each letter is a word.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    cut = F.when(low.rlike(LATER), F.regexp_replace(low, UNSPACED, " $1 ")).otherwise(low)
+    return F.transform(F.array_remove(F.split(cut, r"[^\p{L}\p{N}\p{M}]+"), ""), lambda w: F.xxhash64(w))
 
 
 def _windows(t: DataFrame, span: int) -> DataFrame:
@@ -48,7 +58,7 @@ def _window(span: int) -> Column:
     return F.slice("toks", F.col("at") + 1, span)
 
 
-def benchmark_windows(bench: DataFrame, span: int, max_subs: int, shortest: int) -> DataFrame:
+def benchmark_windows(bench: DataFrame, span: int, shortest: int) -> DataFrame:
     """``span, toks, at, item, win``: the windows of all items, whose length is the item's own where it is shorter than ``span``.
 
     The lengths below ``span`` are few (``shortest`` to ``span - 1``). Equal windows of several items
@@ -63,30 +73,32 @@ def benchmark_windows(bench: DataFrame, span: int, max_subs: int, shortest: int)
     return out.groupBy("span", "win").agg(F.min("item").alias("item"), F.count_distinct("item").alias("items"))
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, max_subs: int = MAX_SUBS, shortest: int = SHORTEST) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, max_subs: int = MAX_SUBS, shortest: int = SHORTEST, exact_short: bool = False) -> DataFrame:
     """``id, item, items, windows, first_at, subs``: the documents that hold a passage of the benchmark.
 
     A document leaks if a window of ``span`` of its words agrees with one of the benchmark in all but
     at most ``max_subs`` positions. An item of ``shortest`` to ``span - 1`` words counts as a whole,
-    with ``max_subs * words // span`` substitutions; shorter items are no evidence and match nothing.
+    with ``max_subs * words // span`` substitutions. Shorter items match nothing, or with ``exact_short``
+    as a whole run without substitutions, down to a single word.
     Returned for each id: the smallest item met, the largest number of items that share a window met,
     the number of different window positions, the first position (in words), and the fewest
-    substitutions. Words are runs of letters, digits and marks, compared without case. Null and empty texts
+    substitutions. Words are runs of letters, digits and marks, compared without case, and single
+    letters in scripts without spaces. Null and empty texts
     hold nothing; rows that repeat an id count together; a null id is an id. Other columns are not
     read. An empty table on either side gives an empty result.
     """
-    return _verified(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), bench.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")), span, max_subs, shortest).groupBy("id").agg(
+    return _verified(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), bench.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")), span, max_subs, shortest, exact_short).groupBy("id").agg(
         F.min("item").alias("item"), F.max("items").alias("items"), F.count_distinct("at").alias("windows"), F.min("at").alias("first_at"), F.min("subs").alias("subs"))
 
 
-def _verified(docs: DataFrame, bench: DataFrame, span: int, max_subs: int, shortest: int) -> DataFrame:
+def _verified(docs: DataFrame, bench: DataFrame, span: int, max_subs: int, shortest: int, exact_short: bool) -> DataFrame:
     """``id, at, item, items, subs`` for each document window within the tolerance of a benchmark window."""
-    known = materialize(benchmark_windows(bench, span, max_subs, shortest), "windows")
-    lengths = [r["span"] for r in known.select("span").distinct().collect()]  # at most span - shortest + 1 numbers
+    known = materialize(benchmark_windows(bench, span, 1 if exact_short else shortest), "windows")
+    lengths = [r["span"] for r in known.select("span").distinct().collect()]  # at most span numbers
     toks = docs.select("id", word_hashes(F.col("text")).alias("toks"))
     hits = None
     for n in sorted(lengths, reverse=True):
-        subs = max_subs if n == span else max_subs * n // span
+        subs = max_subs if n == span else max_subs * n // span if n >= shortest else 0
         mine = known.where(F.col("span") == n).select(F.col("win").alias("toks"), "item", "items", F.lit(0).alias("at"))
         keyed = materialize(mine.select("toks", "item", "items", F.explode(_seeds(n, subs)).alias("seed")), "seeds")
         seeds = materialize(keyed.select("seed").distinct(), "seed")

@@ -28,4 +28,4 @@ FROM s WHERE subs <= CASE WHEN span = 13 THEN 2 ELSE 2 * span // 13 END GROUP BY
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of 13 words of a benchmark item with at most 2 substitutions."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return find_leaks(read("documents"), read("benchmark")).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "items", "windows", "first_at", "subs")
+    return find_leaks(read("documents"), read("benchmark"), exact_short=True).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "items", "windows", "first_at", "subs")

@@ -1,7 +1,9 @@
 from itertools import combinations
 
 import tallyspark.llm.decontam as decontam
+from corpus_pipeline import decontaminate
 from tallyspark.llm.decontam import find_leaks, masks
+from tallyspark.llm.queries.decontam_query import op4_benchmark_leaks
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
 
@@ -44,3 +46,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = {r.id: r["item"] for r in find_leaks(odd_docs, bench).collect()}
     assert got == {1: 1, None: None}
     assert find_leaks(no_docs, bench).count() == find_leaks(odd_docs, bench.limit(0)).count() == 0
+
+
+def test_short_items_match_as_whole_runs(spark, tmp_path):
+    bench, texts = ["Who wrote Hamlet?", "Photosynthesis", "one two three four five six seven"], ["asked: who wrote hamlet, and when", "who really wrote hamlet", "PHOTOSYNTHESIS.", "one two three four five six other", "0 one two three four five six seven"]
+    assert {i: r["item"] for i, r in _found(spark, texts, bench, exact_short=True).items()} == {0: 0, 2: 1, 4: 2}
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in op4_benchmark_leaks(spark, str(tmp_path)).collect()} == {0, 2, 4}
+    assert {r.doc_id for r in decontaminate(spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_scripts_without_spaces_are_cut_into_letters(spark):
+    zh, ja, th = "水在标准大气压下的沸点是多少摄氏度", "日本で一番高い山は何という山ですか", "เมืองหลวงของประเทศไทยคือเมืองอะไร"
+    texts = [f"前面的文字{zh}后面的文字", f"まえの{ja}あと", f"ก่อน{th}หลัง", zh.replace("沸", "熔"), zh[:8] + "完全不同的句子", "nothing of it"]
+    assert {i: r["item"] for i, r in _found(spark, texts, [zh, ja, th]).items()} == {0: 0, 1: 1, 2: 2, 3: 0}
