@@ -8,7 +8,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("mixing_query", "decontam_query", "quality_query", "html_query", "separator_query", "licence_query", "warc_query", "dual_tree_query", "chat_query", "simhash_query", "align_query", "repair_query")
+MODULES = ("mixing_query", "decontam_query", "quality_query", "html_query", "separator_query", "licence_query", "warc_query", "dual_tree_query", "chat_query", "simhash_query", "align_query", "repair_query", "toxicity_query")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
