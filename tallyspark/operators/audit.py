@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tallyspark.functions import identifiers as I
 from tallyspark.functions.columns import as_list, strip_space
 from tallyspark.operators.describe import unpivot_text
+from tallyspark.operators.similar import ratio, similar_pairs
 from tallyspark.registry import Result, analysis
-from tallyspark.runtime import small_table
+from tallyspark.runtime import materialize, small_table
 
 # Column names that usually hold names, contacts or identifiers, and codes that are not names.
 HEADER_WORDS = (
@@ -186,8 +187,7 @@ def clean_doi(col: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Edit-distance ratio of two folded texts; zero if either is empty."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when((a == "") | (b == ""), 0.0).otherwise(ratio(a, b, F.levenshtein(a, b)))
 
 
 def first_surname(col: Column) -> Column:
@@ -196,26 +196,16 @@ def first_surname(col: Column) -> Column:
     return F.when(F.size(parts) > 0, F.try_element_at(parts, F.lit(-1))).otherwise(chunk)
 
 
-def _signatures(title: Column) -> Column:
-    """The folded title, and the title without one (for two words and more) and without two of its words (for four and more)."""
-    words = F.split(title, " ")
-    places = F.sequence(F.lit(0), F.size(words) - 1)
-    left = lambda gone: F.concat(F.lit("~"), F.array_join(F.filter(words, lambda w, i: ~gone(i)), " "))
-    one = F.transform(places, lambda i: left(lambda j: j == i))
-    two = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda k: k > i), lambda k: left(lambda j: (j == i) | (j == k)))))
-    more = F.when(F.size(words) > 3, F.concat(one, two)).when(F.size(words) > 1, one).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(title), more))
-
-
 @analysis("match_references", "Reference matching", "Audit")
-def match_references(supplied: DataFrame, registry: DataFrame, strict: bool = False) -> DataFrame:
+def match_references(supplied: DataFrame, registry: DataFrame, strict: bool = False, floor: float = 0.85) -> DataFrame:
     """Supplied references against a registry table.
 
     Both tables: ref (supplied only), doi, title, year, authors, journal (registry: first_author);
     strict also compares volume, issue and pages. A DOI is joined exactly. Without a DOI the candidates
-    are registry titles that agree on all words or on all but one or two; equal titles are collapsed first, so
-    a title that repeats a million times is one candidate row. The best one by similarity (plus a bonus
-    for the year) is kept by an aggregate.
+    are all registry titles whose edit-distance ratio is ``floor`` or more, whatever they differ in; equal titles are collapsed
+    first, so a title that repeats a million times is one candidate. The best one by ratio (plus a bonus
+    for the year) is kept by an aggregate. At the default, what is found is a match; a lower floor also
+    gives the weak ones between it and 0.85.
     """
     s = supplied.withColumns({"_doi": clean_doi(F.col("doi")), "_t": fold_text(F.col("title")), "_year": F.substring(F.col("year").cast("string"), 1, 4)})
     extra = ["volume", "issue", "pages"] if strict else []
@@ -224,13 +214,13 @@ def match_references(supplied: DataFrame, registry: DataFrame, strict: bool = Fa
     found = F.struct(F.col("_doi").alias("found_doi"), *[F.col(f).alias(f"found_{f}") for f in fields])
     by_doi = g.where("_doi <> ''").groupBy("_doi").agg(F.min(found).alias("hit"))
     with_doi = s.where("_doi <> ''").join(by_doi, "_doi", "left").select(*s.columns, F.col("hit"), F.lit(True).alias("by_doi"))
-    titles = g.where("_rt <> ''").groupBy("_rt", "year").agg(F.min(found).alias("hit"))
-    keys = titles.select("_rt", "year", "hit", F.explode(_signatures(F.col("_rt"))).alias("sig"))
-    asked = s.where("_doi = '' and _t <> ''").select("_t", "_year").distinct().withColumn("sig", F.explode(_signatures(F.col("_t"))))
-    score = similarity(F.col("_t"), F.col("_rt")) + F.when(F.col("_year") == F.col("year"), 0.10).otherwise(0.0)
-    best = asked.join(keys, "sig").groupBy("_t", "_year").agg(F.max(F.struct(score.alias("score"), "hit")).alias("b"))
-    no_doi = s.where("_doi = ''").join(best.select("_t", F.col("_year").alias("_y"), F.col("b.hit").alias("hit")).withColumnRenamed("_t", "_bt"),
-                                       (F.col("_t") == F.col("_bt")) & F.col("_year").eqNullSafe(F.col("_y")), "left").select(*s.columns, "hit", F.lit(False).alias("by_doi"))
+    titles = g.where("_rt <> ''").groupBy(F.col("_rt").alias("b"), "year").agg(F.min(found).alias("hit"))
+    asked = s.where("_doi = '' and _t <> ''").select(F.col("_t").alias("a"), "_year").distinct()
+    pairs = materialize(similar_pairs(asked, titles, floor), "similar")
+    score = F.col("ratio") + F.when(F.col("_year") == F.col("year"), 0.10).otherwise(0.0)
+    best = asked.join(pairs, "a").join(titles, "b").groupBy("a", "_year").agg(F.max(F.struct(score.alias("score"), "hit")).alias("best"))
+    no_doi = s.where("_doi = ''").join(best.select("a", F.col("_year").alias("_y"), F.col("best.hit").alias("hit")),
+                                       (F.col("_t") == F.col("a")) & F.col("_year").eqNullSafe(F.col("_y")), "left").select(*s.columns, "hit", F.lit(False).alias("by_doi"))
     m = with_doi.unionByName(no_doi)
     given = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
     title_sim = F.when(given("title"), similarity(F.col("_t"), fold_text(F.col("hit.found_title")))).otherwise(1.0)

@@ -94,27 +94,31 @@ def claim_registry_audit(spark, d):
 
 # ---------------------------------------------------------------- references
 def references(spark, d):
-    """Parts as the registry; every part is also supplied, with a letter removed from its title and half of the DOIs blank."""
+    """Parts as the registry, with titles of seven words; every part is also supplied, with a letter removed from none to seven words of its title and half of the DOIs blank."""
     p = V.table(spark, d, "part")
-    title = F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("no"), "p_partkey"))
-    doi = F.concat(F.lit("10.1000/p"), "p_partkey")
+    k = F.col("p_partkey")
+    mark = F.md5(k.cast("string").cast("binary"))
+    title = F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("no"), k), F.substring(mark, 1, 8), F.substring(mark, 9, 5), F.substring(mark, 14, 9))
+    doi = F.concat(F.lit("10.1000/p"), k)
     reg = p.select(doi.alias("doi"), title.alias("title"), (F.col("p_size") + 1970).alias("year"), F.lit("Smith").alias("first_author"), F.col("p_brand").alias("journal"))
-    odd = F.col("p_partkey") % 2 == 1
-    sup = p.select(F.col("p_partkey").alias("ref"), F.when(odd, F.concat(F.lit("https://doi.org/"), F.when(F.col("p_partkey") % 20 == 5, "10.1000/none").otherwise(doi), F.lit("."))).otherwise("").alias("doi"),
-                   F.concat(F.substring(title, 1, 2), F.substr(title, F.lit(4))).alias("title"), (F.col("p_size") + 1970 + F.when(F.col("p_partkey") % 9 == 0, 3).otherwise(0)).alias("year"),
-                   F.when(F.col("p_partkey") % 7 == 0, "Jones, A.").otherwise("J. Smith, B. Doe").alias("authors"), F.col("p_brand").alias("journal"))
+    misspelt = F.array_join(F.transform(F.split(title, " "), lambda w, i: F.when(i < F.floor(k / 2) % 8, F.concat(F.substring(w, 1, 1), F.substr(w, F.lit(3)))).otherwise(w)), " ")
+    sup = p.select(k.alias("ref"), F.when(k % 2 == 1, F.concat(F.lit("https://doi.org/"), F.when(k % 20 == 5, "10.1000/none").otherwise(doi), F.lit("."))).otherwise("").alias("doi"),
+                   misspelt.alias("title"), (F.col("p_size") + 1970 + F.when(k % 9 == 0, 3).otherwise(0)).alias("year"),
+                   F.when(k % 7 == 0, "Jones, A.").otherwise("J. Smith, B. Doe").alias("authors"), F.col("p_brand").alias("journal"))
     return sup, reg
 
 
 # every supplied title without a DOI against every registered one: nothing is blocked on this side
-@query("match_references", """WITH t AS (SELECT p_partkey AS k, p_brand, p_size + 1970 AS year, concat_ws(' ', p_name, p_type, 'no' || p_partkey) AS title FROM part),
+@query("match_references", """WITH t AS (SELECT p_partkey AS k, p_brand, p_size + 1970 AS year, concat_ws(' ', p_name, p_type, 'no' || p_partkey, substr(md5(p_partkey::VARCHAR), 1, 8), substr(md5(p_partkey::VARCHAR), 9, 5), substr(md5(p_partkey::VARCHAR), 14, 9)) AS title FROM part),
   g AS (SELECT k, '10.1000/p' || k AS doi, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS rt, year FROM t),
-  s AS (SELECT k AS ref, k % 2 = 1 AS has_doi, k % 20 = 5 AS lost, k % 7 = 0 AS a, year + CASE WHEN k % 9 = 0 THEN 3 ELSE 0 END AS year, trim(regexp_replace(lower(substr(title, 1, 2) || substr(title, 4)), '[^a-z0-9]+', ' ', 'g')) AS st FROM t),
+  s AS (SELECT k AS ref, k % 2 = 1 AS has_doi, k % 20 = 5 AS lost, k % 7 = 0 AS a, year + CASE WHEN k % 9 = 0 THEN 3 ELSE 0 END AS year,
+    trim(regexp_replace(lower(array_to_string(list_transform(string_split(title, ' '), lambda w, i: CASE WHEN i <= (k // 2) % 8 THEN substr(w, 1, 1) || substr(w, 3) ELSE w END), ' ')), '[^a-z0-9]+', ' ', 'g')) AS st FROM t),
   c AS (SELECT ref, doi, g.year AS gy, 1 - levenshtein(st, rt)::DOUBLE / greatest(length(st), length(rt)) AS sim, 1 - levenshtein(st, rt)::DOUBLE / greatest(length(st), length(rt)) + CASE WHEN s.year = g.year THEN 0.10::DOUBLE ELSE 0 END AS score FROM s, g WHERE NOT has_doi),
-  best AS (SELECT ref, doi, gy, sim FROM c QUALIFY row_number() OVER (PARTITION BY ref ORDER BY score DESC, doi DESC) = 1),
-  m AS (SELECT s.ref, has_doi, lost, a, CASE WHEN has_doi THEN '10.1000/p' || s.ref ELSE doi END AS doi, sim, abs(s.year - CASE WHEN has_doi THEN (SELECT year FROM g WHERE g.k = s.ref) ELSE gy END) > 1 AS y FROM s LEFT JOIN best USING (ref))
-  SELECT ref, CASE WHEN has_doi AND lost THEN 'NOT_FOUND' WHEN has_doi THEN CASE WHEN y OR a THEN 'PARTIAL' ELSE 'VERIFIED' END WHEN sim >= 0.85 THEN 'MATCH_FOUND' ELSE 'WEAK_MATCH' END AS status,
-   CASE WHEN has_doi AND lost THEN NULL ELSE doi END AS found_doi, CASE WHEN has_doi AND lost THEN NULL ELSE concat_ws('; ', CASE WHEN y THEN 'year' END, CASE WHEN a THEN 'first author' END) END AS disagreements FROM m""")
+  best AS (SELECT ref, doi, gy, sim FROM c WHERE sim >= 0.85 QUALIFY row_number() OVER (PARTITION BY ref ORDER BY score DESC, doi DESC) = 1),
+  m AS (SELECT s.ref, has_doi, lost, a, CASE WHEN has_doi THEN '10.1000/p' || s.ref ELSE doi END AS doi, abs(s.year - CASE WHEN has_doi THEN (SELECT year FROM g WHERE g.k = s.ref) ELSE gy END) > 1 AS y,
+    CASE WHEN has_doi THEN 1 - levenshtein(st, (SELECT rt FROM g WHERE g.k = s.ref))::DOUBLE / greatest(length(st), length((SELECT rt FROM g WHERE g.k = s.ref))) ELSE 1 END < 0.80 AS t FROM s LEFT JOIN best USING (ref))
+  SELECT ref, CASE WHEN (has_doi AND lost) OR doi IS NULL THEN 'NOT_FOUND' WHEN has_doi THEN CASE WHEN y OR a OR t THEN 'PARTIAL' ELSE 'VERIFIED' END ELSE 'MATCH_FOUND' END AS status,
+   CASE WHEN has_doi AND lost THEN NULL ELSE doi END AS found_doi, CASE WHEN (has_doi AND lost) OR doi IS NULL THEN NULL ELSE concat_ws('; ', CASE WHEN t THEN 'title' END, CASE WHEN y THEN 'year' END, CASE WHEN a THEN 'first author' END) END AS disagreements FROM m""")
 def match_references(spark, d):
     return A.match_references(*references(spark, d)).select("ref", "status", "found_doi", "disagreements")
 
