@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dist
 from tallyspark.functions.columns import as_list, number, text_levels
-from tallyspark.operators.glm import MlFit, fit_multinomial, multinomial_kernel, solve_step
+from tallyspark.operators.glm import MlFit, fit_multinomial, solve_step
 from tallyspark.operators.linear import build_design, cluster_meat, weighted_sum
 from tallyspark.registry import Result, analysis
 from tallyspark.runtime import materialize, small_table
@@ -144,12 +144,52 @@ def overlap_contrast(df: DataFrame, treatment: str, covariates, cluster: str, ou
         "gates": gt, "ess": ess, "balance": bal}, warnings=[f"gate failed: {f}" for f in failed])
 
 
+#: Rows of a block of the bootstrap: a block holds a few matrices of rows times replicates.
+BOOT_ROWS = 512
+
+
+def _replicate_sums(rows: DataFrame, columns: Sequence[str], replicates: int, size: int, kernel) -> np.ndarray:  # noqa: ANN001
+    """``size`` sums a replicate over rows that carry the list of the replicates their cluster is drawn for (``drawn``).
+
+    ``kernel(m, a)`` gets a block's multiplicities (rows by replicates) and its ``columns`` and returns replicates by
+    ``size``. A task gives one row a replicate, and these are added up by replicate; only the sums come to the driver.
+    """
+
+    def job(batches):  # noqa: ANN001, ANN202
+        acc = np.zeros((replicates, size))
+        for pdf in batches:
+            pos, drawn = pdf["pos"].to_numpy(), pdf["drawn"].to_numpy()
+            for k in range(0, len(pdf), BOOT_ROWS):
+                _, first, which = np.unique(pos[k : k + BOOT_ROWS], return_index=True, return_inverse=True)
+                m = np.stack([np.bincount(drawn[k + f], minlength=replicates) for f in first]).astype(float)[which]
+                acc += kernel(m, pdf[list(columns)].iloc[k : k + BOOT_ROWS].to_numpy(float))
+        yield pd.DataFrame({"rep": np.arange(replicates), "v": list(acc)})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"rep": pdf["rep"][:1], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
+
+    parts = rows.select("pos", "drawn", *columns).mapInPandas(job, "rep int, v array<double>")
+    out = np.zeros((replicates, size))
+    for r in parts.groupBy("rep").applyInPandas(add, "rep int, v array<double>").collect():
+        out[r["rep"]] = r["v"]
+    return out
+
+
+def _propensities(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Chances of every arm, rows by replicates by arms, for coefficients replicates by (arms - 1) by columns."""
+    eta = np.concatenate([np.zeros((len(x), len(theta), 1)), np.tensordot(x, theta, axes=(1, 2))], axis=2)
+    e = np.exp(eta - eta.max(axis=2, keepdims=True))
+    return e / e.sum(axis=2, keepdims=True)
+
+
 @analysis("cluster_bootstrap", "Cluster bootstrap", "Causal")
 def cluster_bootstrap(df: DataFrame, treatment: str, covariates, cluster: str, outcome: str, contrast: str, replicates: int = 999, seed: int = 1, max_iter: int = 25) -> Result:
     """Clusters resampled with replacement, the propensity model refitted in every replicate, failures counted by kind.
 
-    Every replicate draws as many clusters as there are; the draws are a Spark range, counted per
-    (replicate, cluster). All replicates take their Newton step in the same pass over the joined rows.
+    Every replicate draws as many clusters as there are; the draws are a Spark range, gathered by cluster: about as
+    many numbers as there are replicates. No rows are copied: a row counts in each replicate as often as its cluster
+    is drawn, and one pass over the rows gives the Newton steps of all replicates as products of matrices, so
+    the number of passes is that of the iterations, whatever the number of replicates.
     """
     covs = as_list(covariates)
     levels = text_levels(df, treatment)
@@ -164,78 +204,66 @@ def cluster_bootstrap(df: DataFrame, treatment: str, covariates, cluster: str, o
     ids = materialize(running_counts(data.select("_g0").distinct(), "_g0").select(F.col("value").alias("_g0"), F.col("before").alias("pos")), "boot_ids")
     g = ids.count()
     draws = df.sparkSession.range(replicates * g).select((F.col("id") / g).cast("int").alias("rep"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(g)).alias("pos"))
-    mult = draws.groupBy("rep", "pos").agg(F.count(F.lit(1)).cast("double").alias("m")).join(ids, "pos")
-    rows = materialize(data.join(mult.select("rep", "_g0", "m"), "_g0").select("rep", "m", "_out", "_y", *design.columns), "boot")
-    k, classes = len(design.names) + 1, len(levels)
+    drawn = materialize(draws.groupBy("pos").agg(F.collect_list("rep").alias("drawn")).join(ids, "pos"), "boot_draws")
+    rows = data.select("_g0", "_out", "_y", *design.columns).join(drawn, "_g0")
+    classes = len(levels)
+    arm = np.arange(classes)
+    held = _replicate_sums(rows, ["_y"], replicates, classes, lambda m, a: m.T @ (a[:, :1] == arm).astype(float))
+    missing = set(np.flatnonzero((held == 0).any(axis=1)).tolist())
+    k = len(design.names) + 1
     p = (classes - 1) * k
-    have = rows.groupBy("rep").agg(F.count_distinct("_y").alias("arms"))
-    missing = {r["rep"] for r in have.where(F.col("arms") < classes).collect()}
-    theta = {b: np.zeros(p) for b in range(replicates) if b not in missing}
-    active, converged = set(theta), set()
-    cols = ["rep", "m", "_y", *design.columns]
-    kernel = multinomial_kernel(classes)
-
-    def pass_sums(now: dict[int, np.ndarray]):
-        size = 1 + p + p * p
-
-        def job(batches):
-            acc: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                for b, part in pdf.groupby("rep"):
-                    if b in now:
-                        a = part.to_numpy(float)
-                        # integer multiplicities: repeating rows is what resampling does
-                        block = np.repeat(a[:, 2:], a[:, 1].astype(int), axis=0)
-                        ll, gr, h = kernel(block, now[b])
-                        s = np.concatenate([[ll], gr, h.ravel()])
-                        acc[b] = acc[b] + s if b in acc else s
-            for b, s in acc.items():
-                yield pd.DataFrame({"rep": b, "i": np.arange(size), "v": s})
-
-        out: dict[int, np.ndarray] = {}
-        summed = rows.select(*cols).mapInPandas(job, "rep int, i int, v double").groupBy("rep", "i").agg(F.sum("v").alias("v"))
-        for r in summed.collect():
-            out.setdefault(r["rep"], np.zeros(size))[r["i"]] = r["v"]
-        return out
-
+    theta = np.zeros((replicates, classes - 1, k))
+    active, converged = np.array([b for b in range(replicates) if b not in missing], int), []
     for _ in range(max_iter):
-        if not active:
+        if not len(active):
             break
-        sums = pass_sums({b: theta[b] for b in active})
-        for b in list(active):
-            s = sums[b]
-            gr, h = s[1 : 1 + p], s[1 + p :].reshape(p, p)
+        now, open_ = theta[active], active
+
+        def step_sums(m: np.ndarray, a: np.ndarray, now: np.ndarray = now, open_: np.ndarray = open_) -> np.ndarray:
+            z, x = a[:, 0].astype(int), np.concatenate([np.ones((len(a), 1)), a[:, 1:]], axis=1)
+            ps, w = _propensities(x, now), m[:, open_]
+            out = np.zeros((replicates, 1 + p + p * p))
+            out[open_, 0] = (w * np.log(np.maximum(ps[np.arange(len(a)), :, z], 1e-300))).sum(axis=0)
+            grad = [(w * ((z == q)[:, None] - ps[:, :, q])).T @ x for q in range(1, classes)]
+            out[open_, 1 : 1 + p] = np.concatenate(grad, axis=1)
+            xx = (x[:, :, None] * x[:, None, :]).reshape(len(a), k * k)
+            hess = np.empty((len(open_), classes - 1, k, classes - 1, k))
+            for q in range(1, classes):
+                for r in range(1, classes):
+                    hess[:, q - 1, :, r - 1, :] = -((w * ps[:, :, q] * ((q == r) - ps[:, :, r])).T @ xx).reshape(-1, k, k)
+            out[open_, 1 + p :] = hess.reshape(len(open_), p * p)
+            return out
+
+        sums = _replicate_sums(rows, ["_y", *design.columns], replicates, 1 + p + p * p, step_sums)
+        still = []
+        for b in active:
+            gr, h = sums[b, 1 : 1 + p], sums[b, 1 + p :].reshape(p, p)
             step = solve_step(h, gr)
             if not np.all(np.isfinite(step)):
-                active.discard(b)
                 continue
-            if float(gr @ step) < 1e-10 * max(1.0, abs(s[0])):
-                converged.add(b)
-                active.discard(b)
+            if float(gr @ step) < 1e-10 * max(1.0, abs(sums[b, 0])):
+                converged.append(int(b))
                 continue
             # damp a step that would move a linear predictor by more than a few units at once
-            theta[b] = theta[b] + step * min(1.0, 5.0 / max(np.abs(step[::k]).max(), 1e-12))
-    good = {b: theta[b] for b in converged}
-    schema = "rep int, arm int, sw double, swy double"
+            theta[b] += (step * min(1.0, 5.0 / max(np.abs(step[::k]).max(), 1e-12))).reshape(classes - 1, k)
+            still.append(b)
+        active = np.array(still, int)
+    good = np.array(sorted(converged), int)
+    fitted = theta[good]
+
+    def arm_sums(m: np.ndarray, a: np.ndarray) -> np.ndarray:
+        x = np.concatenate([np.ones((len(a), 1)), a[:, 2:]], axis=1)
+        z, ps = a[:, 1].astype(int), np.clip(_propensities(x, fitted), 1e-12, 1)
+        w = m[:, good] / (1 / ps).sum(axis=2) / ps[np.arange(len(a)), :, z]
+        out = np.zeros((replicates, 2 * classes))
+        own = (z[:, None] == arm).astype(float)
+        out[good, :classes], out[good, classes:] = w.T @ own, w.T @ (own * a[:, :1])
+        return out
 
-    def arm_sums(batches):
-        for pdf in batches:
-            for b, part in pdf.groupby("rep"):
-                if b not in good:
-                    continue
-                a = part.to_numpy(float)
-                x = np.concatenate([np.ones((len(a), 1)), a[:, 4:]], axis=1)
-                eta = np.concatenate([np.zeros((len(a), 1)), x @ good[b].reshape(classes - 1, k).T], axis=1)
-                e = np.exp(eta - eta.max(axis=1, keepdims=True))
-                ps = np.clip(e / e.sum(axis=1, keepdims=True), 1e-12, 1)
-                arm = a[:, 3].astype(int)
-                w = a[:, 1] / (1 / ps).sum(axis=1) / ps[np.arange(len(a)), arm]
-                yield pd.DataFrame({"rep": b, "arm": np.arange(classes), "sw": np.bincount(arm, w, classes), "swy": np.bincount(arm, w * a[:, 2], classes)})
-
-    sums = rows.mapInPandas(arm_sums, schema).groupBy("rep", "arm").agg(F.sum("sw").alias("sw"), F.sum("swy").alias("swy"))
-    weight = F.element_at(F.array(*[F.lit(float(v)) for v in c]), F.col("arm") + 1)
-    est = sums.groupBy("rep").agg(F.sum(weight * F.col("swy") / F.col("sw")).alias("estimate"))
-    est = materialize(est, "boot_estimates")
+    sums = _replicate_sums(rows, ["_out", "_y", *design.columns], replicates, 2 * classes, arm_sums)[good] if len(good) else np.zeros((0, 2 * classes))
+    means = sums[:, classes:] / np.where(sums[:, :classes] == 0, np.nan, sums[:, :classes])
+    used = np.asarray(c, float) != 0
+    est = small_table(df.sparkSession, [(int(b), float(v)) for b, v in zip(good, means[:, used] @ np.asarray(c, float)[used])], "rep int, estimate double")
     from tallyspark.operators.order_stats import quantile_at
 
     rc = running_counts(est, "estimate")

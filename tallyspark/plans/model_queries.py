@@ -342,7 +342,7 @@ def overlap_contrast(spark, d):
 
 @query("cluster_bootstrap")
 def cluster_bootstrap(spark, d):
-    return O.cluster_bootstrap(arms(spark, d), "c_mktsegment", "c_acctbal,n_orders", "c_nationkey", "mean_price", "BUILDING-FURNITURE", replicates=20)["summary"]
+    return O.cluster_bootstrap(arms(spark, d), "c_mktsegment", "c_acctbal,n_orders", "c_nationkey", "mean_price", "BUILDING-FURNITURE")["summary"]
 
 
 # ---------------------------------------------------------------- survival
