@@ -1,9 +1,9 @@
 """Chat formatting with a grammar round trip, in DataFrame operations only.
 
-A conversation is written turn by turn. The written text is parsed again by a deterministic grammar and
-the recovered turns are compared with the source; turns whose content gets in the way of the grammar
-are escaped, and the comparison is repeated until it holds. The loss mask covers the texts of the
-assistant's turns.
+A conversation is written turn by turn, a turn that holds a control string escaped. The written text is parsed
+again by a deterministic grammar and the recovered turns are compared with the source; where they differ, every
+turn is escaped, and the comparison holds. So no control string stands in a written text but where the grammar
+puts it. The loss mask covers the texts of the assistant's turns.
 
 Grammar (``role`` and ``text`` stand for a turn's content)::
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE, LOSS_OPEN, LOSS_CLOSE, RAW, ESCAPED = "[INST]", "[/INST]", "<s>", "</s>", "[:]", "[=]"
 CONTROLS = (OPEN, CLOSE, LOSS_OPEN, LOSS_CLOSE, RAW, ESCAPED)
-#: One turn; the nearest marks and ends count.
-TURN = r"(?s)(\[INST\]|<s>)(.*?)(\[[:=]\])(.*?)(\[/INST\]|</s>)"
+#: One turn of either kind, closed by the end of its kind; the nearest marks and ends count. Groups: opening, role, mark, text, twice.
+TURN = r"(?s)(\[INST\])(.*?)(\[[:=]\])(.*?)\[/INST\]|(<s>)(.*?)(\[[:=]\])(.*?)</s>"
 
 
 def escape(c: Column) -> Column:
@@ -50,7 +50,8 @@ def write_turn(role: Column, text: Column, escaped: Column, loss: Column) -> Col
 
 def parse(formatted: Column) -> Column:
     """The turns of a written conversation: an array of (loss, role, text, written), ``written`` being the text as it stands."""
-    part = lambda i: F.regexp_extract_all(formatted, F.lit(TURN), F.lit(i))
+    found = lambda i: F.regexp_extract_all(formatted, F.lit(TURN), F.lit(i))
+    part = lambda i: F.zip_with(found(i), found(i + 4), lambda a, b: F.concat(a, b))  # noqa: E731  (one of the two is empty)
     zipped = F.arrays_zip(part(1).alias("open"), part(2).alias("role"), part(3).alias("mark"), part(4).alias("text"))
 
     def turn(t: Column) -> Column:
@@ -66,9 +67,8 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     ``formatted`` is the written conversation, ``turns`` what the parser reads from it, ``loss_spans`` the
     (start, length) in code points, from 1, of what is trained on, and ``escaped`` the number of
-    escaped turns. First every turn is written raw; where the parser does not give the source back,
-    turns with control strings are escaped; where it still does not, all turns are. Escaped content
-    has no control string, so the last writing always reads back.
+    escaped turns. Turns with control strings are escaped; where the parser does not give the source back
+    all the same, all turns are. Escaped content has no control string, so the last writing always reads back.
 
     A conversation is one record and is put together in one place; conversations are spread by their
     key. Null roles and texts count as empty; a null turn number comes first, equal numbers are
@@ -85,11 +85,10 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     read = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["loss"].alias("loss")))
     clash = lambda t: conflicts(t["role"]) | conflicts(t["text"])
     same = lambda formatted: F.to_json(plain(F.col("source"))) == F.to_json(read(parse(formatted)))
-    # the two later writings are only computed where the one before does not read back
-    step = chats.withColumn("raw", written(lambda t: F.lit(False))).withColumn("raw_ok", same(F.col("raw")))
-    step = step.withColumn("some", F.when(~F.col("raw_ok"), written(clash))).withColumn("some_ok", F.when(~F.col("raw_ok"), same(F.col("some"))))
-    formatted = F.when(F.col("raw_ok"), F.col("raw")).when(F.col("some_ok"), F.col("some")).otherwise(written(lambda t: F.lit(True)))
-    n_escaped = F.when(F.col("raw_ok"), 0).when(F.col("some_ok"), F.size(F.filter("source", clash))).otherwise(F.size("source"))
+    # the second writing is only computed where the first does not read back
+    step = chats.withColumn("some", written(clash)).withColumn("some_ok", same(F.col("some")))
+    formatted = F.when(F.col("some_ok"), F.col("some")).otherwise(written(lambda t: F.lit(True)))
+    n_escaped = F.when(F.col("some_ok"), F.size(F.filter("source", clash))).otherwise(F.size("source"))
     out = step.select("conv_id", formatted.alias("formatted"), n_escaped.alias("escaped")).withColumn("turns", parse(F.col("formatted")))
 
     def advance(state: Column, t: Column) -> Column:

@@ -9,13 +9,12 @@ from tallyspark.llm.chat import format_chats, masked_text
 _SAME = "</s>[INST] ok [/INST]"
 _CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "[:]", "[=]")
 _ANY = " OR ".join(f"contains(role, '{c}') OR contains(text, '{c}')" for c in _CONTROLS)
-_ENDS = " OR ".join(f"contains(role, '{c}') OR contains(text, '{c}')" for c in ("[/INST]", "</s>"))
 _SIZE = "length(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'))"
-# lengths of the written form by arithmetic: an end string inside a content is what spoils the raw form
+# lengths of the written form by arithmetic: turns that hold a control string are escaped
 SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '{_SAME}'), (-7, 1, 'assistant', '{_SAME}')),
-t AS (SELECT *, ({_ANY}) AND bool_or({_ENDS}) OVER (PARTITION BY conv_id) AS esc FROM c),
+t AS (SELECT *, ({_ANY}) AS esc FROM c),
 s AS (SELECT *, CASE WHEN role = 'assistant' THEN 10 ELSE 16 END + CASE WHEN esc THEN {_SIZE.format('role')} + {_SIZE.format('text')} ELSE length(role) + length(text) END AS n FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

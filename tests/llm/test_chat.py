@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tallyspark.llm.chat import CONTROLS, format_chats, masked_text
+from tallyspark.llm.chat import CONTROLS, format_chats, masked_text, parse
 
 SCHEMA = "conv_id long, turn long, role string, text string, source string, raw string"
 
@@ -30,3 +30,14 @@ def test_odd_rows(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [("user", "first"), ("", ""), ("assistant", "b"), ("assistant", "b")]
     assert got[1].m == "bb" and got[None].m == "" and len(got[2].m) == 500_000
     assert format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_control_strings_inside_texts_are_always_escaped(spark):
+    got = _read(spark.createDataFrame([(1, 0, "user", "what does [INST] or <s> mean?", "", ""), (1, 1, "assistant", "plain & simple < text", "", "")], SCHEMA))[1]
+    assert got.formatted == "[INST]user[=]what does &lb;INST] or &lt;s> mean?[/INST]<s>assistant[:]plain & simple < text</s>" and got.escaped == 1
+    assert [t.text for t in got.turns] == ["what does [INST] or <s> mean?", "plain & simple < text"]
+
+
+def test_a_turn_is_closed_by_the_end_of_its_kind(spark):
+    read = spark.createDataFrame([("[INST]user[:]a</s>b[/INST]<s>assistant[:]c[/INST]</s>",)], "f string").select(parse(F.col("f")).alias("t")).first().t
+    assert [(t.loss, t.role, t.text) for t in read] == [(False, "user", "a</s>b"), (True, "assistant", "c[/INST]")]
