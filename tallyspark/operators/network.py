@@ -39,10 +39,23 @@ CLOCK_LABELS = {
     "operational-readiness": "Operational-readiness-binding",
 }
 CLOCK_SYNONYMS = {
-    "finance": ("financing", "funding"),
-    "fulfilment": ("fulfillment", "supplier", "production"),
-    "logistics": ("dispatch", "transport", "delivery", "customs"),
-    "operational-readiness": ("operational readiness", "readiness", "installation", "installation/set-up", "set-up", "setup", "commissioning", "training"),
+    "financing": "finance",
+    "funding": "finance",
+    "fulfillment": "fulfilment",
+    "supplier": "fulfilment",
+    "production": "fulfilment",
+    "dispatch": "logistics",
+    "transport": "logistics",
+    "delivery": "logistics",
+    "customs": "logistics",
+    "operational readiness": "operational-readiness",
+    "readiness": "operational-readiness",
+    "installation": "operational-readiness",
+    "installation/set-up": "operational-readiness",
+    "set-up": "operational-readiness",
+    "setup": "operational-readiness",
+    "commissioning": "operational-readiness",
+    "training": "operational-readiness",
 }
 INSTITUTIONAL_LABEL = "Institution-binding"
 INSTITUTIONAL_SYNONYMS = (
@@ -62,7 +75,7 @@ SOURCE_CLASSES = ("internal", "counterparty", "third-party", "public-authority")
 
 def clock_set(institutional: bool = False, merge_institutional: bool = False) -> tuple[dict[str, str], dict[str, str]]:
     """Labels and synonyms of the clocks: the five-clock set, the six-clock set, or the six-clock inputs merged into five."""
-    synonyms = {w: c for c, words in CLOCK_SYNONYMS.items() for w in words}
+    synonyms = dict(CLOCK_SYNONYMS)
     if not institutional:
         return dict(CLOCK_LABELS), synonyms
     synonyms |= {w: "institutional" for w in INSTITUTIONAL_SYNONYMS}
