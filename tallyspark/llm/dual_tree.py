@@ -164,23 +164,27 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id"
 
     ``is_query``: SQL condition that marks the queries; every other row is a candidate for each of
     them, a query not for itself (rows with its own id are left out). Ties go to the smaller id; a query
-    with fewer than k candidates gets all. Rows whose vector or id is null, whose vector is empty or
+    with fewer than k candidates gets all; of query rows with one id the one with the smallest vector asks. Rows whose vector or id is null, whose vector is empty or
     holds a null or non-finite component take no part; vectors of different lengths never meet. Repeated
-    rows are candidates as often as they come. Other columns are only read by ``is_query``. An empty
+    rows are candidates as often as they come. Scores are taken as exact products of doubles: where a squared
+    length reaches 2^53, so that a score could be rounded, an ArithmeticError is raised. Other columns are only read by ``is_query``. An empty
     table gives an empty result.
     """
     v = F.col(f"`{vector_col}`")
     whole = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")))
     sound = v.isNotNull() & F.col(f"`{id_col}`").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = materialize(vectors.where(sound).select(F.col(f"`{id_col}`").cast("long").alias("id"), whole.alias("vec"), F.size(v).alias("dim"), F.coalesce(F.expr(is_query), F.lit(False)).alias("asks")), "vectors")
-    counts = rows.agg(F.count_if("asks").alias("q"), F.count(F.lit(1)).alias("n")).first()
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    counts = rows.agg(F.count_if("asks").alias("q"), F.count(F.lit(1)).alias("n"), F.max(square).alias("most")).first()
+    if (counts["most"] or 0.0) >= 2.0**53:
+        raise ArithmeticError(f"a vector has the squared length {counts['most']:.3g}; scores of 2^53 and more are not exact")
     nq, np_ = max(1, math.ceil(counts["q"] / query_block)), max(1, math.ceil(counts["n"] / block))
     place = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
-    queries = rows.where("asks").select("id", "vec", "dim", place(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))).alias("pb"))
+    asking = rows.where("asks").groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    queries = asking.select("id", "vec", "dim", place(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))).alias("pb"))
     points = rows.select("id", "vec", "dim", place(np_).alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        q = q.drop_duplicates("id")
         best, _ = search(_matrix(q["vec"]), q["id"].to_numpy(), _matrix(p["vec"]), p["id"].to_numpy(), k)
         real = best.score > NONE
         at = np.nonzero(real)[0]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tallyspark.llm.dual_tree import CoverTree, search, top_k
 
@@ -47,3 +48,16 @@ def test_repeated_rows_are_candidates_as_often_as_they_come(spark):
     d = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0]), (0, [1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(d, "vec_id = 0", 3).collect())
     assert got == [(0, 1, 1, 8192), (0, 2, 1, 8192)]
+
+
+def test_a_query_number_with_two_vectors_asks_with_the_smallest(spark):
+    d = spark.createDataFrame([(0, [3.0]), (0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<double>")
+    for block in (1, 100):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(d, "vec_id = 0", 3, query_block=block).collect())
+        assert got == [(0, 1, 1, 64 * 128), (0, 2, 2, -64 * 64)]
+
+
+def test_scores_that_could_be_rounded_are_refused(spark):
+    d = spark.createDataFrame([(0, [1e16, 1.0]), (1, [3e15, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ArithmeticError):
+        top_k(d, "vec_id = 0")
