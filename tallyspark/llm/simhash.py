@@ -271,8 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked if the sets of their ``k``-word shingles (A-Z lowered, one space between words)
     have a Jaccard similarity of at least ``similarity``; a group is what chains of links connect. The
     smallest id of a group stays, null ids last. Candidates come from 128-bit fingerprints of the sets
-    at most ``radius`` bits apart: a long pair at 0.8 differs in 19 bits with a deviation of 4, so about 999 of 1000
-    such pairs lie within 32, closer ones nearly always, and unrelated ones almost never. Small sets, whose
+    at most ``radius`` bits apart: a long pair at 0.8 differs in 19 bits with a deviation of 4, so 0.1% to 0.26% of the
+    pairs at exactly 0.8 lie beyond 32 and are lost; closer ones nearly always lie within, unrelated ones almost never. Small sets, whose
     fingerprints scatter more, lose nothing: where the smaller one has up to ``FEW`` shingles, candidates also come
     from shared shingles, which is exact. Candidates form clusters, in
     which every pair is tested exactly, by blocks of ``BLOCK`` documents for two blocks at a time, and
