@@ -3,43 +3,72 @@
 A page is read into blocks of text. Costs of a classifier become the capacities to the two terminals
 (content, boilerplate); blocks that follow each other and blocks under one parent get smoothness edges,
 the stronger the nearer they are in the DOM. The maximum flow gives the cheapest cut, and the blocks on
-the source's side are the text. Blocks whose own cost outweighs all their edges are decided beforehand, which
-no cheapest cut contradicts, so that the flow runs over what is in doubt.
+the source's side are the text.
+
+Costs are log odds of seven features of a block (region, class names, length, links, ending, element,
+place). They and the edges are fitted to the table: marked blocks (an article's, furniture's) count as labelled
+with ``TRUST``, the labels of the others are estimated by expectation-maximisation over counts of feature patterns,
+of which there are at most 6,912. The fixed values below count as ``BELIEF`` blocks of prior. A mark is evidence
+among others: text that looks like an article's and its neighbours speak against a class name.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.runtime import materialize
+
 #: A comment, a tag (attributes may hold quoted ">"), or another declaration.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msubsup msup mtext q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page, read up to their end tag.
-RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg math object canvas audio video select".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg annotation annotation-xml object canvas audio video select".split())
 #: An element of the first kind ends an open one of the second.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPES = frozenset("ul ol dl table article section div main aside nav form body html".split())
 #: Elements, roles and words of class and id that mark what is not the article.
-NOT_TEXT = frozenset("nav footer aside form menu dialog button fieldset noscript label legend".split())
+NOT_TEXT = frozenset("nav footer aside form menu dialog button fieldset noscript legend".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup privacy promo promoted promotion recommended related rail search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget".split())
 COMMENTS = frozenset("comment comments commentlist disqus discussion reply replies respond responses".split())
 TEXT_WORDS = frozenset("article content entry main post story text".split())
+#: Words that add nothing to a class name: "ad-slot" is an "ad", but "notice-period" is not a "notice".
+NEUTRAL = frozenset("area bar block bottom box button center col column container content group head holder inner item items left link links list main module outer panel placeholder post posts right row section slot top unit wrap wrapper zone".split())
 OWN_LINE = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)|all rights reserved", re.I)
-#: Units of capacity in a unit of cost; costs of a sure sign; smoothness of neighbours.
-UNIT, SURE, FOLLOWS, SIBLING = 100, 12.0, 1.5, 1.0
+#: Units of capacity in a unit of cost.
+UNIT = 100
+#: What share of content and of boilerplate has each value of a feature, and the largest log odds a value may have.
+SHARES: list[tuple[str, float, list[tuple[float, float]]]] = [
+    ("region: none, article, furniture", 7.0, [(0.36, 0.35), (0.6395, 0.05), (0.0005, 0.6)]),
+    ("class: none, partly furniture, furniture, comments", 7.0, [(0.949, 0.6), (0.05, 0.1), (0.0005, 0.2), (0.0005, 0.1)]),
+    ("words: 1-2, 3-9, 10-39, 40 and more", 1.0, [(0.07, 0.3), (0.2, 0.35), (0.38, 0.2), (0.35, 0.15)]),
+    ("linked part: none, under 0.3, under 0.8, more", 2.0, [(0.8, 0.4), (0.15, 0.05), (0.03, 0.1), (0.02, 0.45)]),
+    ("end: a stop, none, a line of ownership outside the article", 7.0, [(0.7, 0.35), (0.299, 0.5), (0.001, 0.15)]),
+    ("element: heading, paragraph, list, other", 1.0, [(0.12, 0.07), (0.6, 0.3), (0.13, 0.33), (0.15, 0.3)]),
+    ("place: first tenth, middle, last tenth", 1.0, [(0.1, 0.25), (0.8, 0.5), (0.1, 0.25)]),
+]
+SIZES = [len(v) for _, _, v in SHARES]
+#: Log odds of content before any feature; most that an article's mark, and that a stop or none, may add; blocks that the prior counts for; how sure a mark is when costs are fitted.
+BIAS, ARTICLE_MOST, STOP_MOST, BELIEF, TRUST = 0.3, 2.5, 1.0, 200.0, 0.995
+#: Smoothness by steps in the DOM from a block to the next one (the last: 12 and more), then of neighbours under one parent; the range a fitted one may have.
+SMOOTH = [1.5 / (1 + steps / 2) for steps in range(13)] + [1.0]
+SMOOTH_RANGE = (0.1, 2.5)
+#: Steps that it takes to leave an element that is marked as article or furniture.
+BORDER = 3
 
 
 @dataclass(slots=True)
@@ -49,7 +78,7 @@ class Element:
     tag: str
     number: int
     depth: int
-    bad: str  # "" / "hint" (class or id) / "sure" / "comment"
+    bad: str  # "" / "partly" or "hint" (class or id, some or all words of a name) / "sure" / "comment"
     article: bool
     link: bool
     parent: "Element | None"
@@ -70,19 +99,23 @@ def _open(tag: str, raw: str, parent: Element, number: int) -> Element:
         return Element(tag, number, parent.depth, bad, article, link, parent)
     given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if raw.strip(" />") else {}
     role, style = given.get("role", "").lower(), given.get("style", "").replace(" ", "").lower()
-    names = {w.lower() for w in WORD_PARTS.findall(f"{given.get('class', '')} {given.get('id', '')}")} if tag not in ("html", "body") else frozenset()
+    labels = [{w.lower() for w in WORD_PARTS.findall(x)} for x in f"{given.get('class', '')} {given.get('id', '')}".split()] if tag not in ("html", "body") else []
+    names = set().union(*labels)
+    whole = lambda known: any(x & known and x <= known | NEUTRAL for x in labels)
     if tag in ("article", "main") or role in ("main", "article"):
-        if bad in ("", "hint") and not (tag == "article" and article and parent.parent and _within(parent, "article")) and not names & COMMENTS:
-            return Element(tag, number, parent.depth + 1, "sure" if names & {"ad", "ads", "sponsored"} else "", True, link, parent)
+        if bad in ("", "partly", "hint") and not (tag == "article" and article and parent.parent and _within(parent, "article")) and not whole(COMMENTS):
+            return Element(tag, number, parent.depth + 1, "sure" if whole(NOT_WORDS) else "", True, link, parent)
         return Element(tag, number, parent.depth + 1, "comment", False, link, parent)  # an article in an article is a reader's comment
-    if bad in ("", "hint"):
+    if bad in ("", "partly", "hint"):
         if tag in NOT_TEXT or role in NOT_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or (tag == "header" and not article):
             bad = "sure"
-        elif names & COMMENTS:
+        elif whole(COMMENTS):
             bad = "comment"
-        elif names & NOT_WORDS or ("header" in names and not article and not names & TEXT_WORDS):
+        elif whole(NOT_WORDS) or ("header" in names and not article and not names & TEXT_WORDS):
             bad = "hint"
-    return Element(tag, number, parent.depth + 1, bad, article or (not bad and bool(names & TEXT_WORDS)), link, parent)
+        elif names & (NOT_WORDS | COMMENTS) and not bad:
+            bad = "partly"
+    return Element(tag, number, parent.depth + 1, bad, article or (bad in ("", "partly") and bool(names & TEXT_WORDS)), link, parent)
 
 
 def _within(e: Element | None, tag: str) -> bool:
@@ -169,79 +202,155 @@ def read_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def cost(b: Block) -> float:
-    """Log odds that a block is content."""
-    if b.holder.bad in ("sure", "comment"):
-        return -SURE
+def pattern(b: Block, i: int, n: int) -> int:
+    """The values of a block's features, the i-th of n on its page, as one number."""
+    bad, tag = b.holder.bad, b.holder.tag
+    region = 2 if bad == "sure" else 1 if b.holder.article and bad in ("", "partly") else 0
     words = b.text.count(" ") + 1
     linked = min(1.0, b.linked / max(1, len(b.text)))
-    s = 3.0 * min(words, 40) / 40 + 0.3 + (0.5 if b.text[-1] in ".!?…:;\"'”»)" else -0.2) - 4.0 * max(0.0, linked - 0.3)
-    if b.holder.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        s += 0.5
-    if b.holder.article:
-        s += 3.0
-    if b.holder.bad == "hint":
-        s -= SURE
-    elif not b.holder.article and words < 40 and OWN_LINE.search(b.text):
-        s -= 6.0
-    return s
-
-
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between blocks that follow each other, and between neighbours under one parent."""
+    own = region != 1 and words < 40 and OWN_LINE.search(b.text)
+    values = (
+        region,
+        {"partly": 1, "hint": 2, "comment": 3}.get(bad, 0),
+        0 if words < 3 else 1 if words < 10 else 2 if words < 40 else 3,
+        0 if linked == 0 else 1 if linked < 0.3 else 2 if linked < 0.8 else 3,
+        2 if own else 0 if b.text[-1] in ".!?…:;\"'”»)" else 1,
+        0 if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 1 if tag in ("p", "pre", "blockquote", "dd", "td", "figcaption") else 2 if tag in ("li", "dt", "ul", "ol", "dl") else 3,
+        1 if n < 3 else 0 if i < n / 10 else 2 if i >= n - n / 10 else 1,
+    )
+    code = 0
+    for v, size in zip(values, SIZES):
+        code = code * size + v
+    return code
+
+
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """Edges (block, block, kind) between blocks that follow each other, and between neighbours under one parent; kinds as in ``SMOOTH``."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].holder
-            x, y, steps = a, b.holder, 0
+            x, y, steps = blocks[i - 1].holder, b.holder, 0
             while x is not y and steps < 12:  # the way over the nearest common ancestor; further is as good as apart
                 if x.depth >= y.depth and x.parent is not None:
-                    x = x.parent
+                    up, x = x, x.parent
                 elif y.parent is not None:
-                    y = y.parent
+                    up, y = y, y.parent
                 else:
                     break
-                steps += 1
-            edges.append((i - 1, i, FOLLOWS / (1 + steps / 2)))
+                steps += 1 if (up.bad, up.article) == (up.parent.bad, up.parent.article) else BORDER
+            edges.append((i - 1, i, min(steps, 12)))
         up = b.holder.parent.number if b.holder.parent else 0
         if up in last and last[up] != i - 1:
-            edges.append((last[up], i, SIBLING))
+            edges.append((last[up], i, 13))
         last[up] = i
     return edges
 
 
+@dataclass(frozen=True)
+class Costs:
+    """Log odds of content by feature and value, before any feature, and the smoothness of each kind of edge."""
+
+    odds: tuple[tuple[float, ...], ...]
+    bias: float
+    smooth: tuple[float, ...]
+
+    def of(self, code: int) -> float:
+        s = self.bias
+        for values, size in zip(reversed(self.odds), reversed(SIZES)):
+            code, v = divmod(code, size)
+            s += values[v]
+        return s
+
+    def labels(self, blocks: list[Block]) -> list[bool]:
+        """The blocks of a page that the cheapest cut takes for content."""
+        codes = [pattern(b, i, len(blocks)) for i, b in enumerate(blocks)]
+        return min_cut([self.of(c) for c in codes], [(a, b, self.smooth[k]) for a, b, k in edges_of(blocks)])
+
+
+def _odds(content: list[np.ndarray], other: list[np.ndarray]) -> tuple[tuple[float, ...], ...]:
+    out = []
+    for f, ((_, most, _), x, y) in enumerate(zip(SHARES, content, other)):
+        v = np.clip(np.log(x / x.sum()) - np.log(y / y.sum()), -most, most)
+        v = np.minimum(v, ARTICLE_MOST) if f == 0 else np.r_[np.clip(v[:2], -STOP_MOST, STOP_MOST), v[2:]] if f == 4 else v
+        out.append(tuple(float(z) for z in v))
+    return tuple(out)
+
+
+_FIRST = [[np.array([pair[side] for pair in v]) for _, _, v in SHARES] for side in (0, 1)]
+#: The fixed values, not fitted to anything.
+GIVEN = Costs(_odds(*_FIRST), BIAS, tuple(SMOOTH))
+
+
+def fit_costs(pages: DataFrame, html_col: str = "html", rounds: int = 100) -> Costs:
+    """Costs and edges fitted to all blocks of a table, without labels. A table without blocks gives the fixed values.
+
+    Expectation-maximisation over the counts of feature patterns, then one pass over the edges for the expected number
+    of equal and unequal ends of each kind. At most 6,912 patterns and 14 kinds of edges come to the driver.
+    """
+
+    def shapes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for page in part["html"]:
+                blocks = read_blocks(page or "")
+                edges = edges_of(blocks)
+                rows.append(([pattern(b, i, len(blocks)) for i, b in enumerate(blocks)], [e[0] for e in edges], [e[1] for e in edges], [e[2] for e in edges]))
+            yield pd.DataFrame(rows, columns=["codes", "a", "b", "kind"])
+
+    shape = materialize(pages.select(F.col(f"`{html_col}`").alias("html")).mapInPandas(shapes, "codes array<int>, a array<int>, b array<int>, kind array<int>"), "shapes")
+    counted = shape.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()
+    if not counted:
+        return GIVEN
+    n = np.array([r["n"] for r in counted], float)
+    values = np.array(np.unravel_index([r["code"] for r in counted], SIZES))
+    marked = np.where((values[0] == 2) | (values[1] >= 2), 1 - TRUST, np.where(values[0] == 1, TRUST, np.nan))
+    costs = GIVEN
+    for _ in range(rounds):
+        s = costs.bias + sum(np.array(o)[v] for o, v in zip(costs.odds, values))
+        p = np.where(np.isnan(marked), 1 / (1 + np.exp(-s)), marked)
+        sides = [[BELIEF * prior + np.bincount(v, n * q, size) for prior, v, size in zip(first, values, SIZES)] for first, q in zip(_FIRST, (p, 1 - p))]
+        share = (BELIEF / (1 + math.exp(-BIAS)) + (n * p).sum()) / (BELIEF + n.sum())
+        new = Costs(_odds(*sides), float(np.clip(math.log(share / (1 - share)), -1, 1)), costs.smooth)
+        moved = max(abs(x - y) for a, b in zip(new.odds, costs.odds) for x, y in zip(a, b))
+        costs = new
+        if moved < 1e-6:
+            break
+    known = {r["code"]: 1 / (1 + math.exp(-costs.of(r["code"]))) for r in counted}
+
+    def equal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(SMOOTH), 2))
+        for part in parts:
+            for codes, a, b, kind in zip(part["codes"], part["a"], part["b"], part["kind"]):
+                p = np.array([known[c] for c in codes])
+                x, y, k = p[np.asarray(a, int)], p[np.asarray(b, int)], np.asarray(kind, int)
+                total[:, 0] += np.bincount(k, x * y + (1 - x) * (1 - y), len(SMOOTH))
+                total[:, 1] += np.bincount(k, minlength=len(SMOOTH))
+        yield pd.DataFrame({"kind": range(len(SMOOTH)), "same": total[:, 0], "n": total[:, 1]})
+
+    sums = {r["kind"]: (r["same"], r["n"]) for r in shape.mapInPandas(equal, "kind int, same double, n double").groupBy("kind").agg(F.sum("same").alias("same"), F.sum("n").alias("n")).collect()}
+    smooth = []
+    for k, first in enumerate(SMOOTH):
+        same, count = sums.get(k, (0.0, 0.0))
+        p = (BELIEF / (1 + math.exp(-first)) + same) / (BELIEF + count)
+        smooth.append(round(min(max(math.log(p / (1 - p)), SMOOTH_RANGE[0]), SMOOTH_RANGE[1]), 6))
+    return Costs(tuple(tuple(round(x, 6) for x in o) for o in costs.odds), round(costs.bias, 6), tuple(smooth))
+
+
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labels (content or not) of least cost: what a block's own cost loses plus the edges cut. Ties are boilerplate."""
-    n = len(costs)
     c = [round(UNIT * x) for x in costs]
-    near: list[dict[int, int]] = [{} for _ in range(n)]
+    near: dict[tuple[int, int], int] = {}
     for a, b, w in edges:
         if a != b and (w := round(UNIT * w)) > 0:
-            near[a][b] = near[a].get(b, 0) + w
-            near[b][a] = near[b].get(a, 0) + w
-    label: list[bool | None] = [None] * n
-    todo = deque(range(n))
-    while todo:  # a cost above the sum of its edges decides a block; its edges then move into its neighbours' costs
-        i = todo.popleft()
-        if label[i] is not None or not (abs(c[i]) > sum(near[i].values()) or not near[i]):
-            continue
-        label[i] = c[i] > 0
-        for j, w in near[i].items():
-            c[j] += w if label[i] else -w
-            del near[j][i]
-            todo.append(j)
-        near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        inside = _source_side({i: k for k, i in enumerate(rest)}, rest, c, near)
-        for k, i in enumerate(rest):
-            label[i] = k in inside
-    return [bool(x) for x in label]
-
-
-def _source_side(place: dict[int, int], rest: list[int], c: list[int], near: list[dict[int, int]]) -> set[int]:
+            key = (min(a, b), max(a, b))
+            near[key] = near.get(key, 0) + w
+    inside = _source_side(c, near)
+    return [i in inside for i in range(len(c))]
+
+
+def _source_side(c: list[int], near: dict[tuple[int, int], int]) -> set[int]:
     """Maximum flow by shortest augmenting levels; what the source still reaches afterwards."""
-    n = len(rest)
+    n = len(c)
     source, sink = n, n + 1
     to: list[int] = []
     cap: list[int] = []
@@ -253,14 +362,13 @@ def _source_side(place: dict[int, int], rest: list[int], c: list[int], near: lis
         to.extend((b, a))
         cap.extend((forth, back))
 
-    for k, i in enumerate(rest):
-        if c[i] > 0:
-            arc(source, k, c[i], 0)
-        elif c[i] < 0:
-            arc(k, sink, -c[i], 0)
-        for j, w in near[i].items():
-            if j > i:
-                arc(k, place[j], w, w)
+    for i, x in enumerate(c):
+        if x > 0:
+            arc(source, i, x, 0)
+        elif x < 0:
+            arc(i, sink, -x, 0)
+    for (i, j), w in near.items():
+        arc(i, j, w, w)
     while True:
         level = [-1] * (n + 2)
         level[source] = 0
@@ -299,25 +407,41 @@ def _source_side(place: dict[int, int], rest: list[int], c: list[int], near: lis
             a = to[e]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, costs: Costs = GIVEN) -> str:
     """The article of a page, its blocks joined by line ends; empty if there is none."""
     blocks = read_blocks(page or "")
-    keep = min_cut([cost(b) for b in blocks], smoothness(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep) if k)
+    return "\n".join(b.text for b, k in zip(blocks, costs.labels(blocks)) if k)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", costs: Costs | None = None) -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of each row and its number of code points.
 
-    Null and empty pages give an empty text; nothing is dropped or shortened, whatever the length of a page. Null ids
-    and urls stay null, repeated rows give repeated results, other columns are not read. An empty table
-    gives an empty result.
+    ``costs`` are fitted to the table where none are given. Null and empty pages give an empty text; nothing is dropped
+    or shortened, whatever the length of a page. Null ids and urls stay null, repeated rows give repeated results,
+    other columns are not read. An empty table gives an empty result.
     """
     src = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    fitted = costs or fit_costs(src)
 
     @F.pandas_udf("string")
     def text(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for c in column:
-            yield pd.Series([main_text(x) for x in c], dtype=object)
+            yield pd.Series([main_text(x, fitted) for x in c], dtype=object)
 
     return src.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def cut_changes(pages: DataFrame, costs: Costs, html_col: str = "html") -> DataFrame:
+    """``blocks, changed, pages_changed``: blocks in all, blocks whose label in the cut is not the sign of their own cost, and pages with such blocks."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for page in part["html"]:
+                blocks = read_blocks(page or "")
+                own = [costs.of(pattern(b, i, len(blocks))) > 0 for i, b in enumerate(blocks)]
+                rows.append((len(blocks), sum(x != y for x, y in zip(own, costs.labels(blocks)))))
+            yield pd.DataFrame(rows, columns=["blocks", "changed"])
+
+    each = pages.select(F.col(f"`{html_col}`").alias("html")).mapInPandas(count, "blocks long, changed long")
+    return each.agg(F.sum("blocks").alias("blocks"), F.sum("changed").alias("changed"), F.count_if(F.col("changed") > 0).alias("pages_changed"))

@@ -3,7 +3,7 @@ from random import Random
 
 import duckdb
 
-from tallyspark.llm.html_cut import extract, main_text, min_cut, read_blocks
+from tallyspark.llm.html_cut import GIVEN, cut_changes, edges_of, extract, fit_costs, main_text, min_cut, pattern, read_blocks
 
 PAGE = """<!DOCTYPE html><html class="sidebar-left"><head><title>T</title><style>p{}</style></head><body class="has-comments"><header class="site-header"><a href="/">Home</a><h2>Site</h2></header>
 <div id="cookie-banner">We use cookies. <button>Accept</button></div><div class="wrapper with-sidebar"><ul class="menu"><li><a href=a>One</a><li><a href=b>Two</a></ul>
@@ -42,6 +42,43 @@ def test_pages_without_an_article_element():
     assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == main_text("<!-- <p>x</p>") == ""
 
 
+RELATED = """<article><h1>T</h1><p>Long text of an article that goes on for a while here.</p><div class="related-work"><h2>Related work</h2><p>Other people did this before.</p></div>
+<section class="notice-period"><p>Three months of notice.</p></section><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <label>a label</label> stay.</p><div class="ad-slot">Buy it!</div></article>"""
+
+
+def test_a_class_name_does_not_take_text_from_an_article():
+    assert main_text(RELATED).split("\n") == ["T", "Long text of an article that goes on for a while here.", "Related work", "Other people did this before.", "Three months of notice.", "So x=2 and a label stay."]
+
+
+#: No mark tells the article here: a list and short lines inside it are content by their neighbours only.
+UNMARKED = "<div><h2>Heading</h2><p>Some text that is long enough to be read as a paragraph of it all.</p><ul><li>one</li></ul><p>More text that is long enough to be read as a paragraph of it all.</p></div><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"
+
+
+def test_neighbours_decide_where_a_block_alone_would_not(spark):
+    blocks = read_blocks(UNMARKED)
+    own = [GIVEN.of(pattern(b, i, len(blocks))) > 0 for i, b in enumerate(blocks)]
+    assert [b.text for b, k in zip(blocks, own) if k] != main_text(UNMARKED).split("\n")
+    assert main_text(UNMARKED).split("\n")[-3:] == [blocks[1].text, "one", blocks[3].text]
+    got = cut_changes(spark.createDataFrame([(UNMARKED,), (PAGE,), (None,)], "html string"), GIVEN).first()
+    assert got.changed >= 1 and got.pages_changed == 1
+
+
+def test_whole_pages_are_cut_at_least_cost():
+    for page in (RELATED, UNMARKED):
+        blocks = read_blocks(page)
+        costs = [GIVEN.of(pattern(b, i, len(blocks))) for i, b in enumerate(blocks)]
+        edges = [(a, b, GIVEN.smooth[k]) for a, b, k in edges_of(blocks)]
+        value = lambda x: sum(-round(100 * c) if k else 0 for c, k in zip(costs, x)) + sum(round(100 * w) for a, b, w in edges if x[a] != x[b])  # noqa: B023, E731
+        assert 5 < len(blocks) < 12 and value(GIVEN.labels(blocks)) == min(value(x) for x in product((False, True), repeat=len(blocks)))
+
+
+def test_costs_are_fitted_to_the_table(spark):
+    d = "/root/testdata/sf0.01"
+    fitted = fit_costs(spark.read.parquet(f"{d}/pages.parquet"))
+    assert fitted != GIVEN and fitted.odds[0][1] > 0 > fitted.odds[0][2] and fitted.odds[2][0] < 0 < fitted.odds[2][3] and fitted.smooth[2] > fitted.smooth[7]
+    assert fit_costs(spark.createDataFrame([(None,), ("",)], "html string")) == GIVEN
+
+
 def test_broken_markup_and_a_long_page_are_read_whole():
     assert [b.text for b in read_blocks("<p>a<p>b<li>c</i></div>d<td title='>'>e")] == ["a", "b", "c", "d", "e"]
     page = "<article>" + "".join(f"<p>Paragraph number {i} of a long page, with words enough.</p><div class=ad>Buy {i}</div>" for i in range(20_000)) + "</article>"
