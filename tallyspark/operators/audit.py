@@ -80,9 +80,39 @@ def personal_data_scan(df: DataFrame, columns=None) -> DataFrame:
     return rows.unionByName(names)
 
 
+def without_noise(text: Column) -> Column:
+    """The text without links and publication numbers. Every one of them holds a slash, a colon or the letters b and n in a row."""
+    return F.when(text.contains("/") | text.contains(":") | text.rlike("[bB][nN]"), F.regexp_replace(text, I.TEXT_NOISE, " ")).otherwise(text)
+
+
+def name_counts(body: DataFrame, names: DataFrame) -> DataFrame:
+    """``file, location, count`` of the units in ``body`` that hold listed names, in any case, between word boundaries.
+
+    ``names`` (column ``name``) may be of any size: texts and names meet at a name's rarest word, and only such pairs are
+    searched, so the time follows the occurrences of those words and not the number of names. Occurrences of one name do
+    not overlap. Repeated names count once. Null names, names under three characters and names without a letter, digit
+    or underscore find nothing. Equal texts are searched once.
+    """
+    fold = lambda w: F.replace(F.lower(F.upper(w)), F.lit("i\u0307"), F.lit("i"))
+    words = lambda c: F.array_distinct(F.transform(F.array_remove(F.split(c, r"(?U)\W+"), ""), fold))
+    listed = names.select(F.col("name").cast("string").alias("name")).where(F.length("name") >= 3).distinct()
+    parts = listed.select("name", F.explode(words(F.col("name"))).alias("word"))
+    keyed = body.select("file", "location", "text", F.md5(F.col("text").cast("binary")).alias("key"))
+    held = keyed.select("key", F.explode(words(without_noise(F.col("text")))).alias("word"))
+    held = materialize(held.join(parts.select("word").distinct(), "word", "left_semi").distinct(), "listed_words")
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # a name with a word that no text holds occurs nowhere
+    rarest = parts.join(often, "word", "left").groupBy("name").agg(F.min(F.struct("n", "word")).alias("least"), F.bool_and(F.col("n").isNotNull()).alias("all")).where("all")
+    pairs = held.join(rarest.select("name", F.col("least.word").alias("word")), "word").select("key", "name")
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace("name", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
+    texts = keyed.select("key", "text").join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    counts = texts.join(pairs, "key").select("key", F.regexp_count(without_noise(F.col("text")), pattern).alias("n")).groupBy("key").agg(F.sum("n").cast("long").alias("count"))
+    return keyed.select("file", "location", "key").join(counts.where("count > 0"), "key").select("file", "location", "count")
+
+
 def text_kinds(text: Column, names: Sequence[str] = (), allow_amounts: Sequence[str] = ()) -> dict[str, Column]:
     """Number of occurrences of every kind of personal or confidential data in a text unit."""
-    clean = F.regexp_replace(text, I.TEXT_NOISE, " ")
+    clean = without_noise(text)
     found = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
     how_many = lambda t, p, ok: F.size(F.filter(found(t, p), ok))
     amounts = clean
@@ -116,20 +146,23 @@ def _wording_hits(rule: Mapping) -> Column:
 
 
 @analysis("text_audit", "Text audit", "Privacy")
-def text_audit(units: DataFrame, rules: Sequence[Mapping] = (), names: Sequence[str] = (), allow_amounts: Sequence[str] = (), exempt_locations: Sequence[str] = ()) -> Result:
+def text_audit(units: DataFrame, rules: Sequence[Mapping] = (), names: Sequence[str] | DataFrame = (), allow_amounts: Sequence[str] = (), exempt_locations: Sequence[str] = ()) -> Result:
     """Personal data and outdated wording in text units ``(file, location, text)``.
 
     Personal findings carry kind and place only. A wording rule has ``pattern``, ``issue`` and
     optionally ``severity``, ``current`` and ``flags``; locations matching an exemption are not
-    checked for wording. A file without any non-empty unit is unreadable, not clean.
+    checked for wording. Listed names are a list or a table with a column ``name``. A file without any non-empty unit is unreadable, not clean.
     """
     # white space alone is no text; everything else is scanned whole
     body = units.where(strip_space(F.coalesce("text", F.lit(""))) != "")
-    counts = text_kinds(F.col("text"), names, allow_amounts)
+    counts = text_kinds(F.col("text"), (), allow_amounts)
     severity = lambda k: "HIGH" if k in HIGH else "MEDIUM"
-    entries = [F.struct(F.lit("personal or confidential data").alias("check"), F.lit(KINDS[k]).alias("finding"), c.cast("long").alias("count"), F.lit(severity(k)).alias("severity"),
-                        F.lit("remove or replace with a pseudonymised code").alias("action"), F.lit("").alias("matched")) for k, c in counts.items()]
-    found = body.select("file", "location", F.inline(F.array(*entries))).where("count > 0")
+    entry = lambda k, c: F.struct(F.lit("personal or confidential data").alias("check"), F.lit(KINDS[k]).alias("finding"), c.cast("long").alias("count"), F.lit(severity(k)).alias("severity"),
+                                  F.lit("remove or replace with a pseudonymised code").alias("action"), F.lit("").alias("matched"))
+    found = body.select("file", "location", F.inline(F.array(*[entry(k, c) for k, c in counts.items() if k != "listed"]))).where("count > 0")
+    given = names if isinstance(names, DataFrame) else units.sparkSession.createDataFrame([(n,) for n in names], "name string") if len(names) else None
+    if given is not None:
+        found = found.unionByName(name_counts(body, given).select("file", "location", F.inline(F.array(entry("listed", F.col("count"))))))
     if rules:
         exempt = reduce(lambda a, b: a | b, [F.col("location").rlike(f"(?iU){p}") for p in exempt_locations], F.lit(False))
         packs = [_wording_hits(r) for r in rules]

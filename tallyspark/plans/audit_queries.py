@@ -85,6 +85,19 @@ def text_audit_kinds(spark, d):
     return f.groupBy("check", "finding", "severity").agg(F.sum("count").alias("n"))
 
 
+# the list grows with the table: the first two words of every document, of ASCII letters and different from each other
+@query("text_audit_names", f"""WITH {_UNITS}, n AS (SELECT DISTINCT lower(x) AS name FROM (SELECT regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') AS x FROM documents) WHERE x <> '' AND lower(split_part(x, ' ', 1)) <> lower(split_part(x, ' ', 2))),
+  w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(t, '(?i)https?://\\S+|\\bdoi:\\s*\\S+|\\b10\\.\\d{{4,9}}/\\S+|\\bISBN[\\s:-]*[\\dXx-]{{10,17}}', ' ', 'g')), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w FROM u),
+  g AS (SELECT doc_id, unnest([w[i] || w[i + 1] || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS name FROM w)
+  SELECT CAST(doc_id AS VARCHAR) AS file, count(*) AS n FROM g JOIN n USING (name) GROUP BY 1""")
+def text_audit_names(spark, d):
+    docs = V.documents(spark, d)
+    two = F.split(F.lower(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0)), " ")
+    names = docs.where(F.size(two) == 2).where(two[0] != two[1]).select(F.array_join(two, " ").alias("name"))
+    f = A.text_audit(A.split_units(docs, "doc_id", "text"), names=names)["findings"]
+    return f.where("finding = 'listed name'").groupBy("file").agg(F.sum("count").alias("n"))
+
+
 @query("claim_registry_audit", """SELECT doc_id, id, required, found AS expected_found, hits AS forbidden_hits, CASE WHEN (found OR NOT required) AND hits = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
   SELECT doc_id, 'N' AS id, true AS required, contains(text, 'the ') AS found, CAST(contains(text, 'haha') AS INTEGER) + CAST(contains(text, 'lorem') AS INTEGER) AS hits FROM documents
   UNION ALL SELECT doc_id, 'M', false, contains(text, 'and'), CAST(contains(text, 'le ') AS INTEGER) FROM documents)""")

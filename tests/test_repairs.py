@@ -107,3 +107,23 @@ def test_verdicts_say_what_could_not_be_tested(spark):
     assert "clocks without an ex-ante duration could not be tested: payment" in row.flags or row.verdict == "Indeterminate"
     assert "1 steps finish before they are ready at the earliest bound" in row.flags
     assert sorted((x.step, x.bound) for x in r["floored_steps"].collect()) == [("B", "earliest"), ("B", "latest")]
+
+
+def test_listed_names_are_counted_as_one_pattern_a_name_would(spark):
+    import re
+
+    texts = ["Anna Kiss met ANNA KISS, not Anna Kissné.", "O'Brien (obrien) and x.y z", "İnci saw inci; Σοφός, ΣΟΦΟΣ", "nothing here", "", None, "a.b.a.b a.b", "Kiss, Kiss", "see https://x.org/Kiss and Kiss"]
+    names = ["Anna Kiss", "Kiss", "O'Brien", "x.y z", "inci", "σοφός", "a.b", "ab", None, "absent word", "Kiss", "...", r"q\E"]
+    units = spark.createDataFrame([(str(i), "l", t) for i, t in enumerate(texts)] + [("0", "l", texts[0])], "file string, location string, text string")
+    got = sorted((r.file, r["count"]) for r in A.name_counts(units.where("text <> ''"), spark.createDataFrame([(n,) for n in names], "name string")).collect())
+    usable = sorted({n for n in names if n and len(n) >= 3 and re.search(r"\w", n)})
+    slow = units.where("text <> ''").select("file", A.text_kinds(F.col("text"), usable)["listed"].alias("n")).where("n > 0")
+    assert got == sorted((r.file, r.n) for r in slow.collect()) and ("0", 4) in got
+    assert A.name_counts(units.limit(0), spark.createDataFrame([("Kiss",)], "name string")).count() == 0
+
+
+def test_many_listed_names(spark):
+    names = spark.range(100_000).selectExpr("concat('Person ', id) AS name")
+    units = spark.createDataFrame([("f", "l", f"text with person {i}, and more") for i in range(0, 200_000, 1000)], "file string, location string, text string")
+    found = A.text_audit(units, names=names)["findings"].where("finding = 'listed name'")
+    assert found.agg(F.sum("count")).first()[0] == 100
