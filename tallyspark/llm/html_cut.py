@@ -62,8 +62,8 @@ SHARES: list[tuple[str, float, list[tuple[float, float]]]] = [
     ("place: first tenth, middle, last tenth", 1.0, [(0.1, 0.25), (0.8, 0.5), (0.1, 0.25)]),
 ]
 SIZES = [len(v) for _, _, v in SHARES]
-#: Log odds of content before any feature; most that an article's mark, and that a stop or none, may add; blocks that the prior counts for; how sure a mark is when costs are fitted.
-BIAS, ARTICLE_MOST, STOP_MOST, BELIEF, TRUST = 0.3, 2.5, 1.0, 200.0, 0.995
+#: Log odds of content before any feature; most that no mark of a region may add or take (pages without marks have an article too), that an article's mark, and that a stop or none, may add; blocks that the prior counts for; how sure a mark is when costs are fitted.
+BIAS, NONE_MOST, ARTICLE_MOST, STOP_MOST, BELIEF, TRUST = 0.3, 0.3, 2.5, 1.0, 200.0, 0.995
 #: Smoothness by steps in the DOM from a block to the next one (the last: 12 and more), then of neighbours under one parent; the range a fitted one may have.
 SMOOTH = [1.5 / (1 + steps / 2) for steps in range(13)] + [1.0]
 SMOOTH_RANGE = (0.1, 2.5)
@@ -271,7 +271,7 @@ def _odds(content: list[np.ndarray], other: list[np.ndarray]) -> tuple[tuple[flo
     out = []
     for f, ((_, most, _), x, y) in enumerate(zip(SHARES, content, other)):
         v = np.clip(np.log(x / x.sum()) - np.log(y / y.sum()), -most, most)
-        v = np.minimum(v, ARTICLE_MOST) if f == 0 else np.r_[np.clip(v[:2], -STOP_MOST, STOP_MOST), v[2:]] if f == 4 else v
+        v = np.r_[np.clip(v[:1], -NONE_MOST, NONE_MOST), min(v[1], ARTICLE_MOST), v[2:]] if f == 0 else np.r_[np.clip(v[:2], -STOP_MOST, STOP_MOST), v[2:]] if f == 4 else v
         out.append(tuple(float(z) for z in v))
     return tuple(out)
 

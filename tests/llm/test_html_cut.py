@@ -76,6 +76,9 @@ def test_costs_are_fitted_to_the_table(spark):
     d = "/root/testdata/sf0.01"
     fitted = fit_costs(spark.read.parquet(f"{d}/pages.parquet"))
     assert fitted != GIVEN and fitted.odds[0][1] > 0 > fitted.odds[0][2] and fitted.odds[2][0] < 0 < fitted.odds[2][3] and fitted.smooth[2] > fitted.smooth[7]
+    # layouts that the table does not have are read as before: no mark is no evidence, a class name is not learned away
+    for page in (PAGE, RELATED, UNMARKED, "just text <b>bold", "<p>a < b &lt; c</p>"):
+        assert main_text(page, fitted) == main_text(page)
     assert fit_costs(spark.createDataFrame([(None,), ("",)], "html string")) == GIVEN
 
 
