@@ -2,7 +2,27 @@
 
 import re
 
+import duckdb
+
 from tallyspark.operators import audit as A
+from tallyspark.plans.catalog import load
+
+
+def _against_sql(spark, name, folder, tables):
+    con = duckdb.connect()
+    for t, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    named, sql = load()
+    got = named[name](spark, str(folder))
+    cur = con.execute(sql[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, cur.fetchall()))
+
+
+def test_numbers_that_grow_out_of_their_kind(spark, tmp_path):
+    keys = spark.range(9_400, 9_700).unionByName(spark.range(19_000, 19_400)).unionByName(spark.range(11_365_000, 11_365_200)).unionByName(spark.range(125_000_000, 125_000_100))
+    _against_sql(spark, "personal_data_scan", tmp_path, {"customer": keys.selectExpr("id as c_custkey", "concat('Customer#', lpad(id, 9, '0')) as c_name")})
 
 
 def test_codes_with_a_common_first_token(spark):
