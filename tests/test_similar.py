@@ -49,3 +49,27 @@ def test_several_misspelt_words_and_weak_matches(spark):
     supplied = spark.createDataFrame([(r, "", t, "2001", "Smith, A.", "J") for r, t in asked], "ref string, doi string, title string, year string, authors string, journal string")
     assert {r.ref: r.status for r in match_references(supplied, registry).collect()} == {"three": "MATCH_FOUND", "five": "MATCH_FOUND", "weak": "NOT_FOUND", "none": "NOT_FOUND"}
     assert {r.ref: r.status for r in match_references(supplied, registry, floor=0.75).collect()}["weak"] == "WEAK_MATCH"
+
+
+def test_exploded_runs_are_not_broadcast_and_common_ones_are_spread(spark, monkeypatch):
+    from tallyspark.operators import similar
+
+    plans = {}
+    write = similar.materialize
+
+    def record(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(similar, "materialize", record)
+    monkeypatch.setattr(similar, "COMMON_RUN", 5, raising=False)
+    known = [f"annual report of the office number {i:04d} and {i * 7919 % 10007:05d}" for i in range(60)]
+    asked = [t.replace("report", "reprt") for t in known]
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {(r.a, r.b) for r in similar.similar_pairs(frame(asked, "a"), frame(known, "b")).collect()}
+    con = duckdb.connect()
+    con.register("x", pd.DataFrame({"a": asked}))
+    con.register("y", pd.DataFrame({"b": known}))
+    assert got == set(con.sql("SELECT a, b FROM x, y WHERE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.85").fetchall())
+    joins = [line for line in plans["met"].splitlines() if "Join [run" in line and "share" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
