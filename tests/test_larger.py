@@ -38,3 +38,18 @@ def test_codes_are_not_paired_by_their_first_token(spark):
     t = spark.range(n).selectExpr("case when id % 1000 = 0 then concat('(EP-', id, ')') else concat('EP ', id) end as x")
     codes = spark.range(n).selectExpr("concat('EP-', id) as episode")
     assert A.leaked_codes({"t": t}, codes).count() == n // 1000
+
+
+def test_listed_names_meet_texts_at_all_their_words(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    names = [f"{a} {b}" for a in words for b in words if a != b] + ["w1 w2 w3", "W1-W2", "w0 w1 w0", ".w5", "w39", "Ivan İpek"]
+    texts = [" ".join(words[(i * 7 + j * j) % 40] for j in range(30)) for i in range(30)] + ["w1 w2 w3, w1-w2", "w0 w1 w0 w1 w0", "a.w5 w39w39 w39", "IVAN İPEK", "see https://w1 w2/w1 w2"]
+    units = spark.createDataFrame([(str(i), "1", t) for i, t in enumerate(texts)], "file string, location string, text string")
+    written, write = {}, A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    got = {r.file: r["count"] for r in A.name_counts(units, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    clean = [re.sub(r"https?://\S+", " ", t) for t in texts]
+    want = {str(i): sum(len(re.findall(rf"(?i)(?<!\w){re.escape(n)}(?!\w)", t)) for n in names) for i, t in enumerate(clean)}
+    assert got == {k: v for k, v in want.items() if v}
+    # a text meets the names whose words it holds in a row, not every name with one of its words
+    assert written["listed_pairs"].count() <= 35 * len(texts)
