@@ -27,6 +27,9 @@ from tallyspark.runtime import materialize, small_table
 
 OUTSIDE = "__OUTSIDE__"
 
+#: Rows of one respondent that a task of the mixed logit holds before it adds them up.
+PANEL_ROWS = 20_000
+
 
 @dataclass
 class Choice:
@@ -103,26 +106,39 @@ def _choice_sums(data: DataFrame, utility: Column, features: Sequence[Column]) -
     """Conditional log-likelihood with its gradient and Gauss-Newton Hessian in the derivative features of the utility."""
     k = len(features)
     upper = [(i, j) for i in range(k) for j in range(i, k)]
-    d = data.select("set_id", "y", utility.alias("u"), *[f.alias(f"f{i}") for i, f in enumerate(features)])
+    w = F.col("w") if "w" in data.columns else F.lit(1.0)  # how many equal sets this one stands for
+    d = data.select("set_id", "y", utility.alias("u"), w.alias("w"), *[f.alias(f"f{i}") for i, f in enumerate(features)])
     # utilities relative to the set's largest: the likelihood is the same and no exponential overflows
     d = d.withColumn("u", F.col("u") - F.max("u").over(W.partitionBy("set_id")))
     e, f = F.exp("u"), [F.col(f"f{i}") for i in range(k)]
     per = d.groupBy("set_id").agg(
-        F.sum(e).alias("den"), F.sum(F.col("y") * F.col("u")).alias("cu"), *[F.sum(F.col("y") * f[i]).alias(f"c{i}") for i in range(k)],
+        F.first("w").alias("w"), F.sum(e).alias("den"), F.sum(F.col("y") * F.col("u")).alias("cu"), *[F.sum(F.col("y") * f[i]).alias(f"c{i}") for i in range(k)],
         *[F.sum(e * f[i]).alias(f"s{i}") for i in range(k)], *[F.sum(e * f[i] * f[j]).alias(f"q{i}_{j}") for i, j in upper])
     m = [F.col(f"s{i}") / F.col("den") for i in range(k)]
-    r = per.agg(F.sum(F.col("cu") - F.log("den")).alias("ll"), *[F.sum(F.col(f"c{i}") - m[i]).alias(f"g{i}") for i in range(k)],
-                *[F.sum(m[i] * m[j] - F.col(f"q{i}_{j}") / F.col("den")).alias(f"h{i}_{j}") for i, j in upper]).first()
+    r = per.agg(F.sum(F.col("w") * (F.col("cu") - F.log("den"))).alias("ll"), *[F.sum(F.col("w") * (F.col(f"c{i}") - m[i])).alias(f"g{i}") for i in range(k)],
+                *[F.sum(F.col("w") * (m[i] * m[j] - F.col(f"q{i}_{j}") / F.col("den"))).alias(f"h{i}_{j}") for i, j in upper]).first()
     h = np.zeros((k, k))
     for i, j in upper:
         h[i, j] = h[j, i] = r[f"h{i}_{j}"]
     return float(r["ll"]), np.array([r[f"g{i}"] for i in range(k)], float), h
 
 
+def equal_sets(data: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One set of every kind with the number ``w`` of sets that have the same rows, in whatever order.
+
+    Terms are 0/1, so the kinds do not grow with the sets, and the steps of a fit run over kinds. Sets are told apart
+    by two 64-bit sums of row hashes and their size.
+    """
+    row = [F.col("y"), *[F.col(c) for c in columns]]
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(20,0)"))
+    kinds = data.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("m1"), mark(2).alias("m2")).groupBy("n", "m1", "m2").agg(F.min("set_id").alias("set_id"), F.count(F.lit(1)).cast("double").alias("w"))
+    return data.join(materialize(kinds.select("set_id", "w"), "kinds"), "set_id")
+
+
 def fit_mnl(choice: Choice) -> MlFit:
     """Conditional logit by maximum likelihood; the Hessian is exact."""
-    # hash-partitioned by set once, so that the steps group without another shuffle
-    data = choice.data.select("set_id", "y", *choice.columns).repartition("set_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # partitioned and sorted by set once, so that the steps group without another shuffle or sort
+    data = equal_sets(choice.data.select("set_id", "y", *choice.columns), choice.columns).repartition("set_id").sortWithinPartitions("set_id").persist(StorageLevel.MEMORY_AND_DISK)
     x = [F.col(c) for c in choice.columns]
     try:
         return newton(lambda b: _choice_sums(data, weighted_sum(x, b), x), np.zeros(len(x)), max_iter=25)
@@ -221,8 +237,8 @@ def halton_normal(n: int, dim: int, seed: int) -> np.ndarray:
 def mixed_logit(df: DataFrame, attributes, chosen: str, respondent: str, random_terms, task: str = "task", alternative: str = "profile", draws: int = 128, seed: int = 20260928, max_iter: int = 60, **kw) -> Result:
     """Normal random coefficients, the same draws for every respondent, panel product by respondent, simulated likelihood.
 
-    Rows are ordered by respondent and set inside partitions and streamed: a task holds one set and the
-    running sums of one respondent, so a respondent with very many sets needs no more memory.
+    Rows are ordered by respondent and set inside partitions and streamed: a task holds a batch, up to ``PANEL_ROWS``
+    rows of a respondent that goes on and its running sums, so a respondent with very many sets needs no more memory.
     """
     c = prepare_choice(df, attributes, chosen, respondent, task, alternative, **kw)
     rand = as_list(random_terms)
@@ -256,39 +272,66 @@ def mixed_logit(df: DataFrame, attributes, chosen: str, respondent: str, random_
                     total[1 : 1 + p] += g
                     total[1 + p :] -= np.outer(g, g).ravel()
 
-            def add(block: pd.DataFrame):
-                """Whole sets of consecutive respondents, in order."""
+            def solve(block: pd.DataFrame):
+                """Utilities of whole sets, in order: rows x draws, relative to the largest of the set, and what the sets are made of."""
                 x, y = block[[f"x{i}" for i in range(k)]].to_numpy(float), block["y"].to_numpy(float)
                 starts = np.flatnonzero(np.r_[True, block["set_id"].to_numpy()[1:] != block["set_id"].to_numpy()[:-1]])
+                sizes = np.diff(np.r_[starts, len(x)])
                 u = (x @ mean)[:, None] + x[:, idx] @ (sd[:, None] * z.T)
-                u -= np.repeat(np.maximum.reduceat(u, starts), np.diff(np.r_[starts, len(x)]), axis=0)
+                u -= np.repeat(np.maximum.reduceat(u, starts), sizes, axis=0)
                 e = np.exp(u)
                 den = np.add.reduceat(e, starts)
-                pr = e / np.repeat(den, np.diff(np.r_[starts, len(x)]), axis=0)
+                e /= np.repeat(den, sizes, axis=0)
                 lp = np.add.reduceat(u * y[:, None], starts) - np.log(den)
-                resid = y[:, None] - pr
-                g_mean = np.add.reduceat(resid[:, :, None] * x[:, None, :], starts)
-                g_sd = g_mean[:, :, idx] * (sd[None, :] * z)[None]
-                grad = np.concatenate([g_mean, g_sd], axis=2)
-                # the sets of a respondent are added at once; the last respondent may go on in the next block
-                who = block["respondent"].to_numpy()[starts]
+                return x, y[:, None] - e, lp, starts, block["respondent"].to_numpy()[starts]
+
+            def add(block: pd.DataFrame):
+                """Some sets of one respondent, whose sums over the draws are kept until it ends."""
+                x, resid, lp, starts, who = solve(block)
+                g_mean = np.stack([(resid * x[:, [j]]).sum(axis=0) for j in range(k)], axis=1)
+                grad = np.concatenate([g_mean, g_mean[:, idx] * (sd[None, :] * z)], axis=1)
+                if who[0] != state["resp"]:
+                    close()
+                    state.update(resp=who[0], lp=np.zeros(draws), grad=np.zeros((draws, p)))
+                state["lp"] = state["lp"] + lp.sum(axis=0)
+                state["grad"] = state["grad"] + grad
+
+            def add_whole(block: pd.DataFrame):
+                """Whole respondents: their weights over the draws are known before the gradient, which then needs no draws by terms."""
+                x, resid, lp, starts, who = solve(block)
                 first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                for r, one_lp, one_grad in zip(who[first], np.add.reduceat(lp, first), np.add.reduceat(grad, first)):
-                    if r != state["resp"]:
-                        close()
-                        state.update(resp=r, lp=np.zeros(draws), grad=np.zeros((draws, p)))
-                    state["lp"] = state["lp"] + one_lp
-                    state["grad"] = state["grad"] + one_grad
+                lp = np.add.reduceat(lp, first)
+                top = lp.max(axis=1, keepdims=True)
+                w = np.exp(lp - top)
+                total[0] += float((top[:, 0] + np.log(w.mean(axis=1))).sum())
+                w /= w.sum(axis=1, keepdims=True)
+                at = starts[first]
+                resid *= np.repeat(w, np.diff(np.r_[at, len(x)]), axis=0)
+                g = np.add.reduceat(np.concatenate([resid.sum(axis=1)[:, None] * x, (resid @ (sd * z)) * x[:, idx]], axis=1), at)
+                total[1 : 1 + p] += g.sum(axis=0)
+                total[1 + p :] -= (g.T @ g).ravel()
 
             rest = None
             for pdf in batches:
                 pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
                 if not len(pdf):
                     continue
-                tail = pdf["set_id"] == pdf["set_id"].iloc[-1]
-                rest, whole = pdf[tail].reset_index(drop=True), pdf[~tail].reset_index(drop=True)
+                # the last respondent may go on in the next batch, as may its last set
+                goes_on = (pdf["respondent"] == pdf["respondent"].iloc[-1]).to_numpy()
+                begun = (pdf["respondent"] == state["resp"]).to_numpy()
+                if begun.any() and not goes_on[0]:
+                    add(pdf[begun])
+                    close()
+                    state["resp"] = None
+                    pdf, goes_on = pdf[~begun], goes_on[~begun]
+                whole, rest = pdf[~goes_on], pdf[goes_on].reset_index(drop=True)
                 if len(whole):
-                    add(whole)
+                    add_whole(whole)
+                if len(rest) > PANEL_ROWS:
+                    tail = (rest["set_id"] == rest["set_id"].iloc[-1]).to_numpy()
+                    if not tail.all():
+                        add(rest[~tail])
+                        rest = rest[tail].reset_index(drop=True)
             if rest is not None and len(rest):
                 add(rest)
             close()
