@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyspark.functions import dates
-from tallyspark.functions.columns import alias_value, blank_to_null, normalize_text, number, require, split_list
+from tallyspark.functions.columns import alias_value, blank_to_null, lookup, normalize_text, number, require, split_list
 from tallyspark.operators.describe import contingency, value_counts
 from tallyspark.registry import Result, analysis
 from tallyspark.runtime import materialize, small_table
@@ -105,12 +105,13 @@ def read_episodes(episodes: DataFrame, steps: DataFrame, labels: Mapping[str, st
     ep_cols = ["anchor_earliest", "anchor_latest", "tw_earliest", "tw_latest"]
     typed_ep = ep.select("episode", "r_step", a.alias("anchor_lo"), b.alias("anchor_hi"), c.alias("tw_lo"), d.alias("tw_hi"))
     lo, hi = _first_days(st, "finish_earliest", "finish_latest")
-    clock = alias_value("clock", synonyms)
-    exp = number("expected_days")
+    # columns of their own: as expressions they would be worked out again wherever they are used
+    st = st.withColumns({"_clock": F.lower(normalize_text("clock")), "_exp": number("expected_days"), "_raw_exp": blank_to_null("expected_days")}).withColumn("_clock", F.coalesce(lookup(F.col("_clock"), synonyms), F.col("_clock")))
+    clock, exp = F.col("_clock"), F.col("_exp")
     zero = (F.abs(exp) < EPS) & ~F.coalesce(F.lower(F.trim(F.col("zero_documented").cast("string"))).isin(*YES), F.lit(False)) & F.lit(not zero_as_documented)
     dropped = F.coalesce(zero, F.lit(False))
     say = lambda text: F.concat(F.lit("step "), F.col("step"), F.lit(f": {text}"))
-    raw_exp = blank_to_null("expected_days")
+    raw_exp = F.col("_raw_exp")
     found = F.array_compact(F.array(
         F.concat(say(""), dates.problem_of(st, "finish_earliest")),
         F.concat(say(""), dates.problem_of(st, "finish_latest")),

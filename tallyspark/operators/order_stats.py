@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from tallyspark.functions.columns import as_list, number, require
 from tallyspark.registry import Result, analysis
-from tallyspark.runtime import materialize
+from tallyspark.runtime import materialize, small_table
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -75,9 +75,30 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weights: di
     return running_counts(df, value, by, weights).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
 
 
+#: Hash buckets of the groups, and the rows from which on a bucket's groups are spread over ranges.
+BUCKETS, BUCKET_ROWS = 65_536, 1_000_000
+
+
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Number the rows of every group in the given order, also when one group is too large for one task."""
+    """Number the rows of every group in the given order, also when one group is too large for one task.
+
+    Groups are counted in hash buckets. Those in buckets of ordinary size are numbered after one shuffle; the rows of
+    a larger bucket, and with them every large group, are spread over ranges.
+    """
     by, order = list(by), list(order)
+    bucket = F.pmod(F.xxhash64(*by), F.lit(BUCKETS))
+    large = [r["b"] for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_ROWS).select("b").collect()]  # at most BUCKETS
+    plain = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    if not large:
+        return df.withColumn(name, plain)
+    marks = small_table(df.sparkSession, [(b,) for b in large], "_bucket long")
+    marked = df.withColumn("_bucket", bucket)
+    rest = marked.join(F.broadcast(marks), "_bucket", "left_anti").drop("_bucket").withColumn(name, plain)
+    return rest.unionByName(_range_numbers(marked.join(F.broadcast(marks), "_bucket", "left_semi").drop("_bucket"), by, order, name))
+
+
+def _range_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """As :func:`row_numbers`, with the rows in ranges: the totals of a group's earlier ranges and a number inside the range."""
     ranged = materialize(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "rows")
     earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n")).select(
@@ -110,7 +131,6 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], probs: dict[str, flo
 def qq_table(df: DataFrame, variables, points: int = 99) -> Result:
     """Sample quantiles against standard normal quantiles on an even grid of probabilities."""
     from tallyspark.functions.dist import norm_ppf
-    from tallyspark.runtime import small_table
 
     vs = as_list(variables)
     probs = [i / (points + 1) for i in range(1, points + 1)]

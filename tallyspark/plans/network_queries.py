@@ -128,9 +128,9 @@ _CLOCKS = ("Funding", "payment", "production", "Transport", "set-up")
 _CLEAN = ("finance", "payment", "fulfilment", "logistics", "operational-readiness")
 
 
-def network(spark, d):
+def network(spark, d, ol=None):
     """Orders as episodes and their lines as steps; low-priority partial orders have steps but no episode row."""
-    ol = V.ordered_lines(spark, d)
+    ol = V.ordered_lines(spark, d) if ol is None else ol
     last = ol.groupBy("l_orderkey").agg(F.max("ln").alias("last_ln"), F.max("l_shipdate").alias("last_ship"), F.min("l_shipdate").alias("first_ship"))
     o = V.table(spark, d, "orders").where("not (o_orderstatus = 'P' and o_orderpriority = '5-LOW')")
     tw = F.expr("timestampadd(DAY, cast((o_orderkey % 5 - 3) * 100 as int), last_ship)")
@@ -266,7 +266,7 @@ def corner_check(spark, d):
 def network_v4(spark, d):
     """The same network with ex-ante status, source class and direct record taken from the line flags."""
     ol = V.ordered_lines(spark, d)
-    ep, st = network(spark, d)
+    ep, st = network(spark, d, ol)
     flags = ol.select(F.col("l_orderkey").cast("string").alias("episode"), F.concat(F.lit("s"), "ln").alias("step"), "l_returnflag", "l_linestatus", "l_shipdate", "l_tax", "l_linenumber")
     st = st.join(flags, ["episode", "step"])
     rev = (F.col("l_returnflag") == "R") & (F.col("expected_days").isNull())

@@ -3,8 +3,10 @@
 import re
 
 import duckdb
+import numpy as np
 
 from tallyspark.operators import audit as A
+from tallyspark.operators import choice, order_stats
 from tallyspark.plans.catalog import load
 
 
@@ -53,3 +55,41 @@ def test_listed_names_meet_texts_at_all_their_words(spark, monkeypatch):
     assert got == {k: v for k, v in want.items() if v}
     # a text meets the names whose words it holds in a row, not every name with one of its words
     assert written["listed_pairs"].count() <= 35 * len(texts)
+
+
+def _choices(spark, respondents, sets):
+    rows = [(str(r), t, i, "abc"[(r * 3 + t * 5 + i * i) % 3], int(i == (r + t) % 4)) for r in range(respondents) for t in range(sets if r else 10 * sets) for i in range(3)]
+    return spark.createDataFrame(rows, "respondent string, task int, profile int, attr string, chosen int")
+
+
+def test_equal_choice_sets_are_fitted_once(spark, monkeypatch):
+    c = choice.prepare_choice(_choices(spark, 30, 8), "attr", "chosen", "respondent", "task")
+    kinds = choice.equal_sets(c.data, c.columns)
+    sets = c.data.select("set_id").distinct().count()
+    assert kinds.select("set_id").distinct().count() < sets / 5 and kinds.select("set_id", "w").distinct().agg({"w": "sum"}).first()[0] == sets
+    fit = choice.fit_mnl(c)
+    monkeypatch.setattr(choice, "equal_sets", lambda d, _: d)
+    plain = choice.fit_mnl(c)
+    assert np.allclose(fit.theta, plain.theta, atol=1e-9) and np.isclose(fit.loglik, plain.loglik)
+
+
+def test_a_long_respondent_is_added_up_in_parts(spark, monkeypatch):
+    df = _choices(spark, 12, 6)
+    fit = lambda: choice.mixed_logit(df, "attr", "chosen", "respondent", "outside", draws=16, max_iter=4)["model"].first().loglik
+    whole = fit()
+    monkeypatch.setattr(choice, "PANEL_ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        assert np.isclose(fit(), whole, rtol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_large_groups_are_numbered_in_ranges(spark, monkeypatch):
+    d = spark.range(3000).selectExpr("case when id % 3 = 0 then null else id % 50 * (id % 2) end as k", "id * 7919 % 3001 as v")
+    got = lambda: sorted((str(r.k), r.v, r.n) for r in order_stats.row_numbers(d, ["k"], ["v"], "n").collect())
+    plan = order_stats.row_numbers(d, ["k"], ["v"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "REPARTITION" not in plan and plan.count("Scan parquet") == 0  # small groups: one shuffle, nothing written
+    plain = got()
+    monkeypatch.setattr(order_stats, "BUCKET_ROWS", 100)
+    assert got() == plain
