@@ -75,6 +75,11 @@ def problem_of(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("string") if dict(df.dtypes)[name] in ("timestamp", "timestamp_ntz", "date") else days_problem(name)
 
 
+def may_have_offset(df: DataFrame, name: str) -> bool:
+    """Whether the column is there and could hold times with an offset, which only text can."""
+    return name in df.columns and dict(df.dtypes)[name] not in ("timestamp", "timestamp_ntz", "date")
+
+
 def offset_of(df: DataFrame, name: str) -> Column:
     """As :func:`has_offset`; a timestamp column never carries an offset."""
     if dict(df.dtypes)[name] in ("timestamp", "timestamp_ntz", "date"):

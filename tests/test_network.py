@@ -131,3 +131,15 @@ def test_corner_check_and_reactive_run(tables):
     assert len(got) == 150 and all(r["corner_check"] for r in got)
     v = N.verdicts(e, s)["verdicts"].groupBy("reactive_sensitivity").count().collect()
     assert {r["reactive_sensitivity"] for r in v} >= {"Not applicable"}
+
+
+def test_blocks_shuffle_the_steps_once_and_add_up_their_episodes(tables, monkeypatch):
+    _, _, e, s = tables
+    labels, syn = N.clock_set()
+    ep, st, problems, notes = N.read_episodes(e, s, labels, syn)
+    plan = N.propagate(ep, st, sorted(labels))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(episode") == 2  # the steps, and the episodes
+    evaluated = N.evaluate(ep, st, problems, notes, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert evaluated.count("MapInArrow") == 1  # also with the reactive run
+    rows = lambda limit: sorted(map(repr, N.evaluate(ep, st, problems, notes, labels, block_steps=limit).collect()))
+    assert rows(0) == rows(2000)
