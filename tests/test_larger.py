@@ -104,3 +104,10 @@ def test_entries_are_screened_without_their_episodes(spark, monkeypatch):
     for t in ("orders", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     assert got == sorted(con.execute(sql["gates_entries"]).fetchall()) and not written
+
+
+def test_units_are_compared_without_a_join(spark):
+    a, b = (spark.createDataFrame([(x,) for x in rows], "k string") for rows in (["A ", "b", "b", None, "d"], ["a", "C", None, "c", "D"]))
+    got = A.units_in_one_only(a, b, "k")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([("b", "first"), (None, "first"), ("c", "second"), (None, "second")], "unit string, only_in string").collect()))
