@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dist
 from tallyspark.functions.columns import as_list, numeric
-from tallyspark.operators.order_stats import average_ranks, running_counts
+from tallyspark.operators.order_stats import running_counts
 from tallyspark.registry import analysis
 from tallyspark.runtime import materialize
 
@@ -37,14 +37,35 @@ def pearson(df: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, variables: list[str]) -> DataFrame:
-    keys = ["first", "second"]
-    cells = materialize(long_pairs(df, variables).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c")), "pairs")
-    rank_of = lambda v: average_ranks(cells, v, keys, {"c": F.col("c")}).select(
-        *keys, F.col("value").alias(v), (F.col("c_before") + (F.col("c") + 1) / 2.0 - (F.col("c_total") + 1) / 2.0).alias(f"r{v}"))
-    both = cells.join(rank_of("x"), [*keys, "x"]).join(rank_of("y"), [*keys, "y"])
-    c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
-    return both.groupBy(*keys).agg(
-        F.try_divide(F.sum(c * rx * ry), F.sqrt(F.sum(c * rx * rx) * F.sum(c * ry * ry))).alias("r"), F.sum("c").alias("n"))
+    """All pairs from one table of ranks.
+
+    The rank of a value depends on the other variable of the pair, through the rows that miss it. Every distinct value of a
+    variable is therefore counted once with one weight for each partner, and one row of it holds its ranks in all
+    pairs; the rows of the table meet these rows once a variable, and no row is repeated for the pairs.
+    """
+    k = len(variables)
+    pairs = list(combinations(range(k), 2))
+    present = [F.col(f"v{i}").isNotNull() for i in range(k)]
+    wide = numeric(df, variables).select(*[F.col(v).alias(f"v{i}") for i, v in enumerate(variables)])
+    long = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("x"), *[present[j].cast("long").alias(f"w{j}") for j in range(k)]) for i in range(k)])))
+    counts = running_counts(long, "x", ["i"], {f"w{j}": F.col(f"w{j}") for j in range(k)})
+    # ranks about their mean: sums of products are then those of the coefficient
+    centred = lambda j: F.col(f"w{j}_before") + (F.col(f"w{j}") + 1) / 2.0 - (F.col(f"w{j}_total") + 1) / 2.0
+    ranks = materialize(counts.select("i", "value", *[centred(j).alias(f"r{j}") for j in range(k)]), "ranks")
+    rows = wide
+    for i in range(k):
+        mine = ranks.where(F.col("i") == i).select(F.col("value").alias(f"v{i}"), F.struct(*[F.col(f"r{j}") for j in range(k) if j != i]).alias(f"r{i}"))
+        rows = rows.join(mine, f"v{i}", "left")
+    aggs = []
+    for p, (i, j) in enumerate(pairs):
+        both = present[i] & present[j]
+        x, y = F.when(both, F.col(f"r{i}.r{j}")), F.when(both, F.col(f"r{j}.r{i}"))
+        aggs += [F.sum(x * y).alias(f"xy{p}"), F.sum(x * x).alias(f"xx{p}"), F.sum(y * y).alias(f"yy{p}"), F.count_if(both).alias(f"n{p}")]
+    out = [F.struct(F.lit(variables[i]).alias("first"), F.lit(variables[j]).alias("second"), F.try_divide(F.col(f"xy{p}"), F.sqrt(F.col(f"xx{p}") * F.col(f"yy{p}"))).alias("r"), F.col(f"n{p}").alias("n"))
+           for p, (i, j) in enumerate(pairs)]
+    # a pair without a common row has no result
+    return rows.agg(*aggs).select(F.inline(F.array(*out))).where("n > 0")
 
 
 def kendall(df: DataFrame, variables: list[str]) -> DataFrame:

@@ -31,3 +31,30 @@ def test_few_listed_names_give_what_many_give(spark, monkeypatch):
     few = got()
     monkeypatch.setattr(A, "FEW_NAMES", 0)
     assert few == got() and len(few) == 4
+
+
+def test_spearman_repeats_no_row_for_the_pairs(spark, monkeypatch):
+    from itertools import combinations
+
+    import numpy as np
+
+    from tallyspark.operators import correlate, order_stats
+
+    def rank(v):
+        return [sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v]
+
+    rows = [(i, None if i % 7 == 0 else float(i * 37 % 11), None if i % 5 == 2 else -float(i % 4), float("nan") if i % 3 == 0 else float(i * 13 % 50) / 3, None) for i in range(300)]
+    d = spark.createDataFrame(rows, "k int, a double, b double, c double, gone double")
+    got = {(r.first, r.second): (r.r, r.n) for r in correlate.correlation(d, ["a", "b", "c", "gone"], "spearman").collect()}
+    want = {}
+    for (i, x), (j, y) in combinations(enumerate("abc", 1), 2):
+        both = [(r[i], r[j]) for r in rows if all(v is not None and v == v for v in (r[i], r[j]))]
+        want[x, y] = (np.corrcoef(*[rank(v) for v in zip(*both)])[0, 1], len(both))
+    assert got.keys() == want.keys() and all(abs(got[p][0] - want[p][0]) < 1e-12 and got[p][1] == want[p][1] for p in want)
+    same = spark.createDataFrame([(1.0, 2.0, 5.0), (1.0, 3.0, None)], "x double, y double, z double")
+    assert sorted((r.first, r.second, r.r, r.n) for r in correlate.spearman(same, ["x", "y", "z"]).collect()) == [("x", "y", None, 2), ("x", "z", None, 1), ("y", "z", None, 1)]
+    written = []
+    for module in (correlate, order_stats):
+        monkeypatch.setattr(module, "materialize", lambda df, name, keep=module.materialize: written.append(keep(df, name)) or written[-1])
+    correlate.spearman(spark.range(300).selectExpr("id * 1.0 AS a", "id * 2.0 AS b", "-id * 1.0 AS c", "id % 7 * 1.0 AS e"), ["a", "b", "c", "e"]).collect()
+    assert written and max(t.count() for t in written) <= 4 * 300
