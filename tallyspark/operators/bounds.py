@@ -28,25 +28,30 @@ def admit_intervals(evidence: DataFrame, keys: Sequence[str], ladder: Sequence[s
     and is not admitted. Several rows of one grade are first joined into their hull, so what is folded
     per key is never longer than the ladder.
     """
-    keys = list(keys)
-    lo, hi = F.least("low", "high"), F.greatest("low", "high")
-    wide = evidence.where(F.col("grade").isin(*ladder)).groupBy(*keys).agg(
-        F.array(*[F.struct(F.lit(g).alias("grade"), F.min(F.when(F.col("grade") == g, lo)).alias("low"), F.max(F.when(F.col("grade") == g, hi)).alias("high")) for g in ladder]).alias("given"))
-    none = F.lit(None).cast("double")
-    rung = lambda g, a, b, c, new: F.struct(g.alias("rung"), a.alias("low"), b.alias("high"), c.alias("conflict"), new["low"].alias("given_low"), new["high"].alias("given_high"))
-    start = F.expr("cast(array() as array<struct<rung:string,low:double,high:double,conflict:boolean,given_low:double,given_high:double>>)")
+    wide = _rungs(evidence, keys, ladder)
+    rung = lambda i, g: F.struct(F.lit(g).alias("rung"), *[F.col(f"_{c}{i}").alias(c) for c in ("low", "high", "conflict", "given_low", "given_high")])
+    return wide.select(*keys, F.inline(F.array(*[rung(i, g) for i, g in enumerate(ladder)])))
+
 
-    def step(acc: Column, new: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        clo, chi = last["low"], last["high"]
-        nlo, nhi = F.greatest(clo, new["low"]), F.least(chi, new["high"])
-        first, idle = clo.isNull(), new["low"].isNull()
-        clash = F.coalesce(~first & ~idle & (nlo > nhi), F.lit(False))
-        pick = lambda cur, fresh, both: F.when(idle | clash, cur).when(first, fresh).otherwise(both)
-        return F.concat(acc, F.array(rung(new["grade"], pick(clo, new["low"], nlo), pick(chi, new["high"], nhi), clash, new)))
+def _rungs(evidence: DataFrame, keys: Sequence[str], ladder: Sequence[str]) -> DataFrame:
+    """One row per key with the columns ``_low0, _high0, _conflict0, _given_low0, _given_high0`` of the first rung, and so on.
 
-    folded = wide.select(*keys, F.aggregate("given", start, step).alias("r"))
-    return folded.select(*keys, F.inline("r"))
+    The ladder is short and known, so every rung is a few plain columns made from those of the rung before.
+    """
+    lo, hi = F.least("low", "high"), F.greatest("low", "high")
+    given = [c for i, g in enumerate(ladder) for c in (F.min(F.when(F.col("grade") == g, lo)).alias(f"_given_low{i}"), F.max(F.when(F.col("grade") == g, hi)).alias(f"_given_high{i}"))]
+    wide = evidence.where(F.col("grade").isin(*ladder)).groupBy(*keys).agg(*given)
+    none = F.lit(None).cast("double")
+    clo, chi = none, none
+    for i in range(len(ladder)):
+        new_lo, new_hi = F.col(f"_given_low{i}"), F.col(f"_given_high{i}")
+        nlo, nhi = F.greatest(clo, new_lo), F.least(chi, new_hi)
+        first, idle = clo.isNull(), new_lo.isNull()
+        wide = wide.withColumn(f"_conflict{i}", F.coalesce(~first & ~idle & (nlo > nhi), F.lit(False)))
+        pick = lambda cur, fresh, both: F.when(idle | F.col(f"_conflict{i}"), cur).when(first, fresh).otherwise(both)  # noqa: B023, E731
+        wide = wide.withColumns({f"_low{i}": pick(clo, new_lo, nlo), f"_high{i}": pick(chi, new_hi, nhi)})
+        clo, chi = F.col(f"_low{i}"), F.col(f"_high{i}")
+    return wide
 
 
 def admission_conflicts(rungs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -185,10 +190,11 @@ def latency_bounds(routes: DataFrame, stages: DataFrame | None = None, totals: D
     ``totals``: route, grade, low, high. A stage listed without an interval (null low) leaves the route's sum open.
     """
     r = routes
+    top = len(ladder) - 1
     conflicts = []
     if stages is not None:
         rungs = admit_intervals(stages, ["route", "stage"], ladder)
-        last = rungs.where(F.col("rung") == ladder[-1])
+        last = _rungs(stages, ["route", "stage"], ladder).select("route", F.col(f"_low{top}").alias("low"), F.col(f"_high{top}").alias("high"))
         per = last.groupBy("route").agg(F.bool_and(F.col("low").isNotNull()).alias("complete"), F.sum("low").alias("sum_low"), F.sum("high").alias("sum_high"))
         r = r.join(per, "route", "left").withColumns({
             "l0": F.when(F.col("complete"), F.col("sum_low")), "h0": F.when(F.col("complete"), F.col("sum_high"))}).drop("complete", "sum_low", "sum_high")
@@ -197,7 +203,7 @@ def latency_bounds(routes: DataFrame, stages: DataFrame | None = None, totals: D
         r = r.withColumns({"l0": F.lit(None).cast("double"), "h0": F.lit(None).cast("double")})
     if totals is not None:
         rungs = admit_intervals(totals, ["route"], ladder)
-        r = r.join(rungs.where(F.col("rung") == ladder[-1]).select("route", F.col("low").alias("tl"), F.col("high").alias("th")), "route", "left")
+        r = r.join(_rungs(totals, ["route"], ladder).select("route", F.col(f"_low{top}").alias("tl"), F.col(f"_high{top}").alias("th")), "route", "left")
         conflicts.append(rungs.where("conflict").select("route", F.lit("total").alias("where"), F.col("rung").alias("grade")))
     else:
         r = r.withColumns({"tl": F.lit(None).cast("double"), "th": F.lit(None).cast("double")})

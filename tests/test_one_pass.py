@@ -58,3 +58,28 @@ def test_spearman_repeats_no_row_for_the_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, "materialize", lambda df, name, keep=module.materialize: written.append(keep(df, name)) or written[-1])
     correlate.spearman(spark.range(300).selectExpr("id * 1.0 AS a", "id * 2.0 AS b", "-id * 1.0 AS c", "id % 7 * 1.0 AS e"), ["a", "b", "c", "e"]).collect()
     assert written and max(t.count() for t in written) <= 4 * 300
+
+
+def test_rungs_are_plain_columns_and_only_the_last_one_is_made_for_routes(spark):
+    from tallyspark.operators import bounds
+
+    ladder = bounds.LADDER
+    rows = [(k, ladder[(k * 3 + i * (1 + k % 2)) % len(ladder)], float(k % 5 + i * 4 % 7), float(k % 5 + 3 + i % 3) if (k + i) % 6 else None) for k in range(60) for i in range(k % 8)]
+    rows += [(99, ladder[0], None, None), (98, "other", 1.0, 2.0)]
+    want = []
+    for k in sorted({r[0] for r in rows if r[1] in ladder}):
+        low = high = None
+        for g in ladder:
+            ends = [sorted(x for x in r[2:] if x is not None) for r in rows if r[0] == k and r[1] == g]
+            a, b = min((e[0] for e in ends if e), default=None), max((e[-1] for e in ends if e), default=None)
+            clash = None not in (low, a) and max(low, a) > min(high, b)
+            if a is not None and not clash:
+                low, high = (a, b) if low is None else (max(low, a), min(high, b))
+            want.append((k, g, low, high, clash, a, b))
+    got = bounds.admit_intervals(spark.createDataFrame(rows, "k int, grade string, low double, high double"), ["k"])
+    assert [tuple(r) for r in got.collect()] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert got.columns == ["k", "rung", "low", "high", "conflict", "given_low", "given_high"]
+    routes = spark.createDataFrame([(1, "completed", 60.0, None, None)], "route int, status string, window_low double, window_high double, elapsed double")
+    stages = spark.createDataFrame([(1, "s", ladder[0], 1.0, 2.0)], "route int, stage string, grade string, low double, high double")
+    plan = optimized(bounds.latency_bounds(routes, stages, stages.drop("stage"))["routes"])
+    assert "Generate" not in plan and "lambda" not in plan
