@@ -83,3 +83,33 @@ def test_rungs_are_plain_columns_and_only_the_last_one_is_made_for_routes(spark)
     stages = spark.createDataFrame([(1, "s", ladder[0], 1.0, 2.0)], "route int, stage string, grade string, low double, high double")
     plan = optimized(bounds.latency_bounds(routes, stages, stages.drop("stage"))["routes"])
     assert "Generate" not in plan and "lambda" not in plan
+
+
+RULES = {"protocol_version": "1", "id_column": "id", "episode_column": "ep", "values": {"pass": ["Yes"], "fail": ["No"], "unknown": ["Open"]}, "levels": {"S0": "Low", "L1": "Mid", "L2": "High"}, "stages": [
+    {"id": "S0", "name": "Entry", "unit": "entry", "criteria": [{"id": "a", "type": "in", "column": "kind", "allowed": ["good", "Fine"], "scale": ["good", "Fine", "bad"]}]},
+    {"id": "L1", "name": "First", "unit": "episode", "criteria": [{"id": "b", "column": "x"}, {"id": "c", "column": "z", "gate": False}]},
+    {"id": "L2", "name": "Second", "unit": "episode", "paths": [{"name": "p", "criteria": [{"id": "d", "column": "x"}, {"id": "e", "column": "y"}]}, {"name": "q", "criteria": [{"id": "f", "type": "min", "column": "n", "value": 2}, {"id": "e", "column": "y"}]}]}]}
+
+
+def test_comparing_rule_sets_writes_nothing_and_joins_no_spellings(spark, monkeypatch):
+    from tallyspark.operators import screening as G
+
+    rows = [("1", "E1", "GOOD", "yes", "", "No", "3"), ("2", "e1", "good", "Yes ", "", "", " 3"), ("3", "E2", "bad", "Yes", "No", "", "1"), ("4", "E2", "fine", "Yes", "No", "Yes", "1.5"), ("5", "E3", "fine", "Yes", "", "Yes", "5"), ("6", "e3", "fine", "no", "", "No", "5"),
+            ("7", "E4", "open", "Yes", "", "Yes", "9"), ("8", "E5", "good", "Yes", "odd", "Yes", "x"), ("9", "", "good", "Yes", "", "Yes", "2"), ("10", "E6", "good", "Yes", "", "Yes", "2.0")]
+    d = spark.createDataFrame(rows, "id string, ep string, kind string, x string, z string, y string, n string")
+    r = G.apply_gates(d, RULES)
+    eps = {e.ep: e for e in r["episodes"].collect()}
+    assert {k: (e.level, e.x, e.y, e.n, e.n_entries) for k, e in eps.items()} == {
+        "E1": ("Mid", "Yes", "No", "3", 2), "E2": ("High", "Yes", "Yes", "1.5", 2), "E3": ("Low (pending evidence at L1)", "CONFLICT", "CONFLICT", "5", 2), "E4": ("Held at S0 (not yet analysable)", "Yes", "Yes", "9", 1),
+        "E5": ("High", "Yes", "Yes", "", 1), "E6": ("High", "Yes", "Yes", "2.0", 1)}
+    assert eps["E2"].L2_all_paths == "p: Pass || q: Fail fail[f]" and eps["E5"].L2_all_paths == "p: Pass || q: Hold held[f]" and eps["E2"].L2_path == "p" and eps["E1"].L2_failed == "e" and eps["E3"].L1_first_held == "b"
+    said = {(p["where"], p.problem.split(" across")[0].split(", from")[0]) for p in r["problems"].collect()}
+    assert ("E3", "conflicting values for 'x'") in said and ("E1", "episode id written in different forms, e.g. 'E1' and 'e1'; merged as 'E1'") in said and ("9", "entry is not excluded at the entry stage but has no episode id") in said
+    assert sorted({e.ep for e in r["entries"].collect()}) == ["", "E1", "E2", "E3", "E4", "E5", "E6"] and {m.ep for m in r["episode_entries"].collect()} == set(eps)
+    monkeypatch.setattr(G, "materialize", lambda *a: 1 / 0)
+    other = {**RULES, "stages": RULES["stages"][:-1]}
+    out = G.compare_gates(d, RULES, other)
+    assert {(c.ep, c.first, c.second, c.changed) for c in out.collect()} == {
+        ("E1", "Mid", "Mid", False), ("E2", "High", "Mid", True), ("E3", "Low (pending evidence at L1)", "Low (pending evidence at L1)", False),
+        ("E4", "Held at S0 (not yet analysable)", "Held at S0 (not yet analysable)", False), ("E5", "High", "Mid", True), ("E6", "High", "Mid", True)}
+    assert "lambda" not in optimized(out)
