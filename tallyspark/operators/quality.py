@@ -99,53 +99,74 @@ def _analysable(level: Column) -> Column:
     return (level != "") & ~reduce(lambda a, b: a | b, [level.startswith(x) for x in NOT_ANALYSABLE])
 
 
-def consistency_checks(episodes: DataFrame, verdicts: DataFrame, timeline: DataFrame, steps: DataFrame, candidates: DataFrame | None = None, key: str = "episode",
+def consistency_checks(episodes: DataFrame, verdicts: DataFrame, timeline: DataFrame | None, steps: DataFrame, candidates: DataFrame | None = None, key: str = "episode",
                        expected_criterion: str | None = None, independent_criterion: str | None = None, source_column: str | None = None) -> Result:
     """Cross-checks between screened episodes, recorded results, computed verdicts, timelines and the candidate list.
 
     ``episodes``: key, level, recorded_verdict, rival and the criterion columns. ``timeline``: episode.
-    ``steps``: episode, step, clock, expected_days, zero_documented. ``candidates``: candidate, decision.
+    ``steps``: episode, step, clock, expected_days, zero_documented. ``candidates``: candidate, decision. Without a
+    ``timeline`` the episodes of the steps are those with one.
+
+    Every table says something about episodes. What it says is a set of bits, and the bits of an episode meet in one
+    row, on which all rules are read; no table is gone through for each rule.
     """
     txt = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    ep = episodes.select(F.trim(F.col(key).cast("string")).alias("episode"), txt("level").alias("level"), txt("recorded_verdict").alias("recorded"), txt("rival").alias("rival"),
-                         *[txt(c).alias(a) for c, a in ((expected_criterion, "expected_ok"), (independent_criterion, "indep_ok"), (source_column, "source")) if c])
-    tl = timeline.select(F.trim(F.col("episode").cast("string")).alias("episode")).where("episode <> ''").distinct()
-    st = steps.withColumns({"episode": F.trim(F.col("episode").cast("string")), "step": txt("step"), "clock": F.lower(txt("clock")), "days": F.col("expected_days").try_cast("double")}).where("episode <> ''")
-    top = ep.where("level = 'Level 3'")
-    has_word = lambda c, words: reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(w) for w in words])
-    v = verdicts.select("episode", "verdict", "fragile", "finance_actionable")
-    checks = [
-        _row(top.join(tl, "episode", "left_anti"), "FAIL", "Level-3 episode without a timeline", "timeline"),
-        _row(tl.join(top, "episode", "left_anti"), "WARN", "Timeline of an episode that is not Level 3", "timeline"),
-    ]
+    has_word = lambda c, words: reduce(lambda a, b: a | b, [F.lower(c).contains(w) for w in words])
+    bit: dict[str, int] = {}
+
+    def mask(**said: Column) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, F.lit(1 << bit.setdefault(k, len(bit))).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in said.items()])
+
+    none = F.lit(None).cast("string")
+    level, recorded, rival = txt("level"), txt("recorded_verdict"), txt("rival")
+    top = level == "Level 3"
+    said = {"listed": F.lit(True), "top": top, "unrecorded": top & (recorded == ""), "no_rival": top & ~rival.isin("Rejected", "Not rejected"), "odd_code": ~F.trim(F.col(key).cast("string")).rlike(NEUTRAL_CODE)}
     if expected_criterion:
-        open_ = st.where("days is null").select("episode").distinct()
-        wanted = ep.where("expected_ok = 'Yes'").where("level = 'Level 3'").unionByName(ep.where("expected_ok = 'Yes' and level <> 'Level 3'").join(tl, "episode", "left_semi"))
-        checks.append(_row(wanted.join(open_, "episode", "left_semi"), "FAIL", "Expected durations coded as documented but blank in the steps", "steps"))
-    checks += [
-        _row(st.where("days = 0"), "WARN", "Expected duration of exactly 0 days", "steps"),
-        _row(v.join(ep, "episode").where("recorded <> '' and recorded <> verdict"), "FAIL", "Recorded verdict differs from the computed one", "episodes"),
-        _row(top.where("recorded = ''"), "WARN", "Level-3 episode with no verdict recorded", "episodes"),
-        _row(v.where("fragile = 'Yes'"), "WARN", "Fragile verdict: decisive slack within one day of zero", "verdicts"),
-        _row(st.where((F.col("days") == 0) & ~F.lower(txt("zero_documented")).isin("yes", "y", "true", "1", "igen", "evet", "بله")), "WARN", "Duration 0 without zero_documented = Yes (treated as missing)", "steps"),
-        _row(v.where(F.lower("finance_actionable").contains("not computable")), "WARN", "Finance actionability not computable", "verdicts"),
-        _row(top.where(~F.col("rival").isin("Rejected", "Not rejected")), "FAIL", "Level-3 episode without a valid rival result", "episodes"),
-        _row(st.where(has_word("step", PAYMENT_WORDS) & (F.col("clock") == "finance")), "WARN", "Payment-type step coded on the finance clock", "steps"),
-        _row(st.where(has_word("step", READINESS_WORDS) & ~F.col("clock").isin("operational-readiness", "operational readiness")), "WARN", "Readiness-type step not on the readiness clock", "steps"),
-    ]
-    if candidates is not None:
-        cand = candidates.select(txt("candidate").alias("episode"), txt("decision").alias("decision")).where("episode <> ''")
-        kept = cand.where("decision = 'Retained'").select("episode").distinct()
-        checks += [
-            _row(ep.join(kept, "episode", "left_anti"), "FAIL", "Episode that is not retained in the candidate list", "candidates"),
-            _row(kept.join(ep, "episode", "left_anti"), "WARN", "Retained candidate missing from the episodes", "candidates"),
-            _row(cand.where("decision = ''"), "WARN", "Candidate without a decision", "candidates"),
-        ]
+        said |= {"expected_top": (txt(expected_criterion) == "Yes") & top, "expected": (txt(expected_criterion) == "Yes") & ~top}
     if independent_criterion and source_column:
-        reached = F.col("level").startswith("Level 2") | F.col("level").startswith("Level 3")
-        checks.append(_row(ep.where(reached & (F.col("indep_ok") != "Yes") & source_kind("source").isin("", "pending")), "WARN", "Independence not met but source kind not coded", "episodes"))
-    checks.append(_row(ep.where(~F.col("episode").rlike(NEUTRAL_CODE)), "WARN", "Episode code does not look like a neutral pseudonym", "episodes"))
-    return Result({"checks": integrity(checks), "offenders": offenders(checks)})
+        said["uncoded"] = (level.startswith("Level 2") | level.startswith("Level 3")) & (txt(independent_criterion) != "Yes") & source_kind(txt(source_column)).isin("", "pending")
+    noted = F.when(recorded != "", recorded)
+    parts = [episodes.select(F.trim(F.col(key).cast("string")).alias("episode"), mask(**said).alias("bits"), noted.alias("recorded"), none.alias("verdict")),
+             verdicts.select(F.col("episode").cast("string").alias("episode"), mask(fragile=F.col("fragile") == "Yes", not_computable=F.lower("finance_actionable").contains("not computable")).alias("bits"),
+                             none.alias("recorded"), F.col("verdict").cast("string").alias("verdict"))]
+    days = F.col("expected_days").try_cast("double")
+    clock = F.lower(txt("clock"))
+    of_step = {"open": days.isNull(), "zero": days == 0, "undocumented": (days == 0) & ~F.lower(txt("zero_documented")).isin("yes", "y", "true", "1", "igen", "evet", "بله"),
+               "payment": has_word(txt("step"), PAYMENT_WORDS) & (clock == "finance"), "readiness": has_word(txt("step"), READINESS_WORDS) & ~clock.isin("operational-readiness", "operational readiness")}
+    if timeline is None:
+        of_step["timed"] = F.lit(True)
+    name = F.trim(F.col("episode").cast("string")).alias("episode")
+    steps_said = steps.select(name, mask(**of_step).alias("bits"))
+    if timeline is not None:
+        steps_said = steps_said.unionByName(timeline.select(name, mask(timed=F.lit(True)).alias("bits")))
+    parts.append(steps_said.where("episode <> ''").groupBy("episode").agg(F.bit_or("bits").alias("bits")).select("episode", "bits", none.alias("recorded"), none.alias("verdict")))
+    if candidates is not None:
+        parts.append(candidates.select(txt("candidate").alias("episode"), mask(kept=txt("decision") == "Retained", undecided=txt("decision") == "").alias("bits"), none.alias("recorded"), none.alias("verdict")).where("episode <> ''"))
+    facts = reduce(DataFrame.unionByName, parts).groupBy("episode").agg(
+        F.bit_or("bits").alias("bits"), *[f(c).alias(f"{c}_{n}") for c in ("recorded", "verdict") for n, f in (("min", F.min), ("max", F.max))])
+    on = lambda k: F.col("bits").bitwiseAND(F.lit(1 << bit[k]).cast("long")) != 0
+    # some recorded verdict differs from some computed one, unless all of them are the same
+    differs = F.col("episode").isNotNull() & ((F.col("recorded_min") != F.col("verdict_max")) | (F.col("recorded_max") != F.col("verdict_min")))
+    rules = [("FAIL", "Level-3 episode without a timeline", "timeline", on("top") & ~on("timed")), ("WARN", "Timeline of an episode that is not Level 3", "timeline", on("timed") & ~on("top"))]
+    if expected_criterion:
+        rules.append(("FAIL", "Expected durations coded as documented but blank in the steps", "steps", (on("expected_top") | (on("expected") & on("timed"))) & on("open")))
+    rules += [
+        ("WARN", "Expected duration of exactly 0 days", "steps", on("zero")), ("FAIL", "Recorded verdict differs from the computed one", "episodes", differs),
+        ("WARN", "Level-3 episode with no verdict recorded", "episodes", on("unrecorded")), ("WARN", "Fragile verdict: decisive slack within one day of zero", "verdicts", on("fragile")),
+        ("WARN", "Duration 0 without zero_documented = Yes (treated as missing)", "steps", on("undocumented")), ("WARN", "Finance actionability not computable", "verdicts", on("not_computable")),
+        ("FAIL", "Level-3 episode without a valid rival result", "episodes", on("no_rival")), ("WARN", "Payment-type step coded on the finance clock", "steps", on("payment")),
+        ("WARN", "Readiness-type step not on the readiness clock", "steps", on("readiness"))]
+    if candidates is not None:
+        rules += [("FAIL", "Episode that is not retained in the candidate list", "candidates", on("listed") & ~on("kept")), ("WARN", "Retained candidate missing from the episodes", "candidates", on("kept") & ~on("listed")),
+                  ("WARN", "Candidate without a decision", "candidates", on("undecided"))]
+    if "uncoded" in bit:
+        rules.append(("WARN", "Independence not met but source kind not coded", "episodes", on("uncoded")))
+    rules.append(("WARN", "Episode code does not look like a neutral pseudonym", "episodes", on("odd_code")))
+    fixed = lambda *r: [F.lit(v).alias(n) for v, n in zip(r, ("level", "check", "where"))]
+    broken = facts.select(F.col("episode").alias("unit"), F.inline(F.array(*[F.struct(*fixed(*r), F.coalesce(bad, F.lit(False)).alias("bad")) for *r, bad in rules])))
+    counts = facts.agg(*[F.count_if(bad).alias(f"n{i}") for i, (*_, bad) in enumerate(rules)])
+    table = counts.select(F.inline(F.array(*[F.struct(F.when(F.col(f"n{i}") > 0, r[0]).otherwise("PASS").alias("level"), *fixed(*r)[1:], F.col(f"n{i}").alias("n")) for i, (*r, _) in enumerate(rules)])))
+    return Result({"checks": table, "offenders": broken.where("bad").select("level", "check", "where", "unit")})
 
 
 def descriptive_fields(episodes: DataFrame, fields: Sequence[Mapping]) -> Result:

@@ -113,3 +113,29 @@ def test_comparing_rule_sets_writes_nothing_and_joins_no_spellings(spark, monkey
         ("E1", "Mid", "Mid", False), ("E2", "High", "Mid", True), ("E3", "Low (pending evidence at L1)", "Low (pending evidence at L1)", False),
         ("E4", "Held at S0 (not yet analysable)", "Held at S0 (not yet analysable)", False), ("E5", "High", "Mid", True), ("E6", "High", "Mid", True)}
     assert "lambda" not in optimized(out)
+
+
+def test_consistency_rules_are_read_on_one_row_an_episode(spark):
+    from tallyspark.operators import quality as Q
+
+    ep = spark.createDataFrame([("E1", "Level 3", "A", "Rejected", "Yes", "No", ""), (" E2 ", "Level 2", "B", "", "Yes", "Yes", ""), ("E3", "Level 3", "", "odd", "No", "Yes", "x"), (None, "Level 3", "A", "Rejected", "Yes", "Yes", "x")],
+                               "episode string, level string, recorded_verdict string, rival string, ok string, indep string, source string")
+    v = spark.createDataFrame([("E1", "A", "Yes", "No"), ("E1", "B", "No", "No"), ("E2", "B", "No", "Not computable"), (None, "C", "No", "No")], "episode string, verdict string, fragile string, finance_actionable string")
+    st = spark.createDataFrame([("E1", "Payment", "Finance", "0", "no"), ("E1", "other", "x", None, ""), ("E2", "Training", "finance", "0", "Yes"), ("", "Payment", "finance", None, ""), (None, "Payment", "finance", "0", "")],
+                               "episode string, step string, clock string, expected_days string, zero_documented string")
+    cand = spark.createDataFrame([("E1", "Retained"), ("E9", "Retained"), ("E8", ""), (None, "")], "candidate string, decision string")
+    args = (cand, "episode", "ok", "indep", "source")
+    r = Q.consistency_checks(ep, v, None, st, *args)
+    want = {("Level-3 episode without a timeline", "E3"), ("Level-3 episode without a timeline", None), ("Timeline of an episode that is not Level 3", "E2"), ("Expected durations coded as documented but blank in the steps", "E1"),
+            ("Expected duration of exactly 0 days", "E1"), ("Expected duration of exactly 0 days", "E2"), ("Recorded verdict differs from the computed one", "E1"), ("Level-3 episode with no verdict recorded", "E3"),
+            ("Fragile verdict: decisive slack within one day of zero", "E1"), ("Duration 0 without zero_documented = Yes (treated as missing)", "E1"), ("Finance actionability not computable", "E2"), ("Level-3 episode without a valid rival result", "E3"),
+            ("Payment-type step coded on the finance clock", "E1"), ("Readiness-type step not on the readiness clock", "E2"), ("Episode that is not retained in the candidate list", "E2"), ("Episode that is not retained in the candidate list", "E3"),
+            ("Episode that is not retained in the candidate list", None), ("Retained candidate missing from the episodes", "E9"), ("Candidate without a decision", "E8"), ("Independence not met but source kind not coded", "E1")}
+    rows = [(x.check, x.unit) for x in r["offenders"].collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    n = {x.check: x.n for x in r["checks"].collect()}
+    assert len(n) == 17 and sum(n.values()) == len(want) and n["Episode that is not retained in the candidate list"] == 3
+    again = Q.consistency_checks(ep, v, st.select("episode"), st, *args)["offenders"]
+    assert {(x.check, x.unit) for x in again.collect()} == want
+    marked = st.withColumn("episode", F.concat("episode", F.lit("__steps__")))
+    assert optimized(Q.consistency_checks(ep, v, None, marked, *args)["offenders"]).count("__steps__") <= 2
