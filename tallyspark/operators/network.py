@@ -319,7 +319,7 @@ def _durations(real: np.ndarray, exp: np.ndarray, own: np.ndarray, masks: np.nda
     if seen is not None:
         hit |= (seen[:, None] & masks) != 0
     hit &= ~np.isnan(exp)[:, None]
-    return np.concatenate([np.where(hit, np.fmin(real[:, b], exp)[:, None], real[:, b, None]) for b in (0, 1)], axis=1)
+    return np.concatenate([np.where(hit, np.fmin(real[:, b], exp)[:, None], real[:, b, None]) for b in range(real.shape[1])], axis=1)
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -327,6 +327,28 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
+def _begin(anchor: np.ndarray, done: np.ndarray, root: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """When each step is ready at its documented dates: when its last predecessor has finished, or at the anchor. Edges are ordered by ``dst``."""
+    start = np.where(root[:, None], anchor, np.nan)
+    first = _runs(dst)
+    if len(first):
+        start[dst[first]] = np.fmax(start[dst[first]], np.fmax.reduceat(done[src], first, axis=0))
+    return start
+
+
+def _finishes(level: np.ndarray, start: np.ndarray, real: np.ndarray, exp: np.ndarray, own: np.ndarray, seen: np.ndarray | None, src: np.ndarray, dst: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Finish of each step under each scenario, level by level, bounds one after the other; steps that cannot be ordered have none."""
+    fin = np.full((len(level), real.shape[1] * len(masks)), np.nan)
+    at = level[dst]
+    for k in range(level.max(initial=-1) + 1):
+        rows = np.flatnonzero(level == k)
+        e = np.flatnonzero(at == k)
+        # every row has predecessors from the second round on, so the runs of its edges are the rows
+        ready = np.fmax(np.fmax.reduceat(fin[src[e]], _runs(dst[e]), axis=0), -np.inf) if k else np.repeat(start[rows], len(masks), axis=1)
+        fin[rows] = ready + _durations(real[rows], exp[rows], own[rows], masks, None if seen is None else seen[rows])
+    return fin
+
+
 class _Block:
     """Forward and backward propagation over the whole episodes of one block, level by level, on arrays.
 
@@ -352,22 +374,16 @@ class _Block:
         self.twice[again] = True
         at = np.minimum(np.searchsorted(ranked, want), n - 1)
         known = ranked[at] == want
-        src, dst = order[at][known], dst[known]  # by dst
+        self.src, self.dst = src, dst = order[at][known], dst[known]  # by dst
         self.own = own = rows.column("own").to_numpy().astype(np.int64)
         self.exp = exp = rows.column("expected").to_numpy().astype(float)
         self.is_goal = rows.column("is_goal").fill_null(False).to_numpy()
-        root = preds == 0
-        # documented: a step is ready when its last predecessor has finished, or at the anchor
-        self.done = done = both("f")
-        start = np.where(root[:, None], both("anchor"), np.nan)
-        first = _runs(dst)
-        if len(first):
-            start[dst[first]] = np.fmax(start[dst[first]], np.fmax.reduceat(done[src], first, axis=0))
+        self.root = root = preds == 0
+        self.done, self.anchor, self.tw = done, anchor, tw = both("f"), both("anchor"), both("tw")
+        start = _begin(anchor, done, root, src, dst)
         gap = done - start
         self.early, self.real = gap < -EPS, np.maximum(gap, 0.0)
         self.level, seen = np.full(n, -1), np.zeros(n, np.int64)
-        width = 2 * len(masks) if masks is not None else 0
-        self.fins = [np.full((n, width), np.nan) for _ in reactive] if width else []
         rounds, now, got = 0, root, np.zeros(n, np.int64)
         while now.any():
             rows_now = np.flatnonzero(now)
@@ -376,15 +392,12 @@ class _Block:
             self.level[rows_now] = rounds
             if len(e):
                 seen[d[f]] = np.bitwise_or.reduceat(seen[src[e]] | own[src[e]], f)
-            for k, fin in enumerate(self.fins):
-                # every row has predecessors from the second round on, so the runs of d are the rows
-                ready = np.fmax(np.fmax.reduceat(fin[src[e]], f, axis=0), -np.inf) if rounds else np.repeat(start[rows_now], len(masks), axis=1)
-                fin[rows_now] = ready + _durations(self.real[rows_now], exp[rows_now], own[rows_now], masks, seen[rows_now] if reactive[k] else None)
             got += np.bincount(dst[now[src]], minlength=n)
             now = (self.level < 0) & (got == preds)
             rounds += 1
+        self.fins = [_finishes(self.level, start, self.real, exp, own, seen if r else None, src, dst, masks) for r in reactive] if masks is not None else []
         self.goal = goal = self.is_goal & (self.level >= 0)
-        lf = np.where(goal[:, None], both("tw"), np.inf)
+        lf = np.where(goal[:, None], tw, np.inf)
         self.on, self.open = on, open_ = goal.copy(), np.zeros(n, bool)
         back = np.argsort(src, kind="stable")
         b_src, b_dst = src[back], dst[back]
@@ -646,20 +659,81 @@ def zero_rule_sensitivity(episodes: DataFrame, steps: DataFrame) -> Result:
     return Result({"summary": s.unionByName(changed), "episodes": m.select("episode", "registered", "every_zero", "changed")})
 
 
-def corner_check(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes: DataFrame, labels: Mapping[str, str], limit: int = 10) -> DataFrame:
-    """Whether the verdict is the same at every combination of date bounds, for episodes with few interval dates.
+#: Rows that the corners of a block are laid out in at a time.
+CORNER_ROWS = 200_000
 
-    Every combination becomes an episode of its own, with exact dates, and is evaluated as such.
-    """
+
+def _outcome_keys(slack: np.ndarray, on: np.ndarray, gap: np.ndarray, n_clocks: int) -> np.ndarray:
+    """Numbers that are equal where verdict and clocks of :func:`_verdict` are; ``on`` and ``gap`` are the clocks of the path and the untestable ones as bits."""
+    ok, zero = slack >= -EPS, np.zeros(len(slack), np.int64)
+    testable = [((on & ~gap) >> i) & 1 == 1 for i in range(n_clocks)]
+    singles = sum(((testable[i] & ok[:, 1 + i]).astype(np.int64) << i for i in range(n_clocks)), zero)
+    pairs = sum(((testable[i] & testable[j] & ok[:, 1 + n_clocks + m]).astype(np.int64) << m for m, (i, j) in enumerate(combinations(range(n_clocks), 2))), zero)
+    kind = np.select([ok[:, 0], singles > 0, gap > 0, pairs > 0, (np.bitwise_count(on) > 2) & ok[:, -1]], [0, 1, 2, 3, 4], 5)
+    return kind.astype(np.int64) << 32 | np.select([kind == 1, kind == 3, kind == 4], [singles, pairs, on], 0)
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. within each of some runs."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _corner_batch(rows: pa.Table, masks: np.ndarray, n_clocks: int, limit: int) -> pa.RecordBatch:
+    """Interval dates of each episode of a block, and how many outcomes its corners have; the corners themselves stay arrays of the task."""
+    b = _Block(rows, None, [])
+    at = _runs(b.eid)
+    size = np.diff(np.r_[at, b.n])
+    count, some = lambda x: np.add.reduceat(x.astype(np.int64), at), lambda x: np.logical_or.reduceat(x, at)
+    bits = lambda x: np.bitwise_or.reduceat(np.where(x, b.own, 0), at)
+    wide = lambda x: np.abs(x[:, 1] - x[:, 0]) > EPS
+    varies, va, vt = b.on & wide(b.done), wide(b.anchor[at]), wide(b.tw[at])
+    n = count(varies) + va + vt
+    pos = np.cumsum(varies) - 1
+    pos -= np.repeat(pos[at] - varies[at] + 1, size) - np.repeat(va.astype(np.int64) + vt, size)
+    on, gap, goal = bits(b.on), bits(b.on & np.isnan(b.exp)), np.minimum.reduceat(np.where(b.goal, np.arange(b.n), b.n), at) - at
+    # an episode that is halted for its inputs is halted at every corner
+    runs = ~some(b.twice) & some(b.is_goal) & ~some(b.level < 0) & ~np.isnan(b.tw[at, 0]) & ~np.isnan(b.anchor[at, 0]) & (count(b.on & np.isnan(b.done[:, 0])) == 0)
+    todo = np.flatnonzero(runs & (n > 0) & (n <= limit))
+    e_at = np.searchsorted(b.dst, at)
+    e_size = np.diff(np.r_[e_at, len(b.dst)])
+    ep = np.repeat(todo, 1 << n[todo])
+    corner = _within(1 << n[todo])
+
+    def keys(ep: np.ndarray, corner: np.ndarray) -> np.ndarray:
+        off = np.cumsum(size[ep]) - size[ep]
+        cid = np.repeat(np.arange(len(ep)), size[ep])
+        base = at[ep][cid] + _within(size[ep])
+        high = varies[base] & ((corner[cid] >> np.maximum(pos[base], 0)) & 1 == 1)
+        done = np.where(high, b.done[base, 1], b.done[base, 0])[:, None]
+        anchor = np.where(va[ep] & (corner & 1 == 1), b.anchor[at[ep], 1], b.anchor[at[ep], 0])
+        tw = np.where(vt[ep] & ((corner >> va[ep]) & 1 == 1), b.tw[at[ep], 1], b.tw[at[ep], 0])
+        move, e = np.repeat(off - at[ep], e_size[ep]), np.repeat(e_at[ep], e_size[ep]) + _within(e_size[ep])
+        src, dst = b.src[e] + move, b.dst[e] + move
+        start = _begin(anchor[cid][:, None], done, b.root[base], src, dst)
+        fin = _finishes(b.level[base], start, np.maximum(done - start, 0.0), b.exp[base], b.own[base], None, src, dst, masks)
+        return _outcome_keys(tw[:, None] - fin[off + goal[ep]], on[ep], gap[ep], n_clocks)
+
+    outcomes = np.ones(len(at), np.int64)
+    if len(ep):
+        # at least one corner at a time, and as many as there is room for
+        cut = np.flatnonzero(np.diff(np.cumsum(size[ep]) // CORNER_ROWS, prepend=0))
+        found = np.concatenate([keys(x, y) for x, y in zip(np.split(ep, cut), np.split(corner, cut)) if len(x)])
+        order = np.lexsort((found, ep))
+        new = np.r_[True, (ep[order][1:] != ep[order][:-1]) | (found[order][1:] != found[order][:-1])]
+        outcomes[todo] = np.bincount(ep[order][new], minlength=len(at))[todo]
+    return pa.RecordBatch.from_pydict({"episode": rows.column("episode").combine_chunks().take(pa.array(at)), "n": pa.array(n.astype(np.int32)), "outcomes": pa.array(outcomes)})
+
+
+def _written_corners(once: DataFrame, steps: DataFrame, labels: Mapping[str, str], limit: int) -> DataFrame:
+    """``episode, n, outcomes`` as in the blocks, with a row for every step of every corner: for episodes that no task should hold."""
     clocks = sorted(labels)
-    once = episodes.groupBy("episode").agg(*[F.min(c).alias(c) for c in episodes.columns if c != "episode"])
     # only dates on the path to the required step count
     on = materialize(propagate(once, steps, clocks, finishes=False).where("on_path").select("episode", "step"), "on_path")
     wide = lambda a, b: F.abs(F.col(b) - F.col(a)) > EPS
     st = steps.join(on.withColumn("on", F.lit(True)), ["episode", "step"], "left").withColumn("varies", F.coalesce(wide("f_lo", "f_hi") & F.col("on"), F.lit(False)))
     per = st.groupBy("episode").agg(F.count_if("varies").alias("n_steps"))
-    ep = once.join(per, "episode", "left").withColumns({"va": F.coalesce(wide("anchor_lo", "anchor_hi"), F.lit(False)), "vt": F.coalesce(wide("tw_lo", "tw_hi"), F.lit(False)), "n_steps": F.coalesce("n_steps", F.lit(0))})
-    ep = materialize(ep.withColumn("n", F.col("n_steps") + F.col("va").cast("int") + F.col("vt").cast("int")), "varying")
+    ep = once.join(per, "episode").withColumns({"va": F.coalesce(wide("anchor_lo", "anchor_hi"), F.lit(False)), "vt": F.coalesce(wide("tw_lo", "tw_hi"), F.lit(False))})
+    ep = materialize(ep.withColumn("n", (F.col("n_steps") + F.col("va").cast("int") + F.col("vt").cast("int")).cast("int")), "varying")
     todo = ep.where((F.col("n") > 0) & (F.col("n") <= limit))
     corners = todo.withColumn("corner", F.explode(F.expr("sequence(0, cast(pow(2, n) as int) - 1)")))
     bit = lambda pos: F.expr(f"shiftright(corner, {pos}) & 1") == 1
@@ -673,14 +747,32 @@ def corner_check(episodes: DataFrame, steps: DataFrame, problems: DataFrame, not
     cst = few.join(pos, ["episode", "step"], "left").join(corners.select("episode", "corner", (F.col("va").cast("int") + F.col("vt").cast("int")).alias("shift")), "episode")
     f = F.when(F.col("varies") & (F.expr("shiftright(corner, cast(shift + pos as int)) & 1") == 1), F.col("f_hi")).otherwise(F.col("f_lo"))
     cst = cst.select(cid.alias("episode"), "step", "clock", "preds", f.alias("f_lo"), f.alias("f_hi"), "expected")
-    none = problems.limit(0)
-    res = evaluate(cep, materialize(cst, "corner_steps"), none, notes.limit(0), labels, reactive=False)
+    none = lambda name: small_table(once.sparkSession, [], f"episode string, {name} string")
+    res = evaluate(cep, materialize(cst, "corner_steps"), none("problem"), none("note"), labels, reactive=False)
     keys = res.select(F.substring_index("episode", "\u001f", 1).alias("episode"), F.concat_ws("|", "engine_outcome", "binding_clocks").alias("k"))
-    n_keys = keys.groupBy("episode").agg(F.count_distinct("k").alias("outcomes"))
+    return ep.select("episode", "n").join(keys.groupBy("episode").agg(F.count_distinct("k").alias("outcomes")), "episode", "left").select("episode", "n", F.coalesce("outcomes", F.lit(1)).cast("long").alias("outcomes"))
+
+
+def corner_check(episodes: DataFrame, steps: DataFrame, problems: DataFrame, notes: DataFrame, labels: Mapping[str, str], limit: int = 10, block_steps: int = BLOCK_STEPS) -> DataFrame:
+    """Whether the verdict is the same at every combination of date bounds, for episodes with few interval dates.
+
+    Every combination is an episode of its own, with exact dates, and is evaluated as such. Episodes of ordinary size are laid
+    out and evaluated inside their block, so no row of a combination is written or shuffled; larger ones become rows.
+    """
+    clocks = sorted(labels)
+    masks = np.array([_mask(s, clocks) for s in scenarios(clocks)], np.int64)
+    once = episodes.groupBy("episode").agg(*[F.min(c).alias(c) for c in episodes.columns if c != "episode"])
+    small, big = _split(steps, block_steps)
+    per = _in_blocks(once, small, clocks, lambda t: _corner_batch(t, masks, len(clocks), limit), "episode string, n int, outcomes long")
+    if big is not None:
+        per = per.unionByName(_written_corners(once.join(big, "episode", "left_semi"), steps.join(big, "episode", "left_semi"), labels, limit))
+    wide = lambda a, b: F.coalesce(F.abs(F.col(b) - F.col(a)) > EPS, F.lit(False)).cast("int")
+    # an episode without steps is halted at every corner
+    ep = once.join(per, "episode", "left").withColumns({"n": F.coalesce("n", wide("anchor_lo", "anchor_hi") + wide("tw_lo", "tw_hi")), "outcomes": F.coalesce("outcomes", F.lit(1))})
     text = (F.when(F.col("n") == 0, "No intervals (exact dates)").when(F.col("n") > limit, F.concat(F.lit("Not run ("), F.col("n").cast("string"), F.lit(f" interval dates > {limit})")))
             .when(F.col("outcomes") == 1, "Stable at every bound combination").otherwise(F.concat(F.lit("Varies across "), F.col("outcomes").cast("string"), F.lit(" outcomes"))))
     bad = problems.select("episode").distinct()
-    return ep.join(bad, "episode", "left_anti").join(n_keys, "episode", "left").select("episode", "n", text.alias("corner_check"))
+    return ep.join(bad, "episode", "left_anti").select("episode", "n", text.alias("corner_check"))
 
 
 def step_status(steps: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -143,3 +143,20 @@ def test_blocks_shuffle_the_steps_once_and_add_up_their_episodes(tables, monkeyp
     assert evaluated.count("MapInArrow") == 1  # also with the reactive run
     rows = lambda limit: sorted(map(repr, N.evaluate(ep, st, problems, notes, labels, block_steps=limit).collect()))
     assert rows(0) == rows(2000)
+
+
+def test_corners_are_evaluated_inside_their_block(tables, spark, monkeypatch):
+    _, _, e, s = tables
+    labels, syn = N.clock_set()
+    # windows and anchors as intervals too, and an episode without steps
+    e = e.selectExpr("episode", "anchor_earliest", "coalesce(anchor_latest, cast(cast(anchor_earliest as int) + 2 as string)) as anchor_latest", "tw_earliest", "coalesce(tw_latest, cast(cast(tw_earliest as int) + 6 as string)) as tw_latest", "r_step")
+    e = e.unionByName(spark.createDataFrame([("none", "20000", "20002", "20009", "20012", "x")], e.schema))
+    ep, st, problems, notes = N.read_episodes(e, s, labels, syn)
+    written, write = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name="stage": written.append(name) or write(df, name))
+    got = sorted(map(tuple, N.corner_check(ep, st, problems, notes, labels).collect()))
+    assert not written  # neither paths nor corners
+    monkeypatch.setattr(N, "CORNER_ROWS", 50)
+    assert sorted(map(tuple, N.corner_check(ep, st, problems, notes, labels).collect())) == got
+    assert sorted(map(tuple, N.corner_check(ep, st, problems, notes, labels, block_steps=0).collect())) == got
+    assert "corner_steps" in written and len({r[2] for r in got}) >= 3
