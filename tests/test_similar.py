@@ -73,3 +73,48 @@ def test_exploded_runs_are_not_broadcast_and_common_ones_are_spread(spark, monke
     assert got == set(con.sql("SELECT a, b FROM x, y WHERE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.85").fetchall())
     joins = [line for line in plans["met"].splitlines() if "Join [run" in line and "share" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+@pytest.mark.parametrize("floor", [0.6, 0.75, 0.92])
+def test_titles_of_one_template_in_rounds(spark, monkeypatch, floor):
+    from tallyspark.operators import similar
+
+    rng = random.Random(11)
+    known = ["old plate large no%d %s" % (i, "".join(rng.choice("0123456789abcdefé\U0001f600") for _ in range(24))) for i in range(120)] + ["x", "xy", "ab ab"]
+    asked = [_edited(rng, t, int(len(t) * (1.05 - floor)) + 1) for t in known] + known[:20]
+    if floor == 0.75:
+        monkeypatch.setattr(similar, "EXACT_CELLS", 0, raising=False)
+    runs, write = [], similar.materialize
+    monkeypatch.setattr(similar, "ROUND_LETTERS", 4_000, raising=False)
+    monkeypatch.setattr(similar, "materialize", lambda df, name: runs.append(name) or write(df, name))
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {(r.a, r.b) for r in similar.similar_pairs(frame(asked, "a"), frame(known, "b"), floor).collect()}
+    want = {(a, b) for a in asked for b in known if a and 1 - _distance(a, b) / max(len(a), len(b)) >= floor}
+    assert got == want and runs.count("met") >= 3
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_shuffles_of_a_written_table_are_deleted(spark):
+    import time
+
+    from tallyspark.runtime import materialize
+
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in _java_list(spark, spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    assert materialize(spark.range(100_000).selectExpr("id % 1000 as k").groupBy("k").count(), "counts").count() == 1000
+    end = time.time() + 20
+    while files() > before + 4 and time.time() < end:  # those of the count remain
+        time.sleep(0.2)
+    assert files() <= before + 4
+
+
+def _java_list(spark, seq):
+    return list(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq))
