@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ from tallyspark.runtime import materialize, small_table
 
 OUTSIDE = "__OUTSIDE__"
 
-#: Rows of one respondent that a task of the mixed logit holds before it adds them up.
-PANEL_ROWS = 20_000
+#: Rows (kinds of sets of a respondent) that a task of the mixed logit holds before it adds them up.
+PANEL_ROWS = 40_000
+#: Different alternatives (rows of terms) up to which sets are added up from them instead of row by row.
+PATTERNS = 64
 
 
 @dataclass
@@ -211,6 +214,13 @@ def swait_louviere(df: DataFrame, attributes, chosen: str, respondent: str, task
                                        "preference_lr double, preference_df int, preference_p double, scale_lr double, scale_df int, scale_p double, converged boolean")})
 
 
+def panel_kinds(choice: Choice) -> DataFrame:
+    """``respondent, kind, n``: how many sets of each kind a respondent has. A kind is its rows, in order: the choice and the terms as 0/1, joined by commas."""
+    row = F.concat(*[F.when(F.col(c) == 1, "1").otherwise("0") for c in ("y", *choice.columns)])
+    sets = choice.data.select("respondent", "set_id", row.alias("row")).groupBy("respondent", "set_id").agg(F.array_join(F.array_sort(F.collect_list("row")), ",").alias("kind"))
+    return sets.groupBy("respondent", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def halton_normal(n: int, dim: int, seed: int) -> np.ndarray:
     """Shifted Halton points as normal draws, centred per dimension."""
     rng = np.random.default_rng(seed)
@@ -237,8 +247,11 @@ def halton_normal(n: int, dim: int, seed: int) -> np.ndarray:
 def mixed_logit(df: DataFrame, attributes, chosen: str, respondent: str, random_terms, task: str = "task", alternative: str = "profile", draws: int = 128, seed: int = 20260928, max_iter: int = 60, **kw) -> Result:
     """Normal random coefficients, the same draws for every respondent, panel product by respondent, simulated likelihood.
 
-    Rows are ordered by respondent and set inside partitions and streamed: a task holds a batch, up to ``PANEL_ROWS``
-    rows of a respondent that goes on and its running sums, so a respondent with very many sets needs no more memory.
+    Sets with the same rows have the same likelihood under a draw, so a task works these out once for the kinds of sets in
+    front of it, and a respondent is the kinds of its sets with their numbers. Where the alternatives themselves are of few
+    kinds, exponentials are taken of these only and sets are sums of them. Rows are ordered by respondent and streamed:
+    a task holds some blocks of rows, up to ``PANEL_ROWS`` rows of a respondent that goes on and its running sums, so a
+    respondent with very many sets needs no more memory.
     """
     c = prepare_choice(df, attributes, chosen, respondent, task, alternative, **kw)
     rand = as_list(random_terms)
@@ -251,12 +264,58 @@ def mixed_logit(df: DataFrame, attributes, chosen: str, respondent: str, random_
     k, q = len(c.terms), len(rand)
     z = halton_normal(draws, q, seed)
     base = fit_mnl(c)
-    data = materialize(c.data.select("respondent", "set_id", "y", *c.columns).repartition("respondent").sortWithinPartitions("respondent", "set_id"), "panel")
+    spark = df.sparkSession
+    # in partitions that stay whole, as a respondent must not be cut between two tasks
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    data = panel_kinds(c).repartition(parts, "respondent").sortWithinPartitions("respondent").persist(StorageLevel.MEMORY_AND_DISK)
     p = k + q
 
     def evaluate(theta):
         mean, sd = theta[:k], np.exp(theta[k:])
 
+        def solve(block: pa.Table):
+            """Which kind each row is, and the choices (0/1) and terms of all rows of the kinds with where each kind starts."""
+            kind = block.column("kind").combine_chunks().dictionary_encode()
+            names = kind.dictionary.to_pylist()
+            rows = np.frombuffer((",".join(names) + ",").encode(), np.uint8).reshape(-1, k + 2)[:, : k + 1] - 48
+            sizes = np.array([(len(x) + 1) // (k + 2) for x in names])
+            return kind.indices.to_numpy(), rows[:, 0].astype(float), rows[:, 1:].astype(float), np.cumsum(sizes) - sizes, sizes
+
+        def patterns(y, x, sizes):
+            """The alternatives as few kinds of their own: their terms, exponentials by draw, how often each set has them, and what a set needs of them. None if they are many or far apart."""
+            if k > 62:
+                return None
+            code, first, of = np.unique(x.astype(np.int64) @ (1 << np.arange(k)), return_index=True, return_inverse=True)
+            if len(code) > PATTERNS:
+                return None
+            t = x[first]
+            u = (t @ mean)[:, None] + t[:, idx] @ (sd[:, None] * z.T)
+            u -= u.max(axis=0)
+            if u.min() < -600:
+                return None
+            e = np.exp(u)
+            cell = np.repeat(np.arange(len(sizes)), sizes) * len(code) + of
+            table = lambda w: np.bincount(cell, w, len(sizes) * len(code)).reshape(len(sizes), len(code))
+            has, taken = table(None).astype(float), table(y)
+            den = has @ e
+            return t, e, has, taken @ t, den, taken @ u - np.log(den)
+
+        def direct(y, x, starts, sizes):
+            """Log-likelihood of each kind (kinds x draws) and gradient (kinds x terms x draws)."""
+            # utilities relative to the set's largest: no exponential overflows
+            u = (x @ mean)[:, None] + x[:, idx] @ (sd[:, None] * z.T)
+            u -= np.repeat(np.maximum.reduceat(u, starts), sizes, axis=0)
+            e = np.exp(u)
+            den = np.add.reduceat(e, starts)
+            e /= np.repeat(den, sizes, axis=0)
+            lp = np.add.reduceat(u * y[:, None], starts) - np.log(den)
+            resid = y[:, None] - e
+            grad = np.empty((len(sizes), p, draws))
+            for j in range(k):
+                grad[:, j] = np.add.reduceat(resid * x[:, [j]], starts)
+            grad[:, k:] = grad[:, idx] * (sd[:, None] * z.T)
+            return lp, grad
+
         def job(batches):
             total = np.zeros(1 + p + p * p)
             state = {"resp": None, "lp": None, "grad": None}
@@ -266,86 +325,107 @@ def mixed_logit(df: DataFrame, attributes, chosen: str, respondent: str, random_
                     lp = state["lp"]
                     top = lp.max()
                     w = np.exp(lp - top)
-                    ll = top + np.log(w.mean())
-                    g = (w / w.sum()) @ state["grad"]
-                    total[0] += ll
+                    g = state["grad"] @ (w / w.sum())
+                    total[0] += top + np.log(w.mean())
                     total[1 : 1 + p] += g
                     total[1 + p :] -= np.outer(g, g).ravel()
+                    state["resp"] = None
 
-            def solve(block: pd.DataFrame):
-                """Utilities of whole sets, in order: rows x draws, relative to the largest of the set, and what the sets are made of."""
-                x, y = block[[f"x{i}" for i in range(k)]].to_numpy(float), block["y"].to_numpy(float)
-                starts = np.flatnonzero(np.r_[True, block["set_id"].to_numpy()[1:] != block["set_id"].to_numpy()[:-1]])
-                sizes = np.diff(np.r_[starts, len(x)])
-                u = (x @ mean)[:, None] + x[:, idx] @ (sd[:, None] * z.T)
-                u -= np.repeat(np.maximum.reduceat(u, starts), sizes, axis=0)
-                e = np.exp(u)
-                den = np.add.reduceat(e, starts)
-                e /= np.repeat(den, sizes, axis=0)
-                lp = np.add.reduceat(u * y[:, None], starts) - np.log(den)
-                return x, y[:, None] - e, lp, starts, block["respondent"].to_numpy()[starts]
-
-            def add(block: pd.DataFrame):
+            def add(block: pa.Table):
                 """Some sets of one respondent, whose sums over the draws are kept until it ends."""
-                x, resid, lp, starts, who = solve(block)
-                g_mean = np.stack([(resid * x[:, [j]]).sum(axis=0) for j in range(k)], axis=1)
-                grad = np.concatenate([g_mean, g_mean[:, idx] * (sd[None, :] * z)], axis=1)
-                if who[0] != state["resp"]:
+                kind, y, x, starts, sizes = solve(block)
+                n = np.bincount(kind, block.column("n").to_numpy(), minlength=len(sizes))
+                few = patterns(y, x, sizes)
+                if few is None:
+                    lp, grad = direct(y, x, starts, sizes)
+                    grad = np.tensordot(n, grad, 1)
+                else:
+                    t, e, has, chosen_terms, den, lp = few
+                    grad = (n @ chosen_terms)[:, None] - t.T @ (e * ((has * n[:, None]).T @ (1 / den)))
+                    grad = np.concatenate([grad, grad[idx] * (sd[:, None] * z.T)])
+                who = block.column("respondent")[0].as_py()
+                if who != state["resp"]:
                     close()
-                    state.update(resp=who[0], lp=np.zeros(draws), grad=np.zeros((draws, p)))
-                state["lp"] = state["lp"] + lp.sum(axis=0)
+                    state.update(resp=who, lp=np.zeros(draws), grad=np.zeros((p, draws)))
+                state["lp"] = state["lp"] + n @ lp
                 state["grad"] = state["grad"] + grad
 
-            def add_whole(block: pd.DataFrame):
-                """Whole respondents: their weights over the draws are known before the gradient, which then needs no draws by terms."""
-                x, resid, lp, starts, who = solve(block)
+            def add_whole(block: pa.Table):
+                """Whole respondents: their weights over the draws are known before the gradient, which then needs no sums by draw."""
+                kind, y, x, starts, sizes = solve(block)
+                n = block.column("n").to_numpy().astype(float)
+                who = block.column("respondent").combine_chunks().dictionary_encode().indices.to_numpy()
                 first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                lp = np.add.reduceat(lp, first)
+                size = np.diff(np.r_[first, len(who)])
+                few = patterns(y, x, sizes)
+                each, grad = direct(y, x, starts, sizes) if few is None else (few[-1], None)
+                lp = np.zeros((len(first), draws))
+                for i in range(size.max()):  # the i-th row of each respondent
+                    m = np.flatnonzero(size > i)
+                    r = first[m] + i
+                    lp[m] += each[kind[r]] * n[r, None]
                 top = lp.max(axis=1, keepdims=True)
                 w = np.exp(lp - top)
                 total[0] += float((top[:, 0] + np.log(w.mean(axis=1))).sum())
                 w /= w.sum(axis=1, keepdims=True)
-                at = starts[first]
-                resid *= np.repeat(w, np.diff(np.r_[at, len(x)]), axis=0)
-                g = np.add.reduceat(np.concatenate([resid.sum(axis=1)[:, None] * x, (resid @ (sd * z)) * x[:, idx]], axis=1), at)
+                of = np.repeat(np.arange(len(first)), size)
+                g = np.empty((len(kind), p))
+                if few is not None:
+                    t, e, has, chosen_terms, den, _ = few
+                    by_draw, wz = np.concatenate([e, *[e * z[:, i] for i in range(q)]]).T, w @ z
+                for i in range(0, len(kind), 1_000):
+                    at, o = kind[i : i + 1_000], of[i : i + 1_000]
+                    if few is None:
+                        g[i : i + 1_000] = np.einsum("rpd,rd->rp", grad[at], w[o])
+                        continue
+                    shares = ((w[o] / den[at]) @ by_draw).reshape(len(at), 1 + q, len(t)) * has[at][:, None]
+                    g[i : i + 1_000, :k] = chosen_terms[at] - shares[:, 0] @ t
+                    for m, j in enumerate(idx):
+                        g[i : i + 1_000, k + m] = sd[m] * (chosen_terms[at, j] * wz[o, m] - shares[:, 1 + m] @ t[:, j])
+                g = np.add.reduceat(g * n[:, None], first)
                 total[1 : 1 + p] += g.sum(axis=0)
                 total[1 + p :] -= (g.T @ g).ravel()
 
-            rest = None
-            for pdf in batches:
-                pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-                if not len(pdf):
-                    continue
-                # the last respondent may go on in the next batch, as may its last set
-                goes_on = (pdf["respondent"] == pdf["respondent"].iloc[-1]).to_numpy()
-                begun = (pdf["respondent"] == state["resp"]).to_numpy()
-                if begun.any() and not goes_on[0]:
-                    add(pdf[begun])
-                    close()
-                    state["resp"] = None
-                    pdf, goes_on = pdf[~begun], goes_on[~begun]
-                whole, rest = pdf[~goes_on], pdf[goes_on].reset_index(drop=True)
-                if len(whole):
-                    add_whole(whole)
-                if len(rest) > PANEL_ROWS:
-                    tail = (rest["set_id"] == rest["set_id"].iloc[-1]).to_numpy()
-                    if not tail.all():
-                        add(rest[~tail])
-                        rest = rest[tail].reset_index(drop=True)
-            if rest is not None and len(rest):
-                add(rest)
+            def take(block: pa.Table, end: bool):
+                """Adds up what is complete, and gives back the rows of the last respondent, who may go on in the next batch."""
+                who = block.column("respondent")
+                last = block.num_rows if end else pc.index(who, who[-1]).as_py()
+                if state["resp"] is not None:
+                    begun = int(pc.sum(pc.equal(who, state["resp"])).as_py() or 0)
+                    if begun and last:
+                        add(block.slice(0, begun))
+                    if last:
+                        close()
+                        block, last = block.slice(begun), last - begun
+                if last:
+                    add_whole(block.slice(0, last))
+                rest = block.slice(last)
+                if rest.num_rows > PANEL_ROWS:
+                    add(rest)
+                    rest = rest.slice(rest.num_rows)
+                return rest
+
+            held = []
+            for batch in batches:
+                held.append(pa.Table.from_batches([batch]))
+                if sum(t.num_rows for t in held) > PANEL_ROWS:
+                    held = [take(pa.concat_tables(held), False)]
+            block = pa.concat_tables(held) if held else None
+            if block is not None and block.num_rows:
+                take(block, True)
             close()
-            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+            yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(total), dtype=np.int32)), "v": pa.array(total)})
 
         s = np.zeros(1 + p + p * p)
-        for r in data.mapInPandas(job, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in data.mapInArrow(job, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             s[r["i"]] = r["v"]
         return float(s[0]), s[1 : 1 + p], s[1 + p :].reshape(p, p)
 
     fit = newton(evaluate, np.concatenate([base.theta, np.log(np.full(q, 0.25))]), max_iter=max_iter, tol=1e-6,
                  valid=lambda t: bool((t[k:] < 10).all()))  # no pass over the data for deviations beyond any sense
+    n = data.select("respondent").distinct().count()
+    data.unpersist()
     sd = np.exp(fit.theta[k:])
     rows = [(t, float(fit.theta[i]), float(sd[idx.index(i)]) if i in idx else 0.0, i in idx) for i, t in enumerate(c.terms)]
-    n = data.select("respondent").distinct().count()
     return Result({"coefficients": small_table(df.sparkSession, rows, "term string, mean double, random_sd double, random boolean"),
                    "model": small_table(df.sparkSession, [(n, fit.loglik, base.loglik, draws, fit.converged, fit.iterations)], "respondents long, loglik double, loglik_mnl double, draws int, converged boolean, iterations int")})

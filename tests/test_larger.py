@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 
 from tallyspark.operators import audit as A
 from tallyspark.operators import choice, order_stats
@@ -111,3 +112,28 @@ def test_units_are_compared_without_a_join(spark):
     got = A.units_in_one_only(a, b, "k")
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([("b", "first"), (None, "first"), ("c", "second"), (None, "second")], "unit string, only_in string").collect()))
+
+
+@pytest.mark.parametrize("patterns", [64, 0])
+def test_a_mixed_logit_works_out_a_kind_of_sets_once(spark, monkeypatch, patterns):
+    monkeypatch.setattr(choice, "PATTERNS", patterns, raising=False)
+    df = _choices(spark, 40, 6)
+    c = choice.prepare_choice(df, "attr", "chosen", "respondent", "task")
+    panel = choice.panel_kinds(c).collect()
+    assert len({r.kind for r in panel}) < sum(r.n for r in panel) / 5 and sum(r.n for r in panel) == c.data.select("set_id").distinct().count()
+    fit = choice.mixed_logit(df, "attr", "chosen", "respondent", "outside", draws=16, max_iter=3)
+    z = choice.halton_normal(16, 1, 20260928)
+    # the likelihood at the fitted point, row by row
+    b = {r.term: r for r in fit["coefficients"].collect()}
+    pdf = c.data.toPandas()
+    mean, sd = np.array([b[t].mean for t in c.terms]), b["outside"].random_sd
+    total = 0.0
+    for _, person in pdf.groupby("respondent"):
+        lp = np.zeros(16)
+        for _, one in person.groupby("set_id"):
+            x = one[c.columns].to_numpy()
+            u = (x @ mean)[:, None] + x[:, [c.terms.index("outside")]] * sd * z[:, 0]
+            lp += u[one["y"].to_numpy() == 1].sum(0) - np.log(np.exp(u).sum(0))
+        total += np.log(np.exp(lp).mean())
+    got = fit["model"].first()
+    assert not got.converged and np.isclose(got.loglik, total, rtol=1e-9)
